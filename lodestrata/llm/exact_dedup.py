@@ -23,6 +23,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no room set aside for each
 }
 
 
@@ -90,10 +91,8 @@ def dedup_path(
     groups = ws.table(touched.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n")).join(same, "digest"), "groups")
     slim = _keyed(spark.read.schema(schema).parquet(path), digest, id_col, text_col)
     settled = slim.select("loc", "digest", F.sha2("folded", 256).alias("sha")).join(groups.where("same"), "digest").select("loc", "keep", "n", "sha")
-    clash = slim.join(groups.where("NOT same").select("digest"), "digest", "left_semi")
-    exact = clash.groupBy("folded").agg(F.max("loc").alias("keep"), F.count("*").alias("n"))
-    clash = clash.join(exact, "folded").select("loc", "keep", "n", F.sha2("folded", 256).alias("sha"))
-    return settled.unionByName(clash).select(
+    out = settled if groups.where("NOT same").isEmpty() else settled.unionByName(_settle_clashes(slim, groups))
+    return out.select(
         F.col("loc.id").alias("id"),
         F.col("keep.id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -104,6 +103,13 @@ def dedup_path(
     )
 
 
+def _settle_clashes(slim: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups on the texts themselves where one digest stands for several."""
+    clash = slim.join(groups.where("NOT same").select("digest"), "digest", "left_semi")
+    exact = clash.groupBy("folded").agg(F.max("loc").alias("keep"), F.count("*").alias("n"))
+    return clash.join(exact, "folded").select("loc", "keep", "n", F.sha2("folded", 256).alias("sha"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     ws = Workspace(spark, "exact-keep")
