@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from lodestrata.llm.bpe import op9_bpe
 from lodestrata.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from lodestrata.llm.langid import op5_language
+from lodestrata.llm.ngram_join import op10_ngram_join
 from lodestrata.llm.sharding import op6_sharding
+from lodestrata.llm.substring import op1_substring_dedup
+from lodestrata.llm.toxicity import op3_toxicity
+from lodestrata.shipping import shipped
 
 QUERIES = {
-    "op2_exact_dedup": op2_exact_dedup,
-    "op6_sharding": op6_sharding,
+    q.__name__: shipped(q)
+    for q in (op1_substring_dedup, op2_exact_dedup, op3_toxicity, op5_language, op6_sharding, op9_bpe, op10_ngram_join)
 }
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
