@@ -37,40 +37,58 @@ def light_stem(word: Column) -> Column:
 
     The first steps of Porter's published suffix stripper, as nested expressions.
     """
-    word = F.lower(word)
-    a = _step_suffixes(word, [("sses", "ss", None), ("ies", "i", None), ("ss", "ss", None), ("s", "", None)])
-    eed = _step_suffixes(a, [("eed", "ee", SOME)])
-    cut = F.regexp_replace(a, r"(?:ed|ing)$", "")
-    mended = (
-        F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e")))
-        .when(cut.rlike(r"([^aeioulsz])\1$"), F.substring(cut, F.lit(1), F.length(cut) - 1))
-        .when(cut.rlike("^[^aeiou]+[aeiouy][^aeiouwxy]$"), F.concat(cut, F.lit("e")))
-        .otherwise(cut)
-    )
-    b = F.when(a.endswith("eed"), eed).when(a.rlike("[aeiouy].*(?:ed|ing)$"), mended).otherwise(a)
-    c = F.when(b.rlike("[aeiouy].*y$"), F.regexp_replace(b, "y$", "i")).otherwise(b)
-    return F.when(F.length(word) > 2, c).otherwise(word)
+    let = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # evaluates x once
+
+    def step_b(a: Column) -> Column:
+        def mend(cut: Column) -> Column:
+            return (
+                F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e")))
+                .when(cut.rlike(r"([^aeioulsz])\1$"), F.substring(cut, F.lit(1), F.length(cut) - 1))
+                .when(cut.rlike("^[^aeiou]+[aeiouy][^aeiouwxy]$"), F.concat(cut, F.lit("e")))
+                .otherwise(cut)
+            )
+
+        mended = let(F.regexp_replace(a, r"(?:ed|ing)$", ""), mend)
+        return F.when(a.endswith("eed"), _step_suffixes(a, [("eed", "ee", SOME)])).when(a.rlike("[aeiouy].*(?:ed|ing)$"), mended).otherwise(a)
+
+    def stem(w: Column) -> Column:
+        a = _step_suffixes(w, [("sses", "ss", None), ("ies", "i", None), ("ss", "ss", None), ("s", "", None)])
+        c = let(let(a, step_b), lambda b: F.when(b.rlike("[aeiouy].*y$"), F.regexp_replace(b, "y$", "i")).otherwise(b))
+        return F.when(F.length(w) > 2, c).otherwise(w)
+
+    return let(F.lower(word), stem)
 
 
 def postings(blocks: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
     """(keys, field, term, tf) from an array of terms per field; terms are counted where they are made."""
-    each = [blocks.select(*keys, F.lit(name).alias("field"), F.explode(terms).alias("term")) for name, terms in fields.items()]
-    return reduce(DataFrame.unionByName, each).groupBy(*keys, "field", "term").agg(F.count("*").alias("tf"))
+    def tag(name: str, terms: Column) -> Column:
+        return F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.struct(F.lit(name).alias("field"), t.alias("term")))
+
+    tagged = [tag(name, terms) for name, terms in fields.items()]
+    each = blocks.select(*keys, F.explode(F.concat(*tagged)).alias("t"))  # one pass over the texts for all fields
+    return each.groupBy(*keys, "t.field", "t.term").agg(F.count("*").alias("tf"))
 
 
 def index_fields(english: str = "retrieval_text", heading: str = "heading_path", tag: str = "tags") -> dict[str, Column]:
-    """Terms of the four indexed columns. The CJK vocabulary of a block is that of its own headings and tags."""
-    stems = lambda c: F.transform(X.all_matches(F.lower(X.english_text(c)), r"[\p{L}\p{N}]+"), light_stem)
+    """Plain terms of the four indexed columns. The CJK vocabulary of a block is that of its own headings and tags."""
+    words = lambda c: X.all_matches(F.lower(X.english_text(c)), r"[\p{L}\p{N}]+")
     own = X.cjk_vocabulary(F.concat(F.col(heading), F.col(tag)))
     head, marks = F.array_join(F.col(heading), " / "), F.array_join(F.col(tag), " ")
     return {
-        "en": stems(F.col(english)),
+        "en": words(F.col(english)),
         "cjk": X.cjk_tokens(F.col(english), own),
-        "heading": F.concat(stems(head), X.cjk_tokens(head, own)),
-        "tag": F.concat(stems(marks), X.cjk_tokens(marks, own)),
+        "heading": F.concat(words(head), X.cjk_tokens(head, own)),
+        "tag": F.concat(words(marks), X.cjk_tokens(marks, own)),
     }
 
 
+def stemmed(posts: DataFrame) -> DataFrame:
+    """Postings by stem. Each distinct term is stemmed once, not each of its uses."""
+    stems = posts.select("term").distinct().withColumn("stem", light_stem(F.col("term")))
+    keys = [c for c in posts.columns if c not in ("term", "tf")]
+    return posts.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
 def bm25(posts: DataFrame, lengths: DataFrame, query: DataFrame, keys: list[str], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """(query_id, keys, score) for query rows (query_id, term, field).
 

@@ -13,9 +13,9 @@ from lodestrata.operators.chunking import chunk_markdown
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """blocks, postings and weighted lengths of Markdown or plain documents."""
     chunks = chunk_markdown(docs, key, text)
-    blocks = chunks.withColumn("document_id", F.col(key)).withColumn("retrieval_text", F.concat_ws("\n", F.when(F.col("contextual_prefix") != "", F.col("contextual_prefix")), "text")).withColumn("tags", F.array().cast("array<string>"))
+    blocks = chunks.withColumn("document_id", F.col(key)).withColumn("retrieval_text", F.concat_ws("\n", F.when(F.col("contextual_prefix") != "", F.col("contextual_prefix")), "text")).withColumn("tags", F.array().cast("array<string>")).persist()
     keys = ["document_id", "sequence"]
-    posts = R.postings(blocks, keys, R.index_fields())
+    posts = R.stemmed(R.postings(blocks, keys, R.index_fields())).persist()  # read by lengths, frequencies and matches
     weights = F.create_map(*[F.lit(x) for kv in R.FIELD_WEIGHTS.items() for x in kv])
     lengths = posts.groupBy(*keys).agg(F.sum(F.col("tf") * weights[F.col("field")]).alias("length"))
     return blocks, posts, lengths
