@@ -200,7 +200,7 @@ def tags(text: Column) -> Column:
     inline = F.trim(F.regexp_extract(head, r"(?m)^tags:[ \t]*(\S.*)$", 1))
     bare = lambda t: F.regexp_replace(F.regexp_replace(F.trim(t), "^\"|\"$", ""), "^'|'$", "")
     listed = F.transform(F.split(F.regexp_extract(inline, r"^\[(.*)\]$", 1), ","), bare)
-    block = F.regexp_extract(head + F.lit("\n"), r"(?m)^tags:[ \t]*\r?\n((?:  .*\r?\n|\r?\n)*)", 1)
+    block = F.regexp_extract(F.concat(head, F.lit("\n")), r"(?m)^tags:[ \t]*\r?\n((?:  .*\r?\n|\r?\n)*)", 1)
     lines = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^  - (.*)$"), 1), lambda t: F.regexp_replace(F.trim(t), '^"|"$', ""))
     found = F.when(inline.rlike(r"^\[.*\]$"), listed).when(inline != "", F.array().cast("array<string>")).otherwise(lines)
     return F.array_distinct(F.filter(found, lambda t: t != ""))
