@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
 from lodestrata.operators.joins import sharing_terms
+from lodestrata.operators.lineage import cut
 
 #: Kinds in the order in which batches are filled (fixed values).
 KINDS = ["grammar", "vocabulary", "phrase", "sentence-pattern", "exercise", "other"]
@@ -46,13 +47,13 @@ def candidate_clusters(items: DataFrame, rounds: int = 50) -> DataFrame:
     neighbours until none changes; each round starts from a checkpoint.
     """
     pairs = sharing_terms(items)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("cluster")).withColumnRenamed("a", "ordinal").checkpoint()
+    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("cluster")).withColumnRenamed("a", "ordinal"))
     for _ in range(rounds):
         seen = both.join(labels.withColumnRenamed("ordinal", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near")).withColumnRenamed("a", "ordinal")
         step = labels.join(seen, "ordinal").select("ordinal", "cluster", F.least("cluster", "near").alias("new"))
         jump = labels.select(F.col("ordinal").alias("new"), F.col("cluster").alias("root"))
-        new = step.join(jump, "new").select("ordinal", "cluster", F.least("new", "root").alias("new")).checkpoint()
+        new = cut(step.join(jump, "new").select("ordinal", "cluster", F.least("new", "root").alias("new")))
         done = new.where("new <> cluster").isEmpty()
         labels = new.select("ordinal", F.col("new").alias("cluster"))
         if done:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.operators.lineage import cut
+
 
 def with_rank(rows: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
     """Adds ``rank`` from 0 in the order of the columns.
@@ -14,7 +16,7 @@ def with_rank(rows: DataFrame, order: list[str], buckets: int = 64) -> DataFrame
     buckets, one row each, give the offsets, and rows are numbered inside a bucket.
     The result does not depend on where the cuts fall.
     """
-    ranged = rows.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    ranged = cut(rows.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     inside = F.row_number().over(W.partitionBy("__part").orderBy(*order))
