@@ -39,7 +39,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-copies link, the one with the smallest id stays, and so does each document without links."""
     ship(spark)
-    labels = link_components(spark, docs)
+    labels, _ = link_components(spark, docs)
     gone = labels.where("id != label").select(F.col("id").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -36,26 +36,30 @@ def byte_letters() -> list[str]:
 
 
 class RankTree:
-    """Minimum over leaves of (rank, position), with point updates."""
+    """Minimum over leaves of rank * size + position: the lowest rank, and of equal ranks the leftmost."""
 
     def __init__(self, ranks: list[int]):
-        self.size = 1 << max(1, (len(ranks) - 1).bit_length())
-        self.tree = [NONE] * self.size + [NONE] * self.size
-        for i, r in enumerate(ranks):
-            if r != NONE:
-                self.tree[self.size + i] = r * self.size + i
-        for i in range(self.size - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+        size = self.size = 1 << (len(ranks) - 1).bit_length()
+        tree = [NONE] * size
+        tree += [NONE if r == NONE else r * size + i for i, r in enumerate(ranks)]
+        tree += [NONE] * (2 * size - len(tree))
+        for i in range(size - 1, 0, -1):
+            a, b = tree[2 * i], tree[2 * i + 1]
+            tree[i] = a if a < b else b
+        self.tree = tree
 
     def set(self, i: int, rank: int) -> None:
-        tree, at = self.tree, self.size + i
-        tree[at] = NONE if rank == NONE else rank * self.size + i
+        tree, size = self.tree, self.size
+        at = size + i
+        tree[at] = NONE if rank == NONE else rank * size + i
         while at > 1:
+            a, b = tree[at], tree[at ^ 1]
             at >>= 1
-            least = min(tree[2 * at], tree[2 * at + 1])
-            if tree[at] == least:
+            if b < a:
+                a = b
+            if tree[at] == a:
                 return
-            tree[at] = least
+            tree[at] = a
 
     def lowest(self) -> int:
         """Position of the leftmost pair of lowest rank, or -1."""
@@ -65,7 +69,7 @@ class RankTree:
 class Bpe:
     """Encoder and decoder for a vocabulary file with word-end marks; plain data, so it can be broadcast."""
 
-    def __init__(self, path: str, remember: int = 100_000):
+    def __init__(self, path: str, remember: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -73,18 +77,17 @@ class Bpe:
         self.token = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
-        self.merge = {}
+        self.rank, self.made = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.rank[vocab[a] << 20 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.end] for c in letters]
         self.remember = remember
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     def word_ids(self, word: str) -> list[int]:
         raw = word.encode()
@@ -92,32 +95,36 @@ class Bpe:
         n = len(ids)
         if n == 1:
             return ids
-        none = (NONE, -1)
-        rank = lambda a, b: self.merge.get((a, b), none)[0]
-        tree = RankTree([rank(a, b) for a, b in zip(ids, ids[1:])])
+        rank = self.rank.get
+        tree = RankTree([rank(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (i := tree.lowest()) >= 0:
             j = after[i]
-            ids[i] = self.merge[ids[i], ids[j]][1]
+            new = ids[i] = self.made[rank(ids[i] << 20 | ids[j])]
             ids[j] = -1
             k = after[i] = after[j]
-            tree.set(j, NONE) if j < n - 1 else None
             if k < n:
                 before[k] = i
-            tree.set(i, rank(ids[i], ids[k]) if k < n else NONE)
-            if (h := before[i]) >= 0:
-                tree.set(h, rank(ids[h], ids[i]))
+                tree.set(j, NONE)
+                tree.set(i, rank(new << 20 | ids[k], NONE))
+            else:
+                tree.set(i, NONE)
+            h = before[i]
+            if h >= 0:
+                tree.set(h, rank(ids[h] << 20 | new, NONE))
         return [x for x in ids if x >= 0]
 
     def encoded(self, word: str) -> tuple[bytes, str]:
         """A word's ids as little-endian 32-bit integers, and its tokens as text."""
-        if (out := self.known.get(word)) is None:
-            ids = self.word_ids(word)
-            out = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        if (out := self.young.get(word)) is None:
+            if (out := self.old.get(word)) is None:
+                ids = self.word_ids(word)
+                out = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
             if len(word) <= 64:
-                if len(self.known) >= self.remember:
-                    self.known.clear()
-                self.known[word] = out
+                # two generations: words that recur move on, the rest is forgotten
+                if len(self.young) >= self.remember:
+                    self.young, self.old = {}, self.young
+                self.young[word] = out
         return out
 
     def words(self, text: str) -> list[str]:

@@ -6,13 +6,14 @@ count table of fixed size over all documents, so it is the same in every task.
 1. A link needs a common n-gram in the first part of both documents (the prefix);
    the postings of these n-grams are dealt out by n-gram, and only those held by
    two documents or more go on.
-2. Star rounds: in each posting list the members are paired with a few members
-   drawn as hubs, so that the pairs stay in proportion to the list. A pair is
+2. Star rounds: in each posting list the members are paired with one member drawn
+   as hub, so that the pairs stay in proportion to the list. Sizes, places in the
+   order and parity bits rule out pairs that cannot link, and no others. A pair is
    settled exactly: the order is cut into fragments, each fragment counts the
    pair's partial overlap alone, and the sums per pair decide.
 3. Linked documents form components. Members of one component need no further
-   pair; all pairs across components that share a posting and whose lengths and
-   positions allow a link are listed and settled in the same way. So no link
+   pair; all pairs across components that share a posting and that the same bounds
+   allow are listed and settled in the same way. So no link
    between components is lost, and the components are those of the full join.
 """
 
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import Workspace, read, shuffle_partitions
 from lodestrata.llm.graph import components
-from lodestrata.llm.shingles import count_table, hashed, keep_shared, pack, rows_of, shingle_set
+from lodestrata.llm.shingles import STEP, IdFilter, count_table, hashed, pack, parity_bits, rows_of, runs_of_equal, shingle_set
+
+PARITY = 512
+
 
 class Order:
     """The global n-gram order and its cuts into fragments of about equal mass."""
@@ -69,12 +72,14 @@ def _prefixes(docs: DataFrame, order, percent: int) -> DataFrame:
     return docs.mapInArrow(emit, "value long, id long, n long, p long")
 
 
-def _segments(docs: DataFrame, order) -> DataFrame:
-    """id, n, fragment and its n-grams: a document's set cut along the global order."""
+def _segments(docs: DataFrame, order, wanted) -> DataFrame:
+    """id, n, fragment and its n-grams of the wanted documents: a document's set cut along the global order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = order.value
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(wanted.value.passes(batch.column(0).to_numpy())))
             ids, ns, fs, vs = [], [], [], []
             for i, text in rows_of([batch]):
                 s = shingle_set(text)
@@ -90,22 +95,49 @@ def _settle(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: partial overlaps per fragment, summed per pair."""
     left = segments.select(F.col("id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
+    both = pairs.select("a", "b").hint("merge").join(left, "a").join(right.hint("merge"), ["b", "fragment"])  # both sides grow with the corpus
     part = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("part"))
     part = part.groupBy("a", "b", "fragment").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("part").alias("part"))
     whole = part.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("part").alias("both"))
     return whole.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b", "both")
 
 
-def _star_pairs(shared: DataFrame, seed: int, hubs: int, tries: int, percent: int) -> DataFrame:
-    """For each document its ``tries`` most promising hubs: those with the most common postings."""
-    pairs = None
-    for k in range(hubs):
-        drawn = shared.groupBy("value").agg(F.min_by(F.struct("id", "n", "p"), hashed("id", seed + k)).alias("hub"))
-        one = shared.join(drawn, "value").where("id != hub.id").where(_may_link("n", "p", "hub.n", "hub.p", percent)).select("id", F.col("hub.id").alias("hub"))
-        pairs = one if pairs is None else pairs.unionByName(one)
-    best = W.partitionBy("id").orderBy(F.desc("c"), "hub")  # a document's distinct hubs: a few per posting of its prefix
-    return pairs.groupBy("id", "hub").agg(F.count("*").alias("c")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= tries).select("id", "hub")
+def _with_hub(postings: DataFrame, partitions: int, seed: int) -> DataFrame:
+    """The postings of lists with two documents or more, each with its list's hub: the member whose hash is least."""
+    names = ["value", "id", "n", "p"]
+    salt = np.uint64((2 * seed + 1) * int(STEP) % 2**64)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([(x, pa.int64()) for x in names]))
+        columns = [table.column(x).to_numpy() for x in names]
+        keep = runs_of_equal(columns[0], columns[1])
+        value, ids, n, p = (c[keep] for c in columns)
+        mixed = (ids.view(np.uint64) + salt) * STEP
+        mixed ^= mixed >> np.uint64(31)
+        order = np.lexsort((ids, mixed * STEP, value))
+        value, ids, n, p = (c[order] for c in (value, ids, n, p))
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.empty(0, np.int64)
+        hub = np.repeat(starts, np.diff(np.r_[starts, len(value)]))
+        out = [value, ids, n, p, ids[hub], n[hub], p[hub]]
+        for at in range(0, max(len(value), 1), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in out], names=[*names, "hub", "hn", "hp"])
+
+    return postings.select(*names).repartition(partitions, "value").mapInArrow(shared, "value long, id long, n long, p long, hub long, hn long, hp long")
+
+
+def _star_pairs(shared: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """For each document its most promising hub: the one with the most common postings."""
+    pairs = shared.where("id != hub").where(_may_link("n", "p", "hn", "hp", percent)).groupBy("id", "hub").agg(F.count("*").alias("c"))
+    mine = features.select("id", "n", "parity")
+    theirs = features.select(F.col("id").alias("hub"), F.col("n").alias("hn"), F.col("parity").alias("hub_parity"))
+    # both sides grow with the corpus, so the joins are sort-merge joins at every size
+    pairs = pairs.join(mine.hint("merge"), "id").join(theirs.hint("merge"), "hub").where(f"(100 + {percent}) * ({_differ('parity', 'hub_parity')}) <= (100 - {percent}) * (n + hn)")
+    return pairs.groupBy("id").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("id").alias("a"), "best.hub").withColumnRenamed("hub", "b")
+
+
+def _differ(a: str, b: str) -> str:
+    """In how many bits two bit strings of the same number of longs differ."""
+    return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(PARITY // 64))
 
 
 def _may_link(n: str, p: str, m: str, q: str, percent: int) -> str:
@@ -113,16 +145,18 @@ def _may_link(n: str, p: str, m: str, q: str, percent: int) -> str:
     return f"(100 + {percent}) * least({n} - {p}, {m} - {q}) >= {percent} * ({n} + {m})"
 
 
-def _cross_pairs(shared: DataFrame, labels: DataFrame, partitions: int, percent: int) -> DataFrame:
-    """All pairs of different components in a posting list that lengths and places allow."""
-    rows = shared.join(labels, "id", "left").select("value", "id", "n", "p", F.coalesce("label", "id").alias("label"))
+def _cross_pairs(rows: DataFrame, features: DataFrame, partitions: int, percent: int) -> DataFrame:
+    """All pairs of different components in a posting list that lengths, places and parity bits allow."""
+    rows = rows.select("value", "id", "p", "label").join(features.select("id", "n", "parity").hint("merge"), "id")
     names = ["value", "id", "n", "p", "label"]
+    schema = pa.schema([(x, pa.int64()) for x in names] + [("parity", pa.list_(pa.int64()))])
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([(x, pa.int64()) for x in names]))
+        table = pa.Table.from_batches([b.cast(schema) if b.schema != schema else b for b in batches], schema=schema)
         value, ids, n, p, label = (table.column(x).to_numpy() for x in names)
+        bits = table.column("parity").combine_chunks().flatten().to_numpy().reshape(-1, PARITY // 64).view(np.uint64)
         order = np.lexsort((ids, label, value))
-        value, ids, n, p, label = (x[order] for x in (value, ids, n, p, label))
+        value, ids, n, p, label, bits = (x[order] for x in (value, ids, n, p, label, bits))
         starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else []
         ends = np.r_[starts[1:], len(value)].astype(int)
         found: set[tuple[int, int]] = set()
@@ -132,13 +166,15 @@ def _cross_pairs(shared: DataFrame, labels: DataFrame, partitions: int, percent:
             for i in range(s, e):
                 j = i + 1 + np.flatnonzero(label[i + 1 : e] != label[i])
                 j = j[(100 + percent) * np.minimum(n[i] - p[i], n[j] - p[j]) >= percent * (n[i] + n[j])]
-                found.update((min(ids[i], x), max(ids[i], x)) for x in ids[j])
-                if len(found) > 50_000:
-                    yield _pairs(found)
-                    found = set()
+                if len(j):
+                    j = j[(100 + percent) * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[i] + n[j])]
+                    found.update((min(ids[i], x), max(ids[i], x)) for x in ids[j])
+            if len(found) > 50_000:
+                yield _pairs(found)
+                found = set()
         yield _pairs(found)
 
-    return rows.repartition(partitions, "value").mapInArrow(cross, "a long, b long").distinct()
+    return rows.select(*names, "parity").repartition(partitions, "value").mapInArrow(cross, "a long, b long").distinct()
 
 
 def _pairs(found: set) -> pa.RecordBatch:
@@ -146,8 +182,23 @@ def _pairs(found: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, hubs: int = 3, tries: int = 3, rounds: int = 2, fragments: int = 4, bits: int = 20) -> DataFrame:
-    """(id, label) of all documents that link with another: label is the least id reachable by links.
+def features(docs: DataFrame) -> DataFrame:
+    """id, n and parity bits of each row (id, text); rows with a null id too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            bits = np.frombuffer(b"".join(map(parity_bits, sets)), np.int64).reshape(-1, PARITY // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(bits), pa.list_(pa.int64()))], names=["id", "n", "parity"])
+
+    return docs.mapInArrow(run, "id long, n long, parity array<long>")
+
+
+def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, rounds: int = 3, fragments: int = 4, bits: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(labels, sizes) of a table of documents.
+
+    labels: id, label of all documents that link with another: label is the least id
+    reachable by links. sizes: id, n (size of the set) of each row.
 
     A document's set holds its distinct five-word n-grams (A-Z lower-cased); fewer
     words count as one n-gram; null or blank texts have none and link with nothing.
@@ -158,47 +209,44 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     ws = Workspace(spark, "ngram-join")
     parts = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(Order(count_table(spark, texts, bits), fragments))
-    shared = ws.table(keep_shared(_prefixes(texts, order, percent), parts), "shared")
-    links, labels, open_lists = None, None, shared
-    for r in range(rounds):
-        star = ws.table(_star_pairs(open_lists, 100 * r, hubs, tries, percent).select(F.col("id").alias("a"), F.col("hub").alias("b")), f"star{r}")
-        new = ws.table(_links(ws, star, texts, order, percent), f"links{r}")
-        links = new if links is None else links.unionByName(new)
+    each = ws.table(features(texts), "features")
+    known = each.where("id IS NOT NULL").dropDuplicates(["id"])
+    order = spark.sparkContext.broadcast(Order(count_table(texts, bits), fragments))
+    shared = ws.table(_with_hub(_prefixes(texts, order, percent), parts, 0), "shared")
+    star = ws.table(_star_pairs(shared, known, percent), "star")
+    links = _links(ws, star, texts, order, percent)
+    labels = components(spark, ws, links)
+    lists = ws.table(_open(shared, labels), "open")
+    for r in range(1, rounds):
+        star = ws.table(_star_pairs(_with_hub(_stand_ins(lists), parts, r), known, percent), "star")
+        links = links.unionByName(_links(ws, star, texts, order, percent))
         labels = components(spark, ws, links)
-        if r + 1 < rounds:
-            open_lists = ws.table(_open(shared, labels), "open")
-    pairs = ws.table(_cross_pairs(shared, labels, parts, percent), "cross")
+        lists = ws.table(_open(lists, labels), "open")
+    pairs = ws.table(_cross_pairs(lists, known, parts, percent), "cross")
     links = links.unionByName(_links(ws, pairs, texts, order, percent))
-    return components(spark, ws, links)
+    return components(spark, ws, links), each.select("id", "n")
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """One member for each component of the posting lists that hold several, as the component's stand-in."""
-    rows = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    stand = rows.groupBy("value", "label").agg(F.min_by(F.struct("id", "n", "p"), hashed("id", 77)).alias("m"))
-    lists = stand.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
-    return stand.join(lists, "value").select("value", "m.id", "m.n", "m.p")
+    """The posting lists that hold several components, with each member's component."""
+    rows = shared.select("value", "id", "n", "p").join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    lists = rows.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("value")
+    return rows.join(lists.hint("merge"), "value", "left_semi")
 
 
-def _links(ws: Workspace, pairs: DataFrame, texts: DataFrame, order, percent: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    segments = ws.table(_segments(texts.join(ids, "id", "left_semi"), order), "segments")
-    return _settle(pairs, segments, percent)
-
+def _stand_ins(lists: DataFrame) -> DataFrame:
+    """One member for each component of a posting list."""
+    return lists.groupBy("value", "label").agg(F.min_by(F.struct("id", "n", "p"), hashed("id", 77)).alias("m")).select("value", "m.id", "m.n", "m.p")
 
-def set_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and number of distinct five-word n-grams of each row."""
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(shingle_set(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["id", "n"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sizes, "id long, n long")
+def _links(ws: Workspace, pairs: DataFrame, texts: DataFrame, order, percent: int) -> DataFrame:
+    wanted = ws.spark.sparkContext.broadcast(IdFilter(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))))
+    segments = ws.table(_segments(texts, order, wanted), "segments")
+    links = ws.table(_settle(pairs, segments, percent), "links")
+    ws.drop(segments)
+    return links
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = link_components(spark, docs)
-    return set_sizes(docs).join(labels, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    labels, sizes = link_components(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sizes.join(labels, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))

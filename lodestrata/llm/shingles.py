@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Odd multiplier that makes a shingle's fingerprint depend on the order of its words.
@@ -50,25 +50,26 @@ def pack(names: list[str], kinds: list[pa.DataType], columns: list[list[np.ndarr
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def count_table(spark: SparkSession, docs: DataFrame, bits: int = 20) -> np.ndarray:
-    """In how many documents shingles of each hash bucket occur, over all documents.
+def bucket_counts(rows: DataFrame, buckets_of, bits: int) -> np.ndarray:
+    """How often each of 2**bits buckets occurs, over all rows; ``buckets_of`` gives a batch's buckets.
 
-    The table has 2**bits counters whatever the input (8 MB at 20 bits), so it may go
-    to the driver and to all tasks. Shingles that share a bucket share its count.
+    The table is as large for any input (8 MB at 20 bits), so it may go to the driver
+    and to all tasks. Tasks send compressed blocks of it, which are added up by block.
     """
-    mask = np.uint64((1 << bits) - 1)
+    size = min(BLOCK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, waiting, n = np.zeros(1 << bits, np.int64), [], 0
-        for _, text in rows_of(batches):
-            waiting.append((shingle_set(text) & mask).astype(np.int64))
-            n += len(waiting[-1])
+        for batch in batches:
+            for b in buckets_of(batch):
+                waiting.append(b)
+                n += len(b)
             if n > 1 << 20:
                 table += np.bincount(np.concatenate(waiting), minlength=1 << bits)
                 waiting, n = [], 0
-        if waiting:
+        if n:
             table += np.bincount(np.concatenate(waiting), minlength=1 << bits)
-        blocks = table.reshape(-1, min(BLOCK, 1 << bits))
+        blocks = table.reshape(-1, size)
         used = np.flatnonzero(blocks.any(axis=1))
         for part in np.array_split(used, max(1, len(used) // 64)):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in part], pa.binary())], names=["block", "counts"])
@@ -76,18 +77,42 @@ def count_table(spark: SparkSession, docs: DataFrame, bits: int = 20) -> np.ndar
     def add(key, pdf):
         import pandas as pd
 
-        total = np.zeros(min(BLOCK, 1 << bits), np.int64)
+        total = np.zeros(size, np.int64)
         for c in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(c), np.int64)
         return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    parts = docs.mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(add, "block long, counts binary")
-    table = np.zeros(1 << bits, np.int64).reshape(-1, min(BLOCK, 1 << bits))
-    for row in parts.collect():
+    table = np.zeros(1 << bits, np.int64).reshape(-1, size)
+    for row in rows.mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(add, "block long, counts binary").collect():
         table[row.block] = np.frombuffer(zlib.decompress(row.counts), np.int64)
     return table.reshape(-1)
 
 
+def count_table(docs: DataFrame, bits: int = 20) -> np.ndarray:
+    """In how many documents shingles of each hash bucket occur. Shingles that share a bucket share its count."""
+    mask = np.uint64((1 << bits) - 1)
+    return bucket_counts(docs, lambda batch: ((shingle_set(t) & mask).astype(np.int64) for _, t in rows_of([batch])), bits)
+
+
+class IdFilter:
+    """A bit table of ids, of a fixed size: ids that were put in always pass, others rarely while it is sparse."""
+
+    def __init__(self, ids: DataFrame, bits: int = 22):
+        self.bits = bits
+        self.table = np.packbits(bucket_counts(ids, lambda batch: [self.places(batch.column(0).to_numpy(zero_copy_only=False))], bits) > 0)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        x = ids.astype(np.int64).view(np.uint64) * STEP
+        return ((x ^ (x >> np.uint64(29))) * STEP >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __getstate__(self):
+        return self.__dict__
+
+    def passes(self, ids: np.ndarray) -> np.ndarray:
+        at = self.places(ids)
+        return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def runs_of_equal(values: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Indices, sorted by value and id, of the entries whose value occurs under two ids at least."""
     order = np.lexsort((ids, values))
@@ -115,6 +140,15 @@ def keep_shared(postings: DataFrame, partitions: int) -> DataFrame:
     return postings.repartition(partitions, "value").mapInArrow(shared, ", ".join(f"{n} long" for n in names))
 
 
+def parity_bits(s: np.ndarray, bits: int = 512) -> bytes:
+    """For each bit, whether an odd number of the set's members falls on it.
+
+    Two sets differ in at least as many members as their parity bits differ in bits.
+    """
+    odd = np.bincount((s >> np.uint64(33)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def hashed(column: str, seed: int):
     """A pseudo-random order of ids that changes with the seed."""
     return F.xxhash64(F.col(column), F.lit(seed))
