@@ -12,9 +12,11 @@ count table of fixed size over all documents, so it is the same in every task.
    settled exactly: the order is cut into fragments, each fragment counts the
    pair's partial overlap alone, and the sums per pair decide.
 3. Linked documents form components. Members of one component need no further
-   pair; all pairs across components that share a posting and that the same bounds
-   allow are listed and settled in the same way. So no link
-   between components is lost, and the components are those of the full join.
+   pair. In the later rounds the pairs closest by parity bits stand for two
+   components that meet, as one link is enough to join them.
+4. All pairs across the components that are left, that share a posting and that the
+   same bounds allow, are listed and settled in the same way. So no link between
+   components is lost, and the components are those of the full join.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import Workspace, read, shuffle_partitions
 from lodestrata.llm.graph import components
-from lodestrata.llm.shingles import STEP, IdFilter, count_table, hashed, pack, parity_bits, rows_of, runs_of_equal, shingle_set
+from lodestrata.llm.shingles import STEP, IdFilter, Tally, hashed, pack, parity_bits, rows_of, runs_of_equal, shingle_set, summed
 
 PARITY = 512
 
@@ -135,6 +137,23 @@ def _star_pairs(shared: DataFrame, features: DataFrame, percent: int) -> DataFra
     return pairs.groupBy("id").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("id").alias("a"), "best.hub").withColumnRenamed("hub", "b")
 
 
+def _bridges(shared: DataFrame, labels: DataFrame, features: DataFrame, percent: int, tries: int = 3) -> DataFrame:
+    """For each two components that meet through hubs the closest pairs by parity bits, ``tries`` at most.
+
+    One link joins two components whatever their sizes, so it is looked for before all pairs are.
+    """
+    pairs = shared.where("id != hub").where(_may_link("n", "p", "hn", "hp", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    for c in ("a", "b"):
+        mine = features.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+        own = labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+        pairs = pairs.join(mine.hint("merge"), c).join(own.hint("merge"), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    pairs = pairs.where("label_a != label_b").withColumn("differ", F.expr(_differ("parity_a", "parity_b")))
+    pairs = pairs.where(f"(100 + {percent}) * differ <= (100 - {percent}) * (n_a + n_b)")
+    near = F.struct(F.col("differ") / (F.col("n_a") + F.col("n_b")), "a", "b")
+    keys = [F.least("label_a", "label_b").alias("x"), F.greatest("label_a", "label_b").alias("y"), F.pmod(hashed("a", 55), F.lit(tries)).alias("try")]
+    return pairs.groupBy(*keys).agg(F.min_by(F.struct("a", "b"), near).alias("best")).select("best.a", "best.b")
+
+
 def _differ(a: str, b: str) -> str:
     """In how many bits two bit strings of the same number of longs differ."""
     return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(PARITY // 64))
@@ -182,16 +201,34 @@ def _pairs(found: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """id, n and parity bits of each row (id, text); rows with a null id too."""
+def _measured(docs: DataFrame, bits: int) -> DataFrame:
+    """Two kinds of rows from one reading of the texts.
+
+    id, n and parity bits of each row (id, text), rows with a null id too; and, with a
+    number in ``block``, counts of the documents that hold n-grams of each hash bucket.
+    """
+    names = ["id", "n", "parity", "block", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+
+    def rows(columns: list) -> pa.RecordBatch:
+        size = max(len(c) for c in columns)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) if len(c) else pa.nulls(size, k) for c, k in zip(columns, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, mask = Tally(bits), np.uint64((1 << bits) - 1)
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             sets = [shingle_set(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            bits = np.frombuffer(b"".join(map(parity_bits, sets)), np.int64).reshape(-1, PARITY // 64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(bits), pa.list_(pa.int64()))], names=["id", "n", "parity"])
+            for i, s in zip(ids, sets):
+                if i is not None:
+                    tally.add((s & mask).astype(np.int64))
+            if ids:
+                yield rows([ids, [len(s) for s in sets], [np.frombuffer(parity_bits(s, PARITY), np.int64) for s in sets], [], []])
+        for part, counts in tally.blocks():
+            if part:
+                yield rows([[], [], [], part, counts])
 
-    return docs.mapInArrow(run, "id long, n long, parity array<long>")
+    return docs.mapInArrow(run, "id long, n long, parity array<long>, block long, counts binary")
 
 
 def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, rounds: int = 3, fragments: int = 4, bits: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -209,20 +246,21 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     ws = Workspace(spark, "ngram-join")
     parts = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    each = ws.table(features(texts), "features")
+    measured = ws.table(_measured(texts, bits), "measured")
+    each = measured.where("block IS NULL").select("id", "n", "parity")
     known = each.where("id IS NOT NULL").dropDuplicates(["id"])
-    order = spark.sparkContext.broadcast(Order(count_table(texts, bits), fragments))
+    order = spark.sparkContext.broadcast(Order(summed(measured.where("block IS NOT NULL").select("block", "counts"), bits), fragments))
     shared = ws.table(_with_hub(_prefixes(texts, order, percent), parts, 0), "shared")
     star = ws.table(_star_pairs(shared, known, percent), "star")
     links = _links(ws, star, texts, order, percent)
     labels = components(spark, ws, links)
     lists = ws.table(_open(shared, labels), "open")
     for r in range(1, rounds):
-        star = ws.table(_star_pairs(_with_hub(_stand_ins(lists), parts, r), known, percent), "star")
+        star = ws.table(_bridges(_with_hub(lists, parts, r), labels, known, percent), "star")
         links = links.unionByName(_links(ws, star, texts, order, percent))
         labels = components(spark, ws, links)
         lists = ws.table(_open(lists, labels), "open")
-    pairs = ws.table(_cross_pairs(lists, known, parts, percent), "cross")
+    pairs = ws.table(_cross_pairs(_merged(lists), known, parts, percent), "cross")
     links = links.unionByName(_links(ws, pairs, texts, order, percent))
     return components(spark, ws, links), each.select("id", "n")
 
@@ -234,9 +272,15 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(lists.hint("merge"), "value", "left_semi")
 
 
-def _stand_ins(lists: DataFrame) -> DataFrame:
-    """One member for each component of a posting list."""
-    return lists.groupBy("value", "label").agg(F.min_by(F.struct("id", "n", "p"), hashed("id", 77)).alias("m")).select("value", "m.id", "m.n", "m.p")
+def _merged(lists: DataFrame) -> DataFrame:
+    """One list for all lists of the same members, such as those of one passage, with each member's least place.
+
+    Should different lists share a signature, their union only adds candidates.
+    """
+    marks = lists.groupBy("value").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(hashed("id", 99)).alias("y"))
+    marks = marks.select("value", F.xxhash64("c", "x", "y").alias("members"))
+    rows = lists.join(marks.hint("merge"), "value").groupBy("members", "id").agg(F.min("p").alias("p"), F.min("label").alias("label"))
+    return rows.withColumnRenamed("members", "value")
 
 
 def _links(ws: Workspace, pairs: DataFrame, texts: DataFrame, order, percent: int) -> DataFrame:

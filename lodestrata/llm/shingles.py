@@ -50,30 +50,39 @@ def pack(names: list[str], kinds: list[pa.DataType], columns: list[list[np.ndarr
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def bucket_counts(rows: DataFrame, buckets_of, bits: int) -> np.ndarray:
-    """How often each of 2**bits buckets occurs, over all rows; ``buckets_of`` gives a batch's buckets.
+class Tally:
+    """Counts of buckets in a table of fixed size, given out as compressed blocks."""
+
+    def __init__(self, bits: int):
+        self.table, self.waiting, self.n = np.zeros(1 << bits, np.int64), [], 0
+
+    def add(self, buckets: np.ndarray) -> None:
+        self.waiting.append(buckets)
+        self.n += len(buckets)
+        if self.n > 1 << 20:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.n:
+            self.table += np.bincount(np.concatenate(self.waiting), minlength=len(self.table))
+        self.waiting, self.n = [], 0
+
+    def blocks(self) -> Iterator[tuple[list[int], list[bytes]]]:
+        """Numbers and compressed counts of the blocks that have any, a few at a time."""
+        self._flush()
+        blocks = self.table.reshape(-1, min(BLOCK, len(self.table)))
+        used = np.flatnonzero(blocks.any(axis=1))
+        for part in np.array_split(used, max(1, len(used) // 64)):
+            yield part.tolist(), [zlib.compress(blocks[b].tobytes(), 1) for b in part]
+
+
+def summed(blocks: DataFrame, bits: int) -> np.ndarray:
+    """The table of 2**bits counts whose blocks (block, counts) tasks gave out.
 
-    The table is as large for any input (8 MB at 20 bits), so it may go to the driver
-    and to all tasks. Tasks send compressed blocks of it, which are added up by block.
+    It is as large for any input (8 MB at 20 bits), so it may go to the driver and to all tasks.
     """
     size = min(BLOCK, 1 << bits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, waiting, n = np.zeros(1 << bits, np.int64), [], 0
-        for batch in batches:
-            for b in buckets_of(batch):
-                waiting.append(b)
-                n += len(b)
-            if n > 1 << 20:
-                table += np.bincount(np.concatenate(waiting), minlength=1 << bits)
-                waiting, n = [], 0
-        if n:
-            table += np.bincount(np.concatenate(waiting), minlength=1 << bits)
-        blocks = table.reshape(-1, size)
-        used = np.flatnonzero(blocks.any(axis=1))
-        for part in np.array_split(used, max(1, len(used) // 64)):
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in part], pa.binary())], names=["block", "counts"])
-
     def add(key, pdf):
         import pandas as pd
 
@@ -83,15 +92,23 @@ def bucket_counts(rows: DataFrame, buckets_of, bits: int) -> np.ndarray:
         return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     table = np.zeros(1 << bits, np.int64).reshape(-1, size)
-    for row in rows.mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(add, "block long, counts binary").collect():
+    for row in blocks.groupBy("block").applyInPandas(add, "block long, counts binary").collect():
         table[row.block] = np.frombuffer(zlib.decompress(row.counts), np.int64)
     return table.reshape(-1)
 
 
-def count_table(docs: DataFrame, bits: int = 20) -> np.ndarray:
-    """In how many documents shingles of each hash bucket occur. Shingles that share a bucket share its count."""
-    mask = np.uint64((1 << bits) - 1)
-    return bucket_counts(docs, lambda batch: ((shingle_set(t) & mask).astype(np.int64) for _, t in rows_of([batch])), bits)
+def bucket_counts(rows: DataFrame, buckets_of, bits: int) -> np.ndarray:
+    """How often each of 2**bits buckets occurs, over all rows; ``buckets_of`` gives a batch's buckets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(bits)
+        for batch in batches:
+            for b in buckets_of(batch):
+                tally.add(b)
+        for part, counts in tally.blocks():
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts, pa.binary())], names=["block", "counts"])
+
+    return summed(rows.mapInArrow(count, "block long, counts binary"), bits)
 
 
 class IdFilter:
