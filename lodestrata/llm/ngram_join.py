@@ -12,8 +12,8 @@ count table of fixed size over all documents, so it is the same in every task.
    settled exactly: the order is cut into fragments, each fragment counts the
    pair's partial overlap alone, and the sums per pair decide.
 3. Linked documents form components. Members of one component need no further
-   pair. In the later rounds the pairs closest by parity bits stand for two
-   components that meet, as one link is enough to join them.
+   pair. In the later rounds each component tries its closest pairs by parity bits
+   with others, as one link is enough to join two components.
 4. All pairs across the components that are left, that share a posting and that the
    same bounds allow, are listed and settled in the same way. So no link between
    components is lost, and the components are those of the full join.
@@ -137,21 +137,46 @@ def _star_pairs(shared: DataFrame, features: DataFrame, percent: int) -> DataFra
     return pairs.groupBy("id").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("id").alias("a"), "best.hub").withColumnRenamed("hub", "b")
 
 
-def _bridges(shared: DataFrame, labels: DataFrame, features: DataFrame, percent: int, tries: int = 3) -> DataFrame:
-    """For each two components that meet through hubs the closest pairs by parity bits, ``tries`` at most.
+def _bridges(lists: DataFrame, features: DataFrame, partitions: int, seed: int, percent: int, tries: int = 4, width: int = 4) -> DataFrame:
+    """For each component its closest pairs by parity bits with others, one of each of ``tries`` random parts.
 
-    One link joins two components whatever their sizes, so it is looked for before all pairs are.
+    Each posting list stands in a pseudo-random order of its own, and members of
+    different components up to ``width`` places apart are candidates: in proportion to
+    postings, with other partners from list to list. One link joins two components whatever their sizes,
+    so it is looked for before all pairs are.
     """
-    pairs = shared.where("id != hub").where(_may_link("n", "p", "hn", "hp", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    names = ["value", "id", "n", "p", "label"]
+    salt = np.uint64((2 * seed + 1) * int(STEP) % 2**64)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([(x, pa.int64()) for x in names]))
+        value, ids, n, p, label = (table.column(x).to_numpy() for x in names)
+        mixed = (ids.view(np.uint64) * STEP ^ value.view(np.uint64)) * STEP + salt
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * STEP
+        order = np.lexsort((ids, mixed ^ (mixed >> np.uint64(29)), value))
+        value, ids, n, p, label = (c[order] for c in (value, ids, n, p, label))
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+        for step in range(1, width + 1):
+            x, y = slice(None, -step), slice(step, None)
+            pair = (value[x] == value[y]) & (label[x] != label[y])
+            pair &= (100 + percent) * np.minimum(n[x] - p[x], n[y] - p[y]) >= percent * (n[x] + n[y])
+            at = np.flatnonzero(pair)
+            swap = step * (ids[at] > ids[at + step])
+            for c, v in zip(found, (ids[at + swap], ids[at + step - swap], label[at + swap], label[at + step - swap])):
+                c.append(v)
+        out = [np.concatenate(c) for c in found]
+        at = out[0]
+        for k in range(0, max(len(at), 1), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in out], names=["a", "b", "label_a", "label_b"])
+
+    pairs = lists.select(*names).repartition(partitions, "value").mapInArrow(chain, "a long, b long, label_a long, label_b long").distinct()
     for c in ("a", "b"):
-        mine = features.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
-        own = labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
-        pairs = pairs.join(mine.hint("merge"), c).join(own.hint("merge"), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
-    pairs = pairs.where("label_a != label_b").withColumn("differ", F.expr(_differ("parity_a", "parity_b")))
-    pairs = pairs.where(f"(100 + {percent}) * differ <= (100 - {percent}) * (n_a + n_b)")
-    near = F.struct(F.col("differ") / (F.col("n_a") + F.col("n_b")), "a", "b")
-    keys = [F.least("label_a", "label_b").alias("x"), F.greatest("label_a", "label_b").alias("y"), F.pmod(hashed("a", 55), F.lit(tries)).alias("try")]
-    return pairs.groupBy(*keys).agg(F.min_by(F.struct("a", "b"), near).alias("best")).select("best.a", "best.b")
+        pairs = pairs.join(features.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")).hint("merge"), c)
+    pairs = pairs.withColumn("differ", F.expr(_differ("parity_a", "parity_b"))).where(f"(100 + {percent}) * differ <= (100 - {percent}) * (n_a + n_b)")
+    pairs = pairs.withColumn("near", F.struct(F.col("differ") / (F.col("n_a") + F.col("n_b")), "a", "b"))
+    ends = pairs.select("a", "b", "near", F.explode(F.array(F.struct(F.col("label_a").alias("mine"), F.col("label_b").alias("other")), F.struct(F.col("label_b").alias("mine"), F.col("label_a").alias("other")))).alias("l"))
+    best = ends.groupBy("l.mine", F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(tries)).alias("try")).agg(F.min_by(F.struct("a", "b"), "near").alias("best"))
+    return best.select("best.a", "best.b").distinct()
 
 
 def _differ(a: str, b: str) -> str:
@@ -256,7 +281,7 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     labels = components(spark, ws, links)
     lists = ws.table(_open(shared, labels), "open")
     for r in range(1, rounds):
-        star = ws.table(_bridges(_with_hub(lists, parts, r), labels, known, percent), "star")
+        star = ws.table(_bridges(lists, known, parts, r, percent), "bridges")
         links = links.unionByName(_links(ws, star, texts, order, percent))
         labels = components(spark, ws, links)
         lists = ws.table(_open(lists, labels), "open")
