@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import read
+from lodestrata.llm.common import read, small
 
 NONE = 1 << 62
 #: The word split of this vocabulary (fixed values), for any text and for pure ASCII.
@@ -69,7 +69,7 @@ class RankTree:
 class Bpe:
     """Encoder and decoder for a vocabulary file with word-end marks; plain data, so it can be broadcast."""
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 50_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -169,7 +169,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: str, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model.value
-        for batch in batches:
+        for batch in small(batches):
             done = [bpe.encode(t) for t in batch.column(at).to_pylist()]
             columns = [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*rest, "ids", "decoded"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import read
+from lodestrata.llm.common import read, small
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -40,7 +40,7 @@ def text_terms(text: str | None) -> set[int]:
 class Machine:
     """w0, w, V over the chosen terms; remembers a bounded number of words."""
 
-    def __init__(self, terms: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, remember: int = 200_000):
+    def __init__(self, terms: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, remember: int = 50_000):
         self.place = {int(t): k for k, t in enumerate(terms)}
         self.w0, self.w, self.v, self.remember = w0, w, v, remember
         self.known: dict[str, tuple[int, ...]] = {}
@@ -143,7 +143,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, machine: Machine) -> DataF
     model = spark.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["id", "score"])
 
     return docs.mapInArrow(run, "id long, score double")
