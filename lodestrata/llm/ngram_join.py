@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import Workspace, read, shuffle_partitions
+from lodestrata.llm.common import Workspace, give_back, read, shuffle_partitions
 from lodestrata.llm.graph import components
 from lodestrata.llm.shingles import STEP, IdFilter, Tally, hashed, pack, parity_bits, rows_of, runs_of_equal, shingle_set, summed
 
@@ -70,6 +70,7 @@ def _prefixes(docs: DataFrame, order, percent: int) -> DataFrame:
                 yield pack(names, kinds, out)
                 out, rows = [[], [], [], []], 0
         yield pack(names, kinds, out)
+        give_back()
 
     return docs.mapInArrow(emit, "value long, id long, n long, p long")
 
@@ -123,6 +124,7 @@ def _with_hub(postings: DataFrame, partitions: int, seed: int) -> DataFrame:
         out = [value, ids, n, p, ids[hub], n[hub], p[hub]]
         for at in range(0, max(len(value), 1), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in out], names=[*names, "hub", "hn", "hp"])
+        give_back()
 
     return postings.select(*names).repartition(partitions, "value").mapInArrow(shared, "value long, id long, n long, p long, hub long, hn long, hp long")
 
@@ -168,6 +170,7 @@ def _bridges(lists: DataFrame, features: DataFrame, partitions: int, seed: int,
         at = out[0]
         for k in range(0, max(len(at), 1), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in out], names=["a", "b", "label_a", "label_b"])
+        give_back()
 
     pairs = lists.select(*names).repartition(partitions, "value").mapInArrow(chain, "a long, b long, label_a long, label_b long").distinct()
     for c in ("a", "b"):
@@ -217,6 +220,7 @@ def _cross_pairs(rows: DataFrame, features: DataFrame, partitions: int, percent:
                 yield _pairs(found)
                 found = set()
         yield _pairs(found)
+        give_back()
 
     return rows.select(*names, "parity").repartition(partitions, "value").mapInArrow(cross, "a long, b long").distinct()
 
@@ -252,6 +256,7 @@ def _measured(docs: DataFrame, bits: int) -> DataFrame:
         for part, counts in tally.blocks():
             if part:
                 yield rows([[], [], [], part, counts])
+        give_back()
 
     return docs.mapInArrow(run, "id long, n long, parity array<long>, block long, counts binary")
 
