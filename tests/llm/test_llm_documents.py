@@ -115,6 +115,36 @@ def test_shared_passages(spark, rows, table, empty):
     assert substring.shared_passages(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["inserted", "replaced"])
+def test_passages_with_blocks_of_changed_words(kind):
+    grams = lambda t: substring.shingle_hashes(substring.word_hashes(" ".join(t).encode()), 5)
+    tried = 0
+    for n in range(60, 131, 7):
+        for m in range(6, 13):
+            for at in (10, n // 3, n // 2):
+                base = text(n, n)
+                other = base[:at] + text(1000 + m, m) + base[at + m * (kind == "replaced") :]
+                both, whole = jaccard(sets(" ".join(base)), sets(" ".join(other)))
+                if 100 * both < 80 * whole:
+                    continue
+                tried += 1
+                a, b = text(5, 60) + base + text(6, 60), text(7, 40) + other + text(8, 40)
+                for x, y in ((a, b), (b, a)):
+                    found = substring.passages_in_common(grams(x), grams(y), 46, 80)
+                    assert found, (n, m, at)
+                    for s, e, hs, he, both, whole in found:
+                        assert min(e - s, he - hs) >= 45 and jaccard(sets(" ".join(x[s : e + 5])), sets(" ".join(y[hs : he + 5]))) == (both, whole) and 100 * both >= 80 * whole
+    assert tried > 40
+
+
+def test_shared_passages_with_words_put_in(spark):
+    base, long = text(300, 74), text(301, 400)
+    docs = [(1, text(302, 60) + base + text(303, 60)), (2, text(304, 60) + base[:37] + text(305, 6) + base[37:] + text(306, 60)), (3, long), (4, long[:200] + text(307, 40) + long[200:])]
+    got = substring.shared_passages(spark, spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"), hashes=32).collect()
+    assert {(r.id, r.partner) for r in got} == {(2, 1), (4, 3)}
+    assert any(r.id == 4 and r.first_word == 0 and r.last_word == 439 for r in got)
+
+
 def test_compact_windows_cover_each_passage_once():
     h = np.random.default_rng(3).integers(0, 50, 60).astype(np.uint64)
     windows = substring.compact_windows(h, 8)
