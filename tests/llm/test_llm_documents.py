@@ -145,6 +145,33 @@ def test_shared_passages_with_words_put_in(spark):
     assert any(r.id == 4 and r.first_word == 0 and r.last_word == 439 for r in got)
 
 
+def test_exact_passages_around_a_frequent_line_all_meet(spark):
+    line = text(400, 40)
+    docs = [(i, text(500 + i, 60) + line + text(700 + i, 60)) for i in range(1, 61)]
+    pairs = []
+    for k in range(30):
+        passage = text(900 + k, 12) + line + text(930 + k, 12)
+        one, two = 100 + k, 200 + k
+        docs += [(i, text(1000 + i, 50) + passage + text(1300 + i, 50)) for i in (one, two)]
+        pairs.append((one, two))
+    # twice in one document, and once in another where a longer passage is covered already
+    docs[-1] = (docs[-1][0], docs[-1][1] + text(1700, 30) + passage + text(1701, 30))
+    again = [(100, text(1800, 3)), (101, text(1801, 70))]  # ids that repeat with other texts
+    got = substring.shared_passages(spark, spark.createDataFrame([(i, " ".join(t)) for i, t in docs + again], "doc_id long, text string")).collect()
+    covered = {}
+    words = dict(docs)
+    for r in got:
+        for i, s, e in ((r.id, r.first_word, r.last_word), (r.partner, r.partner_first_word, r.partner_last_word)):
+            covered.setdefault(i, []).append((s, e))
+        a, b = (sets(" ".join(words[i][s : e + 1])) for i, s, e in ((r.id, r.first_word, r.last_word), (r.partner, r.partner_first_word, r.partner_last_word)))
+        both, whole = jaccard(a, b)
+        assert r.id != r.partner and 100 * both >= 80 * whole and abs(r.similarity - both / whole) < 1e-9
+    missed = [i for p in pairs for i in p if not any(s <= 50 and e >= 113 for s, e in covered.get(i, []))]
+    assert not missed
+    assert any(s <= 194 and e >= 257 for s, e in covered[docs[-1][0]])
+    assert not set(range(1, 61)) & set(covered)
+
+
 def test_compact_windows_cover_each_passage_once():
     h = np.random.default_rng(3).integers(0, 50, 60).astype(np.uint64)
     windows = substring.compact_windows(h, 8)
