@@ -108,11 +108,11 @@ def _close(here: Element, tags: set[str], at: int, stop: set[str] | frozenset[st
     return up.parent
 
 
-def _unwanted(e: Element, templates: frozenset[int], inside: bool) -> bool:
-    return e.tag in NOT_TEXT or (e.tag == "header" and not inside) or e.place in templates or bool(e.mark and any(MARK.search(x.partition("=")[2]) for x in e.mark.split(" ")) and e.tag not in ("html", "body", "article", "main"))
+def _unwanted(e: Element, gone: set[int], inside: bool) -> bool:
+    return e.tag in NOT_TEXT or (e.tag == "header" and not inside) or id(e) in gone or bool(e.mark and any(MARK.search(x.partition("=")[2]) for x in e.mark.split(" ")) and e.tag not in ("html", "body", "article", "main"))
 
 
-def _articles(root: Element, templates: frozenset[int]) -> list[Element]:
+def _articles(root: Element, gone: set[int]) -> list[Element]:
     """The outermost article and main elements, in page order."""
     found, todo = [], [root]
     while todo:
@@ -120,17 +120,23 @@ def _articles(root: Element, templates: frozenset[int]) -> list[Element]:
         if e.tag in ("article", "main"):
             found.append(e)
         else:
-            todo += [x for x in reversed(e.items) if not isinstance(x, str) and not _unwanted(x, templates, False)]
+            todo += [x for x in reversed(e.items) if not isinstance(x, str) and not _unwanted(x, gone, False)]
     return found
 
 
+def _subtree(page: str, e: Element) -> int:
+    """Hash of an element's subtree and its place."""
+    return _signed(xxhash.xxh3_64_intdigest(page[e.start : e.end], seed=e.place))
+
+
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     """The page's article: the blocks of its outermost article or main elements, or of the page if it has none."""
-    root, _ = parse(page or "")
+    root, every = parse(page or "")
+    gone = {id(e) for e in every if e.tag in BLOCK and _subtree(page, e) in templates} if templates else set()
     blocks: list[str] = []
-    for top in _articles(root, templates) or [root]:
+    for top in _articles(root, gone) or [root]:
         pending: list[str] = []
-        _collect(top, templates, top is not root, blocks, pending)
+        _collect(top, gone, top is not root, blocks, pending)
         _flush(blocks, pending)
     return "\n\n".join(blocks)
 
@@ -142,7 +148,7 @@ def _flush(blocks: list[str], pending: list[str]) -> None:
         blocks.append(text)
 
 
-def _collect(top: Element, templates: frozenset[int], inside: bool, blocks: list[str], pending: list[str]) -> None:
+def _collect(top: Element, gone: set[int], inside: bool, blocks: list[str], pending: list[str]) -> None:
     """Depth first without recursion, as pages may nest deeply."""
     todo: list = [iter(top.items)]
     ends = [False]
@@ -156,7 +162,7 @@ def _collect(top: Element, templates: frozenset[int], inside: bool, blocks: list
             pending.append(x)
         elif x.tag == "br":
             pending.append(" ")
-        elif not _unwanted(x, templates, inside):
+        elif not _unwanted(x, gone, inside):
             block = x.tag in BLOCK
             if block:
                 _flush(blocks, pending)
@@ -173,9 +179,9 @@ def _signed(x: int) -> int:
 
 
 def site_templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
-    """host, places: the places of each host where ``share`` of the subtrees recur on ``least_pages`` pages or more.
+    """host, subtrees: what recurs on ``least_pages`` different pages or more, at the places of each host where ``share`` of the subtrees do.
 
-    Tasks count their own pages first. Places of the root, html, body, article and
+    Pages of a host with equal html count once, so copies of a page make no template. Tasks count their own pages first. Places of the root, html, body, article and
     main, and of parents of article or main, are never a template's.
     """
 
@@ -198,15 +204,16 @@ def site_templates(pages: DataFrame, least_pages: int, share: float) -> DataFram
                         while up is not None and id(up) not in kept:
                             kept.add(id(up))
                             up = up.parent
-                seen.update({(host, _signed(e.place), _signed(xxhash.xxh3_64_intdigest(page[e.start : e.end]))) for e in every if e.tag in BLOCK and e.tag not in ("html", "body") and id(e) not in kept})
+                seen.update({(host, _signed(e.place), _subtree(page, e)) for e in every if e.tag in BLOCK and e.tag not in ("html", "body") and id(e) not in kept})
             if len(seen) > 200_000:
                 yield out()
                 seen.clear()
         yield out()
 
-    counted = pages.mapInArrow(count, "host string, place long, hash long, n long").groupBy("host", "place", "hash").agg(F.sum("n").alias("n"))
-    places = counted.groupBy("host", "place").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= least_pages, F.col("n")).otherwise(0)).alias("again"))
-    return places.where(F.col("again") >= share * F.col("all")).groupBy("host").agg(F.collect_list("place").alias("places"))
+    counted = pages.distinct().mapInArrow(count, "host string, place long, hash long, n long").groupBy("host", "place", "hash").agg(F.sum("n").alias("n"))
+    again = F.col("n") >= least_pages
+    places = counted.groupBy("host", "place").agg(F.sum("n").alias("all"), F.sum(F.when(again, F.col("n")).otherwise(0)).alias("again"), F.collect_list(F.when(again, F.col("hash"))).alias("subtrees"))
+    return places.where((F.col("again") > 0) & (F.col("again") >= share * F.col("all"))).groupBy("host").agg(F.flatten(F.collect_list("subtrees")).alias("subtrees"))
 
 
 def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.8) -> DataFrame:
@@ -215,7 +222,8 @@ def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_
     The whole html is read; null counts as empty and gives an empty text. Character
     references are decoded, white space inside a block becomes one space, blocks are
     trimmed and joined in page order by an empty line. Pages whose url is null or has
-    no host form one host of their own. Repeated rows count as pages of their own.
+    no host form one host of their own. Repeated rows
+    are rows of their own in the result, but one page where templates are counted.
     Other columns are not read; an empty table gives no rows.
     """
     ws = Workspace(spark, "html")
@@ -223,19 +231,18 @@ def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_
     templates = ws.table(site_templates(rows.select("host", "html"), least_pages, share), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset[int]] = {}
+        sets: dict[str, frozenset[int]] = {}
         for batch in batches:
             texts = []
-            for page, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = tuple(places or ())
-                if key not in sets:
+            for page, subtrees, host in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
+                if host not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[key] = frozenset(p & (1 << 64) - 1 for p in key)
-                texts.append(main_text(page, sets[key]))
+                    sets[host] = frozenset(subtrees.as_py() or ())
+                texts.append(main_text(page, sets[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    joined = rows.join(templates, "host", "left").select("id", "url", "html", "places")
+    joined = rows.join(templates, "host", "left").select("id", "url", "html", "subtrees", "host")
     return joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")
 
 

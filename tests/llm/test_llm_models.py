@@ -145,6 +145,18 @@ def test_site_templates_go_and_shared_passages_stay(spark):
     assert html_extract.extract(spark, df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    page = lambda p, foot="": f"<body><article><p>{p}</p></article><div>{foot}</div></body>"
+    rows = [(k, "http://h.example/a", page("copied")) for k in range(8)] + [(8, "http://h.example/b", page("first")), (9, "http://h.example/c", page("second"))]
+    rows += [(20 + k, None, page("nowhere")) for k in range(5)]
+    # a place of nearly all recurring subtrees: those go, and the one that does not recur stays
+    rows += [(40 + k, "http://t.example/", f"<body><div><span>{'shop' if k else 'only here'}</span></div><p>text {k}</p></body>") for k in range(12)]
+    text = {r.id: r.text for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == "copied" for k in range(8)) and text[8] == "first" and text[9] == "second"
+    assert all(text[20 + k] == "nowhere" for k in range(5))
+    assert text[40] == "only here\n\ntext 0" and all(text[40 + k] == f"text {k}" for k in range(1, 12))
+
+
 def brute(vectors, k):
     out = {}
     for i, q in vectors:
