@@ -40,7 +40,7 @@ def atomic_items(items: DataFrame) -> DataFrame:
     return g.withColumn("concept_terms", X.concept_terms(F.coalesce("heading", F.lit("")))).withColumnRenamed("first_ordinal", "ordinal").drop("key", "heading")
 
 
-def candidate_clusters(items: DataFrame, rounds: int = 50) -> DataFrame:
+def candidate_clusters(items: DataFrame) -> DataFrame:
     """(ordinal, cluster): items of one kind that shared terms connect, by least labels; single items are left out.
 
     Pairs chain the items of each term, so they grow with the items. Labels travel to
@@ -49,7 +49,7 @@ def candidate_clusters(items: DataFrame, rounds: int = 50) -> DataFrame:
     pairs = sharing_terms(items)
     both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("cluster")).withColumnRenamed("a", "ordinal"))
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels.withColumnRenamed("ordinal", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near")).withColumnRenamed("a", "ordinal")
         step = labels.join(seen, "ordinal").select("ordinal", "cluster", F.least("cluster", "near").alias("new"))
         jump = labels.select(F.col("ordinal").alias("new"), F.col("cluster").alias("root"))
@@ -57,8 +57,7 @@ def candidate_clusters(items: DataFrame, rounds: int = 50) -> DataFrame:
         done = new.where("new <> cluster").isEmpty()
         labels = new.select("ordinal", F.col("new").alias("cluster"))
         if done:
-            break
-    return labels
+            return labels
 
 
 def map_reduce_batches(items: DataFrame, available: int, most: int, per: str = "plan_id") -> DataFrame:

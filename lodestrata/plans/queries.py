@@ -318,7 +318,7 @@ def coverage_plan(spark, d):
 
 @query()
 def duplicate_clusters(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.col("lang").alias("knowledge_kind"), X.concept_terms(F.substring_index("text", ".", 1)).alias("concept_terms"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.col("lang").alias("knowledge_kind"), X.concept_terms(F.col("text")).alias("concept_terms"))
     return N.candidate_clusters(rows)
 
 

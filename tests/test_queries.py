@@ -4,7 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lodestrata.functions import text as X
 from lodestrata.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +41,21 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns[:2] == ["query_id", "place"]
+
+
+def test_duplicate_clusters_reads_whole_texts(spark, tmp_path):
+    texts = ["Alpha one. Shared theorem", "Beta two. shared Theorems here", "Gamma. Nothing", "Delta. 三角函数", "Epsilon five. x 三角函数", "Zeta. Alone", None, "", "Alpha. In another language"]
+    rows = [(k, t, "de" if k == 8 else "en") for k, t in enumerate(texts)]
+    rows += [(100 + k, f"n{1000 + k}z. n{1001 + k}z", "fr") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    terms = {r.doc_id: set(r.t) for r in spark.createDataFrame(rows, "doc_id long, text string, lang string").select("doc_id", X.concept_terms(F.col("text")).alias("t")).collect()}
+    root = {k: k for k, _, _ in rows}
+    for _ in rows:
+        for a, _, x in rows:
+            for b, _, y in rows:
+                if x == y and terms[a] & terms[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+    want = {(k, v) for k, v in root.items() if list(root.values()).count(v) > 1}
+    assert {(0, 0), (1, 0), (3, 3), (4, 3), (139, 100)} <= want
+    got = QUERIES["duplicate_clusters"](spark, str(tmp_path)).collect()
+    assert {(r.ordinal, r.cluster) for r in got} == want
