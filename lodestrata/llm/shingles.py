@@ -38,6 +38,11 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text)))
 
 
+def set_signature(s: np.ndarray) -> int:
+    """A signed 64-bit hash of a sorted set, equal for equal sets."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes | None]]:
     """(id, text) of batches with these two columns, without ids that are null."""
     for batch in batches:
@@ -79,20 +84,21 @@ class Tally:
 def summed(blocks: DataFrame, bits: int) -> np.ndarray:
     """The table of 2**bits counts whose blocks (block, counts) tasks gave out.
 
-    It is as large for any input (8 MB at 20 bits), so it may go to the driver and to all tasks.
+    Each task adds up its blocks as they come; the table's size is bounded by ``bits``,
+    so it may go to the driver and to all tasks.
     """
     size = min(BLOCK, 1 << bits)
 
-    def add(key, pdf):
-        import pandas as pd
-
-        total = np.zeros(size, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.int64)
-        return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                more = np.frombuffer(zlib.decompress(counts), np.int64)
+                totals[block] = totals[block] + more if block in totals else more
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([zlib.compress(t.tobytes(), 1) for t in totals.values()], pa.binary())], names=["block", "counts"])
 
     table = np.zeros(1 << bits, np.int64).reshape(-1, size)
-    for row in blocks.groupBy("block").applyInPandas(add, "block long, counts binary").collect():
+    for row in blocks.select("block", "counts").repartition("block").mapInArrow(add, "block long, counts binary").collect():
         table[row.block] = np.frombuffer(zlib.decompress(row.counts), np.int64)
     return table.reshape(-1)
 
@@ -112,19 +118,16 @@ def bucket_counts(rows: DataFrame, buckets_of, bits: int) -> np.ndarray:
 
 
 class IdFilter:
-    """A bit table of ids, of a fixed size: ids that were put in always pass, others rarely while it is sparse."""
+    """A bit table of ids, of a bounded size: ids that were put in always pass, others rarely while it is sparse."""
 
-    def __init__(self, ids: DataFrame, bits: int = 22):
-        self.bits = bits
-        self.table = np.packbits(bucket_counts(ids, lambda batch: [self.places(batch.column(0).to_numpy(zero_copy_only=False))], bits) > 0)
+    def __init__(self, ids: DataFrame, size: int):
+        self.bits = min(24, max(16, (16 * size).bit_length()))
+        self.table = np.packbits(bucket_counts(ids, lambda batch: [self.places(batch.column(0).to_numpy(zero_copy_only=False))], self.bits) > 0)
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         x = ids.astype(np.int64).view(np.uint64) * STEP
         return ((x ^ (x >> np.uint64(29))) * STEP >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def __getstate__(self):
-        return self.__dict__
-
     def passes(self, ids: np.ndarray) -> np.ndarray:
         at = self.places(ids)
         return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
