@@ -37,11 +37,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-copies link, the one with the smallest id stays, and so does each document without links."""
+    """Of documents that near-copies link, the one with the smallest id stays, and so does each document without links.
+
+    Rows that repeat an id are told apart by a hash of their text; rows with a null id stay.
+    """
     ship(spark)
-    labels, _ = link_components(spark, docs)
-    gone = labels.where("id != label").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = link_components(spark, docs).where("id != component").select("id", "mark").distinct()
+    same = (docs["doc_id"] == gone["id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["mark"])
+    return docs.join(gone, same, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
