@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import Workspace, read
+from lodestrata.llm.common import Workspace, read, small
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -30,11 +30,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 NOT_TEXT = frozenset("script style noscript template head title nav footer aside form iframe svg math canvas object embed button select option input textarea audio video dialog menu".split())
-MARK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|comments?|disqus|respond|replies|"
-    r"sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|share|sharing|social|related|recommended|popup|modal|overlay|widget|toolbar|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id and role names of what is no article, and words that may stand beside them (fixed values).
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
+    "comment comments disqus respond replies sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead share sharing social related recommended popup modal overlay widget toolbar complementary contentinfo search".split()
 )
+BESIDE = frozenset("site page main top bottom left right list box bar block area section wrapper wrap container inner outer posts links buttons icons item items form primary secondary global group panel slot unit region".split())
+NAMES = re.compile(r"[^-_]+")
+#: The text of an article itself.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th tr tbody thead tfoot table".split())
 #: Elements that a new one of the same kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "html", "body", "option", "legend", "caption"}
@@ -42,11 +46,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "mark", "place", "start", "end", "items", "parent")
+    __slots__ = ("tag", "mark", "place", "start", "end", "items", "parent", "inside")
 
     def __init__(self, tag: str, mark: str, place: int, start: int, parent: Element | None):
         self.tag, self.mark, self.place, self.start, self.parent = tag, mark, place, start, parent
         self.end, self.items = -1, []
+        #: Whether an article or main element stands around it.
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
 
 def parse(page: str) -> tuple[Element, list[Element]]:
@@ -108,8 +114,36 @@ def _close(here: Element, tags: set[str], at: int, stop: set[str] | frozenset[st
     return up.parent
 
 
+def _named_so(mark: str) -> bool:
+    """Whether one class, id or role as a whole names what is no article: all its words are known, and one is a mark."""
+    for name in (n for x in mark.split(" ") for n in x.partition("=")[2].lower().split()):
+        words = NAMES.findall(name)
+        if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE or w.isdigit() for w in words):
+            return True
+    return False
+
+
+def _signs(e: Element) -> int:
+    """How many characters of text an element holds, without scripts, menus and the like."""
+    n, todo = 0, [e]
+    while todo:
+        for x in todo.pop().items:
+            if isinstance(x, str):
+                n += len(x.strip())
+            elif x.tag not in NOT_TEXT:
+                todo.append(x)
+    return n
+
+
 def _unwanted(e: Element, gone: set[int], inside: bool) -> bool:
-    return e.tag in NOT_TEXT or (e.tag == "header" and not inside) or id(e) in gone or bool(e.mark and any(MARK.search(x.partition("=")[2]) for x in e.mark.split(" ")) and e.tag not in ("html", "body", "article", "main"))
+    return e.tag in NOT_TEXT or (e.tag == "header" and not inside) or id(e) in gone
+
+
+def _marked(root: Element, every: list[Element]) -> set[int]:
+    """Elements named so, but for those that hold most of the page's text."""
+    named = [e for e in every if e.mark and e.tag not in ("html", "body", "article", "main") and _named_so(e.mark)]
+    whole = _signs(root) if named else 0
+    return {id(e) for e in named if 2 * _signs(e) <= whole}
 
 
 def _articles(root: Element, gone: set[int]) -> list[Element]:
@@ -124,15 +158,38 @@ def _articles(root: Element, gone: set[int]) -> list[Element]:
     return found
 
 
-def _subtree(page: str, e: Element) -> int:
-    """Hash of an element's subtree and its place."""
-    return _signed(xxhash.xxh3_64_intdigest(page[e.start : e.end], seed=e.place))
+def _subtree(page: str, e: Element, host: int) -> int:
+    """Hash of an element's subtree, its place and its host."""
+    return _signed(xxhash.xxh3_64_intdigest(page[e.start : e.end], seed=e.place ^ host))
+
+
+def _counted(every: list[Element]) -> list[Element]:
+    """The block elements that can be a template: not html, body, articles or what they stand in, nor an article's running text."""
+    kept: set[int] = set()
+    for e in every:
+        if e.tag in ("article", "main"):
+            up = e
+            while up is not None and id(up) not in kept:
+                kept.add(id(up))
+                up = up.parent
+    return [e for e in every if e.tag in BLOCK and e.tag not in ("html", "body") and id(e) not in kept and not (e.inside and e.tag in RUNNING)]
+
+
+def host_hash(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host)
 
 
-def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """The page's article: the blocks of its outermost article or main elements, or of the page if it has none."""
-    root, every = parse(page or "")
-    gone = {id(e) for e in every if e.tag in BLOCK and _subtree(page, e) in templates} if templates else set()
+def main_text(page: str | None, host: int = 0, is_template=None) -> str:
+    """The page's article: the blocks of its outermost article or main elements, or of the page if it has none.
+
+    ``is_template`` tells of a list of subtree hashes which are templates of the host.
+    """
+    page = page or ""
+    root, every = parse(page)
+    gone = _marked(root, every)
+    if is_template is not None:
+        elements = _counted(every)
+        gone |= {id(e) for e, hit in zip(elements, is_template([_subtree(page, e, host) for e in elements])) if hit}
     blocks: list[str] = []
     for top in _articles(root, gone) or [root]:
         pending: list[str] = []
@@ -179,71 +236,85 @@ def _signed(x: int) -> int:
 
 
 def site_templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
-    """host, subtrees: what recurs on ``least_pages`` different pages or more, at the places of each host where ``share`` of the subtrees do.
+    """host, hash of the subtrees that recur on ``least_pages`` different pages or more, at the places of each host where ``share`` of all subtrees do.
 
-    Pages of a host with equal html count once, so copies of a page make no template. Tasks count their own pages first. Places of the root, html, body, article and
-    main, and of parents of article or main, are never a template's.
+    ``pages``: host, html. Pages of a host with equal html count once, so copies of a
+    page make no template: a task gives a content's subtrees once, and Spark counts
+    different contents.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(seen)
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["host", "place", "hash", "n"])
-
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
+            hosts, places, hashes, contents = [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = page or ""
-                _, every = parse(page)
-                kept: set[int] = set()
-                for e in every:
-                    if e.tag in ("article", "main"):
-                        up = e
-                        while up is not None and id(up) not in kept:
-                            kept.add(id(up))
-                            up = up.parent
-                seen.update({(host, _signed(e.place), _subtree(page, e)) for e in every if e.tag in BLOCK and e.tag not in ("html", "body") and id(e) not in kept})
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
-        yield out()
-
-    counted = pages.distinct().mapInArrow(count, "host string, place long, hash long, n long").groupBy("host", "place", "hash").agg(F.sum("n").alias("n"))
+                content = xxhash.xxh3_64_intdigest(page)
+                if (host, content) in seen:
+                    continue
+                seen.add((host, content))
+                at = host_hash(host)
+                for place, h in {(e.place, _subtree(page, e, at)) for e in _counted(parse(page)[1])}:
+                    hosts.append(host), places.append(_signed(place)), hashes.append(h), contents.append(_signed(content))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (places, hashes, contents)]], names=["host", "place", "hash", "content"])
+
+    rows = pages.mapInArrow(count, "host string, place long, hash long, content long").distinct()
+    counted = rows.groupBy("host", "place", "hash").agg(F.count("*").alias("n"))
     again = F.col("n") >= least_pages
-    places = counted.groupBy("host", "place").agg(F.sum("n").alias("all"), F.sum(F.when(again, F.col("n")).otherwise(0)).alias("again"), F.collect_list(F.when(again, F.col("hash"))).alias("subtrees"))
-    return places.where((F.col("again") > 0) & (F.col("again") >= share * F.col("all"))).groupBy("host").agg(F.flatten(F.collect_list("subtrees")).alias("subtrees"))
+    places = counted.groupBy("host", "place").agg(F.sum("n").alias("all"), F.sum(F.when(again, F.col("n")).otherwise(0)).alias("again"))
+    places = places.where((F.col("again") > 0) & (F.col("again") >= share * F.col("all"))).select("host", "place")
+    return counted.where(again).join(places, ["host", "place"], "left_semi").select("host", "hash")
+
+
+class _Hashes:
+    """Template hashes as a sorted array: a host is part of its hashes."""
 
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.sort(hashes.astype(np.int64))
 
-def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.8) -> DataFrame:
+    def hits(self, asked: list[int]) -> list[bool]:
+        if not len(self.sorted) or not asked:
+            return [False] * len(asked)
+        asked = np.array(asked, np.int64)
+        return (self.sorted[np.minimum(np.searchsorted(self.sorted, asked), len(self.sorted) - 1)] == asked).tolist()
+
+
+def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.8, most_sent: int = 1_000_000) -> DataFrame:
     """id, url, text of every row of ``pages``.
 
     The whole html is read; null counts as empty and gives an empty text. Character
     references are decoded, white space inside a block becomes one space, blocks are
     trimmed and joined in page order by an empty line. Pages whose url is null or has
-    no host form one host of their own. Repeated rows
-    are rows of their own in the result, but one page where templates are counted.
-    Other columns are not read; an empty table gives no rows.
+    no host form one host of their own. Repeated rows are rows of their own in the
+    result, but one page where templates are counted. Up to ``most_sent`` templates go
+    to all tasks (8 MB); more are joined to the pages by host. Other columns are not
+    read; an empty table gives no rows.
     """
     ws = Workspace(spark, "html")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), page_host(url_col).alias("host"))
     templates = ws.table(site_templates(rows.select("host", "html"), least_pages, share), "templates")
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, url string, text string"
+    names = ["id", "url", "text"]
+    if templates.count() <= most_sent:
+        known = spark.sparkContext.broadcast(_Hashes(np.array([r.hash for r in templates.select("hash").collect()], np.int64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset[int]] = {}
-        for batch in batches:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small(batches):
+                texts = [main_text(page, host_hash(host), known.value.hits) for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=names)
+
+        return rows.mapInArrow(run, schema)
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
             texts = []
-            for page, subtrees, host in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
-                if host not in sets:
-                    if len(sets) > 1000:
-                        sets.clear()
-                    sets[host] = frozenset(subtrees.as_py() or ())
-                texts.append(main_text(page, sets[host]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
-
-    joined = rows.join(templates, "host", "left").select("id", "url", "html", "subtrees", "host")
-    return joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")
+            for page, host, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                own = frozenset(own or ())
+                texts.append(main_text(page, host_hash(host), lambda asked, own=own: [x in own for x in asked]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=names)
+
+    per_host = templates.groupBy("host").agg(F.collect_list("hash").alias("own"))  # a site's templates are few against its pages
+    return rows.join(per_host, "host", "left").select("id", "url", "html", "host", "own").mapInArrow(run_joined, schema)
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,8 @@ def learn(spark: SparkSession, docs: DataFrame, most: int = 4000, per_text: int
     One task gets the sample, of fixed size whatever the input. None without any labelled text.
     """
     ids = docs.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("id").orderBy(F.xxhash64("id"), "id").limit(most)
-    sample = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(ids.distinct()), "id").select("id", "text", "lang")
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(ids.distinct()), "id")  # of bounded size
+    sample = rows.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select("id", "r.text", "r.lang")  # one row per id, though ids repeat
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "lang", "text"])

@@ -54,12 +54,13 @@ def _rate(most: int) -> F.Column:
     return F.when(F.col("full"), F.lit(float(most))).otherwise(most / (1 + (most - 1) * tilt))
 
 
-def multipliers(ws: Workspace, histogram: DataFrame, sources: DataFrame, most: int, rounds: int = 60, near: float = 1e-6) -> DataFrame:
+def multipliers(ws: Workspace, histogram: DataFrame, sources: DataFrame, most: int, rounds: int = 200, near: float = 1e-6) -> DataFrame:
     """src, full, lam: Newton's iterations on the dual, for all sources at once.
 
     ``histogram``: src, size, a, n. A step that would leave the interval known to hold
-    the root is halved into it. A source whose target is all copies is full: its
-    multiplier would be infinite.
+    the root is halved into it, so the iterations end; should they not in ``rounds``, that
+    is an error. A source whose target is all copies is full: its multiplier would be
+    infinite.
     """
     state = sources.select("src", "target", (F.col("target") >= most * F.col("source_size") * (1 - 1e-12)).alias("full"), F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"))
     state = ws.table(state, "multipliers")
@@ -72,13 +73,13 @@ def multipliers(ws: Workspace, histogram: DataFrame, sources: DataFrame, most: i
         bounded = F.when(inside, newton).when((F.col("hi") < 1e6) & (F.col("lo") > -1e6), (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("lam") * 2 + F.signum(F.col("target") - F.col("got")))
         done = F.col("full") | (F.abs(F.col("got") - F.col("target")) <= near * F.greatest("target", F.lit(1.0)))
         new = ws.table(step.select("src", "target", "full", F.when(done, F.col("lam")).otherwise(bounded).alias("lam"), "lo", "hi", done.alias("done")), "multipliers")
-        left = new.where("NOT done").isEmpty()
+        settled = new.where("NOT done").isEmpty()
         ws.drop(state)
         state = new.drop("done")
         state._written_at = new._written_at
-        if left:
-            break
-    return state.select("src", "full", "lam")
+        if settled:
+            return state.select("src", "full", "lam")
+    raise RuntimeError(f"the multipliers did not settle in {rounds} rounds")
 
 
 def _carry(most: int):
@@ -98,7 +99,7 @@ def _carry(most: int):
 
 
 def mix(spark: SparkSession, docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", percent: int = 150, most: int = 2) -> DataFrame:
-    """The rows of ``docs`` with __size, __source_size, __target and __copies (0 to ``most``).
+    """doc (a row of ``docs`` as a struct), size, source_size, target and copies (0 to ``most``), one row per document.
 
     A document's size is its number of words, 0 for a null text; such documents get no
     copy. Sources stand in code point order, null last and as a source of its own.
@@ -109,8 +110,8 @@ def mix(spark: SparkSession, docs: DataFrame, source_col: str = "source", text_c
     ws = Workspace(spark, "mix")
     src = F.struct(F.col(source_col).isNull().cast("int").alias("last"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
     salts = shuffle_partitions(spark)
-    rows = docs.withColumns({"__src": src, "__size": word_count(text_col), "__h": F.xxhash64(F.col(id_col))}).withColumn("__salt", F.pmod(F.col("__h"), F.lit(salts)))
-    counts = ws.table(rows.groupBy(F.col("__src").alias("src"), F.col("__size").alias("size"), F.col("__salt").alias("salt")).agg(F.count("*").alias("m")), "counts")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), src.alias("src"), word_count(text_col).alias("size"), F.xxhash64(F.col(id_col)).alias("h")).withColumn("salt", F.pmod(F.col("h"), F.lit(salts)))
+    counts = ws.table(rows.groupBy("src", "size", "salt").agg(F.count("*").alias("m")), "counts")
     histogram = ws.table(counts.groupBy("src", "size").agg(F.sum("m").alias("n")), "histogram")
     sources = histogram.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
     aims = ws.table(targets(spark, ws, sources.select("src", "source_size"), percent, most), "aims")
@@ -123,22 +124,18 @@ def mix(spark: SparkSession, docs: DataFrame, source_col: str = "source", text_c
     by = W.partitionBy("src", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)  # a row per salt
     parts = counts.join(copies, ["src", "size"]).withColumn("start", F.coalesce(F.sum("m").over(by), F.lit(0)))
     base, extra = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
-    quota = parts.join(aims, "src").select(
-        F.col("src").alias("__src"), F.col("size").alias("__size"), F.col("salt").alias("__salt"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-        base.cast("int").alias("__base"), F.greatest(F.least(extra - F.col("start"), F.col("m")), F.lit(0)).alias("__extra"),
-    )
-    order = W.partitionBy("__src", "__size", "__salt").orderBy("__h", id_col)
-    ranked = rows.withColumn("__rank", F.row_number().over(order)).join(ws.table(quota, "quota"), ["__src", "__size", "__salt"])
-    copies = (F.col("__base") + (F.col("__rank") <= F.col("__extra")).cast("int")).alias("__copies")
-    return ranked.select(*docs.columns, "__size", "__source_size", "__target", copies)
+    quota = parts.join(aims, "src").select("src", "size", "salt", "source_size", "target", base.cast("int").alias("base"), F.greatest(F.least(extra - F.col("start"), F.col("m")), F.lit(0)).alias("extra"))
+    order = W.partitionBy("src", "size", "salt").orderBy("h", f"doc.{id_col}")
+    ranked = rows.withColumn("place", F.row_number().over(order)).join(ws.table(quota, "quota"), ["src", "size", "salt"])
+    return ranked.select("doc", "size", "source_size", "target", (F.col("base") + (F.col("place") <= F.col("extra")).cast("int")).alias("copies"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
     out = mix(spark, docs, **options)
-    return out.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return out.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    return out.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

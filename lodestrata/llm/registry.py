@@ -8,7 +8,7 @@ from lodestrata.llm.html_extract import op4_html_extract
 from lodestrata.llm.langid import op5_language
 from lodestrata.llm.mixing import op8_mixing
 from lodestrata.llm.ngram_join import OP10_SQL, op10_ngram_join
-from lodestrata.llm.sharding import op6_sharding
+from lodestrata.llm.sharding import OP6_SQL, op6_sharding
 from lodestrata.llm.substring import op1_substring_dedup
 from lodestrata.llm.topk import OP7_SQL, op7_top_k
 from lodestrata.llm.toxicity import op3_toxicity
@@ -19,4 +19,4 @@ QUERIES = {
     for q in (op1_substring_dedup, op2_exact_dedup, op3_toxicity, op4_html_extract, op5_language, op6_sharding, op7_top_k, op8_mixing, op9_bpe, op10_ngram_join)
 }
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op10_ngram_join": OP10_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op6_sharding": OP6_SQL, "op7_top_k": OP7_SQL, "op10_ngram_join": OP10_SQL}

@@ -1,15 +1,18 @@
 """Exact top-k inner products: branch and bound on one ball tree per shard.
 
-Candidates are dealt into shards; each shard's task builds a ball tree over its
-vectors. A query visits a tree's nodes in the order of their upper bound
-<q, centre> + |q| * radius and stops at the first bound below its k-th score so far.
-The shard that is searched first gives every query a k-th score, which all other
-shards start from.
+Candidates are dealt into shards, and each shard's ball tree is built once, as a row of
+a table. Queries are dealt into blocks. A task searches one tree for one block: a query
+visits the tree's nodes in the order of their upper bound <q, centre> + |q| * radius and
+stops at the first bound below its k-th score so far. Blocks search the shards in a few
+rounds; after each round every query's current k-th score, over all shards so far, is
+what the next round's searches start from.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,51 +83,77 @@ class BallTree:
         return best
 
 
-def _search(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each shard's best candidates for each query. queries: query_id, q, floor; shards: shard, id, v."""
-    names = "query_id long, id long, score double"
+def _trees(vectors: DataFrame, shards: int) -> DataFrame:
+    """dim, shard, tree: one ball tree for the vectors of each shard and length."""
 
-    def run(key, vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(vectors) and len(asked):
-            vectors = vectors.sort_values("id")
-            tree = BallTree(vectors["id"].to_numpy(np.int64), np.stack(vectors["v"].to_list()).astype(np.float64))
-            for qid, q, floor in zip(asked["query_id"], asked["q"], asked["floor"]):
-                q = np.asarray(q, np.float64)
-                if len(q) == tree.x.shape[1]:
-                    out += [(qid, -i, s) for s, i in tree.search(qid, q, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        tree = BallTree(pdf["id"].to_numpy(np.int64), np.stack(pdf["v"].to_list()).astype(np.float64))
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(tree)]})
 
-    return shards.groupBy("shard").cogroup(queries.groupBy("shard")).applyInPandas(run, names)
+    rows = vectors.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).alias("shard"))
+    return rows.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, tree binary")
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096) -> DataFrame:
+def _blocks(queries: DataFrame, floors: DataFrame | None) -> DataFrame:
+    """dim, block, asked: the queries of a block as one row, with the score that an answer must reach."""
+
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "asked": [pickle.dumps((pdf["query_id"].to_numpy(np.int64), np.stack(pdf["q"].to_list()), pdf["floor"].to_numpy(np.float64)))]})
+
+    none = F.lit(float("-inf"))
+    rows = queries.withColumn("floor", none) if floors is None else queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none))
+    return rows.groupBy("dim", "block").applyInPandas(build, "dim int, block long, asked binary")
+
+
+def _search(pairs: DataFrame, k: int) -> DataFrame:
+    """Each tree's best candidates for each query of a block. pairs: tree, asked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for blob, asked in zip(pdf["tree"], pdf["asked"]):
+                tree = pickle.loads(blob)
+                out = [(qid, -i, s) for qid, q, floor in zip(*pickle.loads(asked)) for s, i in tree.search(qid, q, k, floor)]
+                yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    return pairs.select("tree", "asked").mapInPandas(run, "query_id long, id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")  # k rows of each search
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 1024, rounds: int = 3) -> DataFrame:
     """query_id, rank, id, score: for each query its ``k`` largest inner products with other rows, ties to the smaller id.
 
     ``vectors``: id and v, an array of numbers; ``queries``: rows of the same form. Rows
     with a null id or a v that is null, empty, or holds null or non-finite numbers take
     no part. A vector meets queries of its own length only. A query's own id is never
     its answer, so rows that repeat a query's id are not either; other repeated rows
-    are answers of their own. A query with fewer candidates gets all. Shards hold about
-    ``shard_rows`` vectors, so a task's memory does not grow with the input.
+    are answers of their own. Of several query vectors under one id the least is asked.
+    A query with fewer candidates gets all. A task holds one shard of about
+    ``shard_rows`` vectors and one block of about ``block_rows`` queries.
     """
     ws = Workspace(spark, "top-k")
     sound = lambda df: df.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     vectors = sound(vectors.select(F.col("id").cast("long"), F.col("v").cast("array<double>")))
-    queries = sound(queries.select(F.col("id").cast("long"), F.col("v").cast("array<double>"))).select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
-    n = max(1, -(-vectors.count() // shard_rows))
-    shards = vectors.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n))).withColumn("shard", F.concat_ws(":", "shard", F.size("v")))
-    lengths = F.size("q")
-    none = F.lit(float("-inf"))
-    first = ws.table(_search(shards.where(F.col("shard").startswith("0:")), queries.select("query_id", "q", none.alias("floor"), F.concat_ws(":", F.lit(0), lengths).alias("shard")), k), "first")
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("floor"))
-    rest = queries.join(floors, "query_id", "left").select("query_id", "q", F.coalesce("floor", none).alias("floor"), F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("s")) if n > 1 else None
-    found = first
-    if rest is not None:
-        rest = rest.select("query_id", "q", "floor", F.concat_ws(":", "s", lengths).alias("shard"))
-        found = found.unionByName(_search(shards.where(~F.col("shard").startswith("0:")), rest, k))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")  # k rows per shard
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    asked = sound(queries.select(F.col("id").cast("long"), F.col("v").cast("array<double>"))).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("q"))
+    shards, blocks = max(1, -(-vectors.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
+    asked = ws.table(asked.select("query_id", "q", F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).alias("block")), "queries")
+    trees = ws.table(_trees(vectors, shards), "trees")
+    # a block's first shard differs from block to block, so no shard serves all of them at once
+    turn = F.pmod(F.col("shard") - F.col("block"), F.lit(shards))
+    turn = F.when(turn == 0, 0).otherwise(1 + turn % max(1, rounds - 1))
+    best = None
+    for r in range(min(rounds, shards)):
+        floors = None if best is None else best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+        each = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).where(turn == r)
+        found = _search(each.join(_blocks(asked, floors), ["dim", "block"]).repartition(shards * blocks, "shard", "block"), k)
+        if best is not None:
+            found = found.unionByName(best.select("query_id", "id", "score"))
+        best = ws.table(_best(found, k), "best")
+    return best.select("query_id", "rank", "id", "score")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

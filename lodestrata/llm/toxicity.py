@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestrata.llm.common import read, small
+from lodestrata.llm.common import Workspace, read, small
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -90,7 +91,7 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int, steps: int, rate: float = 0.
     return float(p[0][0]), p[1], p[2]
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 2500, most_clean: int = 5000, terms: int = 1024, least_chi2: float = 12.0, factors: int = 4, steps: int = 150) -> Machine:
+def learn(spark: SparkSession, ws: Workspace, docs: DataFrame, labels: DataFrame, most: int = 2500, most_clean: int = 5000, terms: int = 1024, least_chi2: float = 12.0, factors: int = 4, steps: int = 150) -> Machine:
     """Fits a machine on at most ``most`` rows of label 1 and ``most_clean`` of label 0, drawn by a hash of their id.
 
     ``docs``: id, text. ``labels``: id, y (1, 0 or null; null is left out). The bounds
@@ -99,7 +100,9 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 2
     gives every text the same score.
     """
     drawn = [labels.where(F.col("y") == y).where("id IS NOT NULL").groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, most), (0, most_clean))]
-    sample = docs.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("id", "y", "text")  # of bounded size
+    drawn = drawn[0].unionByName(drawn[1])  # of bounded size
+    # one text per id, so that rows that repeat an id do not swell the sample; written, as it is read three times
+    sample = ws.table(docs.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[int]] = {0: [], 1: []}
@@ -138,15 +141,24 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 2
     return Machine(chosen, w0, w, v)
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, machine: Machine) -> DataFrame:
-    """id and score (0 to 1) of each row of ``docs`` (id, text): whole texts, empty and null ones too."""
+def score_texts(spark: SparkSession, docs: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """The rows of ``docs``, each with the score (0 to 1) of its whole text as ``out_col``, empty and null ones too.
+
+    The columns of ``docs`` stay as they are; ``out_col`` must be a new name.
+    """
     model = spark.sparkContext.broadcast(machine)
+    rest = docs.columns
+    if out_col in rest:
+        raise ValueError(f"there is a column {out_col} already")
+    at = rest.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["id", "score"])
+            scores = pa.array([model.value.score(t) for t in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*rest, out_col])
 
-    return docs.mapInArrow(run, "id long, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(id_col) -> F.Column:
@@ -154,16 +166,23 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
+def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+    """A machine that has learned from the rows of ``docs`` that ``labels`` marks and that are not held out."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks = labels.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    return learn(spark, Workspace(spark, "toxicity"), texts, marks)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, score of every row of ``docs``. Learns from ``labels`` of rows that are not held out.
 
     Null and empty texts get the score of no terms. Rows with a null id are scored and
-    not learned from; rows that repeat an id are all scored; a repeated label counts
-    once, 1 before 0. Other columns are not read; an empty table gives no rows.
+    not learned from; rows that repeat an id are all scored, and the least of their texts
+    is learned from; a repeated label counts once, 1 before 0. Other columns are not
+    read; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = labels.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
-    return score_texts(spark, texts, learn(spark, texts, marks))
+    return score_texts(spark, texts, fitted(spark, docs, labels, id_col, text_col, label_col)).select("id", "score")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,20 @@ def test_exact_dedup(spark, rows, table, tmp_path, digest):
     assert all((r.keep_id, r.group_size) == by_hash[r.text_sha256] for r in got)
 
 
+def test_exact_dedup_state_outlives_a_call(spark, tmp_path):
+    path, state = str(tmp_path / "in coming[1]"), f"file://{tmp_path}/state"
+    add = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    add([(5, "Alpha"), (1, "beta"), (2, "other")])
+    first = {r.id: (r.keep_id, r.group_size) for r in exact_dedup.dedup_path(spark, path + "/", state=state).collect()}
+    assert first == {5: (5, 1), 1: (1, 1), 2: (2, 1)}
+    add([(3, "ALPHA"), (9, "BETA"), (4, "new")])
+    again = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup_path(spark, path, state=state).collect()}
+    assert again == {5: (5, 2, True), 3: (5, 2, False), 1: (9, 2, False), 9: (9, 2, True), 2: (2, 1, True), 4: (4, 1, True)}
+    batches = [p.name for p in (tmp_path / "state" / "touched").iterdir() if p.name.startswith("batch=")]
+    assert {"batch=0", "batch=1"} <= set(batches)  # the second call read only what came since
+    assert spark.read.parquet(f"{state}/touched/batch=1").count() == 3
+
+
 def test_exact_dedup_keeps_columns_and_takes_empty_tables(spark, table, empty):
     kept = exact_dedup.keep_one(spark, table)
     assert kept.columns == table.columns and kept.count() == len({ascii_lower(r.text) for r in table.collect()})
@@ -92,6 +106,32 @@ def test_ngram_join(spark, rows, table, empty):
     assert ngram_join.link_components(spark, empty).count() == 0
 
 
+def test_ngram_join_of_rows_that_repeat_an_id(spark):
+    a, b = " ".join(text(61, 50)), " ".join(text(62, 50))
+    rows = [(5, a), (5, b), (3, a), (9, b + " more"), (5, a), (7, None), (None, a), (8, " ")]
+    got = sorted((r.id, r.n, r.component) for r in ngram_join.link_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.id is not None)
+    assert got == [(3, 46, 3), (5, 46, 3), (5, 46, 3), (5, 46, 5), (7, 0, 7), (8, 0, 8), (9, 47, 5)]
+
+
+def test_ngram_join_with_lists_in_parts(spark, monkeypatch):
+    """Lists longer than a part: near copies of one text, and texts that share half of it but do not link."""
+    monkeypatch.setattr(ngram_join, "PART", 4)
+    base = text(63, 120)
+    rows = [(k, " ".join(base[:3 * k] + [f"x{k}"] + base[3 * k + 1 :])) for k in range(1, 30)] + [(100 + k, " ".join(base[:60] + text(300 + k, 60))) for k in range(20)]
+    got = {r.id: r.component for r in ngram_join.link_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 1 if i < 100 else i for i, _ in rows}
+
+
+def test_long_parity_bits_fold(spark):
+    a, b = text(64, 1500), text(65, 900)
+    sets_ = [shingle_set(" ".join(x).encode()) for x in (a, a[:1000] + b[:200], b)]
+    wide = [np.frombuffer(parity_bits(s, 1 << (len(s) - 1).bit_length()), np.int64).tolist() for s in sets_]
+    df = spark.createDataFrame([(i, j, wide[i], wide[j]) for i in range(3) for j in range(3)], "i int, j int, a array<long>, b array<long>")
+    for r in df.select("i", "j", ngram_join._differ(F.col("a"), F.col("b")).alias("d")).collect():
+        true = len(set(sets_[r.i].tolist()) ^ set(sets_[r.j].tolist()))
+        assert r.d <= true and (r.d == 0) == (r.i == r.j)
+
+
 def test_parity_bits_never_exceed_the_difference():
     for k in range(20):
         a, b = shingle_set(" ".join(text(k, 80)).encode()), shingle_set(" ".join(text(k, 60) + text(k + 1, 20)).encode())
@@ -190,6 +230,10 @@ def test_shards(spark, rows, table, empty):
     assert sharding.shards_by_bytes(spark, empty).count() == 0
     even = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("abcdefgh"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text"))
     assert [r["count"] for r in sharding.shards_by_bytes(spark, even, shards=8).groupBy("shard").count().orderBy("shard").collect()] == [50] * 8
+    total, bounds = sum(r.size for r in got), Counter()
+    for r in got:
+        bounds[r.shard] += r.size
+    assert max(bounds.values()) <= total / 4 + max(r.size for r in got)
     again = [{(r.id, r.size, r.shard, r.slot) for r in sharding.shards_by_bytes(spark, t, shards=4).where("id IS NOT NULL AND id != 41").collect()} for t in (table, table.repartition(3))]
     assert again[0] == again[1]
 
@@ -197,11 +241,13 @@ def test_shards(spark, rows, table, empty):
 def test_mixing(spark, empty):
     rng = np.random.default_rng(4)
     docs = [(k, " ".join(["w"] * int(rng.integers(0, 200))), [None, "b", "a", "c", "é"][k % 5] if k % 3 else "a") for k in range(300)] + [(300, None, "b"), (301, "", None)]
-    got = mixing.mix(spark, spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
-    assert len(got) == len(docs) and all(0 <= r["__copies"] <= 2 for r in got)
+    docs += [(7, "same row", "b")] * 3
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"size": F.lit("clash"), "copies": F.lit("clash"), "__src": F.lit(None).cast("string")})
+    got = mixing.mix(spark, table).collect()
+    assert len(got) == len(docs) and all(0 <= r.copies <= 2 for r in got) and all(r.doc["size"] == "clash" for r in got)
     size = Counter()
     for r in got:
-        size[r.source] += r["__size"]
+        size[r.doc.source] += r["size"]
     order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
     weight = {s: [3, 1, 2][k % 3] for k, s in enumerate(order)}
     want, open_, left = {}, set(order), 1.5 * sum(size.values())
@@ -216,9 +262,25 @@ def test_mixing(spark, empty):
         open_ -= full
     taken = Counter()
     for r in got:
-        taken[r.source] += r["__copies"] * r["__size"]
-        assert abs(r["__target"] - want[r.source]) < 1e-6 * max(1, want[r.source]) and r["__source_size"] == size[r.source]
+        taken[r.doc.source] += r.copies * r["size"]
+        assert abs(r.target - want[r.doc.source]) < 1e-6 * max(1, want[r.doc.source]) and r.source_size == size[r.doc.source]
     assert all(abs(taken[s] - want[s]) <= max(5, 0.01 * want[s]) for s in order)
-    mixed = mixing.mixed(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"))
-    assert mixed.columns == ["doc_id", "text", "source"] and mixed.count() == sum(r["__copies"] for r in got)
+    mixed = mixing.mixed(spark, table)
+    assert mixed.columns == table.columns and mixed.count() == sum(r.copies for r in got)
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(i for r in got for i in [r.doc.doc_id] * r.copies)
     assert mixing.mix(spark, empty).count() == 0
+
+
+def test_shards_are_even_and_keep_equal_texts_together(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, "x" * int(rng.integers(0, 400)) + str(k % 900)) for k in range(1800)]
+    got = sharding.shards_by_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string"), shards=16).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    mean = sum(size.values()) / 16
+    assert set(size) == set(range(16)) and all(abs(x - mean) <= 0.03 * mean for x in size.values())
+    of, split = {}, 0
+    for (_, t), r in zip(sorted(rows), sorted(got, key=lambda r: r.id)):
+        split += of.setdefault(t, r.shard) != r.shard
+    assert split == 0

@@ -41,6 +41,13 @@ def test_encoding_is_the_librarys(coder, reference, text):
     assert same(coder, reference, text)
 
 
+def test_encoding_of_every_code_point(coder, reference):
+    points = [c for c in [*range(1, 0x33480), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}1{chr(c)}{chr(c)}b" for c in points]
+    wrong = [hex(c) for c, t, e in zip(points, texts, reference.encode_batch(texts, add_special_tokens=False)) if coder.encode(t)[0] != struct.pack(f"<{len(e.ids)}I", *e.ids)]
+    assert not wrong
+
+
 def test_encoding_of_awkward_texts(spark, coder, reference, vocabulary):
     texts = [None, "", " ", "a<|endoftext|>b <|startoftext|>", "ΣΑΣ İ ǅ", "don't I'LL 'sx", "a" * 5000, "日本語 한국어", "12½ x1y", "xyz" * 30 + " " + "word " * 500]
     assert all(same(coder, reference, t) for t in texts)
@@ -96,11 +103,14 @@ def test_language_on_held_out_rows(spark):
     parts = {"aa": ["ka", "ko", "ku"], "bb": ["sch", "tz", "ng"], "cc": ["é", "è", "ou"]}
     docs = [(k, " ".join("".join(rng.choice(parts[lang], 3)) for _ in range(int(rng.integers(3, 200)))), lang) for k, lang in enumerate(list(parts) * 100)]
     docs += [(900, None, "aa"), (901, "123 !?", "aa"), (902, "", None), (None, "kakoku kakoku", "aa"), (903, "kakoku " * 5000, None)]
-    out = langid.language(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    docs += [(3, "kakoku kokuka", "aa"), (3, "schtzng", "bb")]  # an id that repeats
+    out = langid.language(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"id": F.lit("clash"), "score": F.lit("clash")}))
+    assert out.count() == len(docs)
+    docs, out = docs[:-2], out.where("id != 3 OR id IS NULL")
     got = {r.id: r for r in out.withColumn("held_out", langid.held_out("id")).collect()}
-    held = [k for k, _, _ in docs[:300] if got[k].held_out]
+    held = [k for k, _, _ in docs[:300] if k != 3 and got[k].held_out]
     assert len(held) > 40 and np.mean([got[k].lang == docs[k][2] for k in held]) > 0.95
-    assert [got[k].lang for k in (900, 901, 902, 903)] == ["und", "und", "und", "aa"] and len(got) == len(docs)
+    assert [got[k].lang for k in (900, 901, 902, 903)] == ["und", "und", "und", "aa"] and len(got) == len(docs) - 1
     assert langid.language(spark, spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
@@ -157,6 +167,38 @@ def test_copies_of_a_page_make_no_template(spark):
     assert text[40] == "only here\n\ntext 0" and all(text[40 + k] == f"text {k}" for k in range(1, 12))
 
 
+def test_pages_of_copies_datelines_and_innocent_names(spark):
+    page = lambda body: f"<html><body><nav>menu</nav>{body}<div class='x'><span>All rights reserved</span></div></body></html>"
+    rows = [(k, "http://copies.example/a", page("<article><p>six of one</p></article>")) for k in range(6)]
+    rows += [(20 + k, "http://news.example/a", page(f"<div class=story><div class=line>{'London' if k < 18 else f'Own line {k}'}</div><p>story {k}</p></div>")) for k in range(20)]
+    rows += [(60, "http://names.example/a", "<div class='search-results-analysis'>one</div>"), (61, "http://names.example/b", "<div class='social-history'>two</div><p>three</p>"), (62, "http://names.example/c", "<div class='cookie-notice'>c</div><p>four</p>")]
+    text = {r.id: r.text for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == "six of one\n\nAll rights reserved" or text[k] == "six of one" for k in range(6))
+    assert [text[38], text[39]] == ["Own line 18\n\nstory 18", "Own line 19\n\nstory 19"] and text[21] == "story 1"
+    assert [text[60], text[61], text[62]] == ["one", "two\n\nthree", "four"]
+
+
+def test_templates_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(120):
+        host = f"h{k % 3}.example"
+        parts = [f"<div class=c{j}>{'shop ' + str(int(rng.integers(2))) if j < 2 else f'own {k} {j}'}</div>" for j in range(4)]
+        rows.append((k, f"http://{host}/{k}", "<body>" + "".join(parts) + (f"<p>{'often' if rng.random() < 0.5 else k}</p>") + "</body>"))
+    rows += rows[:10]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.host, r.hash) for r in html_extract.site_templates(df.select(html_extract.page_host("url").alias("host"), "html"), 5, 0.8).collect()}
+    per: dict = {}
+    for host, page in {(f"h{k % 3}.example", h) for k, _, h in rows}:
+        for place, h in {(e.place, html_extract._subtree(page, e, html_extract.host_hash(host))) for e in html_extract._counted(html_extract.parse(page)[1])}:
+            per.setdefault((host, place), {}).setdefault(h, 0)
+            per[host, place][h] += 1
+    want = {(host, h) for (host, _), n in per.items() if sum(c for c in n.values() if c >= 5) >= 0.8 * sum(n.values()) for h, c in n.items() if c >= 5}
+    assert got == want and len(want) >= 6
+    few, many = (html_extract.extract(spark, df, most_sent=m).orderBy("id", "text").collect() for m in (0, 100))
+    assert few == many
+
+
 def brute(vectors, k):
     out = {}
     for i, q in vectors:
@@ -179,6 +221,19 @@ def test_top_k_is_exact(spark, shard_rows):
     assert topk.top_k(spark, df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_with_repeated_rows_and_many_blocks(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k % 150, [float(x) for x in rng.integers(-4, 5, 6)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got: dict = {}
+    for r in topk.top_k(spark, df, df.where("id % 5 = 0"), 7, shard_rows=40, block_rows=8, rounds=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    for i in range(0, 150, 5):
+        q = min(v for j, v in rows if j == i)
+        best = sorted((-float(np.dot(q, v)), j) for j, v in rows if j != i)[:7]
+        assert got[i] == [(j, -s) for s, j in best]
+
+
 def test_top_k_gives_all_when_few(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [3.0])], "id long, v array<double>")
     assert [(r.id, r.rank) for r in topk.top_k(spark, df, df.where("id = 1")).orderBy("rank").collect()] == [(3, 1), (2, 2)]

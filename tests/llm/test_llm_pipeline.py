@@ -2,7 +2,9 @@
 
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from lodestrata.llm.common import read
@@ -48,3 +50,35 @@ def test_clean_documents_stay(spark, stages):
 def test_encoding_covers_the_mix(stages):
     assert stages["bpe"].count() == stages["mixing"].count()
     assert {r.doc_id for r in stages["mixing"].collect()} <= {r.doc_id for r in stages["ngram_join"].collect()}
+    ends = stages["bpe"].collect()
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from lodestrata.llm.bpe import word_vocabulary
+
+    library = Tokenizer.from_file(word_vocabulary())
+    for r in ends[:20]:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls in all columns, empty texts, repeated ids with other texts, clashing names; then no rows at all."""
+    words = lambda k: " ".join(np.random.default_rng(k).choice([f"w{j}" for j in range(500)], 60))
+    rows = [(k, words(k), "en", "s" if k % 2 else None, 1) for k in range(40)] + [(None, None, None, None, None), (50, "", "en", "s", 0), (50, words(3), "en", "s", 1), (3, words(99), None, None, 1), (51, words(5) + " x", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit("clash"), "size": F.lit("clash"), "id": F.lit("clash"), "component": F.lit("clash")})
+    spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(8)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        at = table
+        for k, (name, stage) in enumerate(P.STAGES):
+            out = stage(spark, at, str(tmp_path))
+            assert k == len(P.STAGES) - 1 or out.columns == docs.columns
+            path = f"{tmp_path}/{name}{table is docs}"
+            out.write.parquet(path)
+            at = spark.read.parquet(path)
+            if name == "ngram_join" and table is docs:
+                kept = {(r.doc_id, r.text) for r in at.collect()}
+                assert (3, words(99)) in kept and (3, words(3)) not in kept and (50, words(3)) in kept  # the largest id of equal texts
+                assert (5, words(5)) in kept and (51, words(5) + " x") not in kept
+        assert (at.count() > 0) == (table is docs)
