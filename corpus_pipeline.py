@@ -15,7 +15,7 @@ from lodestrata.llm.common import Workspace, read
 from lodestrata.llm.exact_dedup import keep_one
 from lodestrata.llm.mixing import mixed
 from lodestrata.llm.ngram_join import link_components
-from lodestrata.llm.toxicity import toxicity
+from lodestrata.llm.toxicity import fitted, score_texts
 from lodestrata.shipping import ship
 
 #: Documents that score this much or more go.
@@ -23,11 +23,11 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go; rows with a null id stay."""
+    """Rows that the toxicity score rejects go, each by its own text."""
     ship(spark)
-    scores = toxicity(spark, docs, read(spark, sf_dir, "labels"))
-    rejected = scores.where(F.col("score") >= TOXIC).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    machine = fitted(spark, docs, read(spark, sf_dir, "labels"))
+    score = "_".join(["score", *docs.columns])  # no column has this name
+    return score_texts(spark, docs, machine, out_col=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix."""
+    """Token ids of each document of the mix, and a hash of what they decode to."""
     ship(spark)
     out = encode_texts(spark, docs.select("doc_id", "source", "text"), word_vocabulary())
-    return out.select("doc_id", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    return out.select("doc_id", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
