@@ -69,5 +69,5 @@ t AS (SELECT DISTINCT k, total * k // 16 AS target, total FROM o, range(1, 16) r
 n AS (SELECT k, target, total, CASE WHEN target - lo <= hi - target THEN lo ELSE hi END AS near FROM t LEFT JOIN runs ON lo < target AND target < hi),
 cuts AS (SELECT CASE WHEN abs(near - target) <= 0.02 * total / 16 THEN near ELSE target END AS cut FROM n),
 p AS (SELECT *, (SELECT count(*) FROM cuts WHERE 2 * hi - size >= 2 * cut)::INTEGER AS shard FROM o)
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM p
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, NULL::DOUBLE AS grown_shard FROM p
 """

@@ -63,36 +63,37 @@ def candidate_clusters(items: DataFrame) -> DataFrame:
 def map_reduce_batches(items: DataFrame, available: int, most: int, per: str = "plan_id") -> DataFrame:
     """(plan, ordinal, batch): items packed by kind under a token budget; batch 0 means uncovered.
 
-    Packing depends on what came before, so it is a fold over one plan's items, which
-    are exact-deduplicated first; plans are packed in parallel.
+    A batch holds items of one kind, in order, as far as the budget reaches; batches are
+    numbered through all kinds, and those after the last allowed one, like items above
+    the budget, stay uncovered. Where a batch ends depends on where the one before did,
+    so each plan is one group: ordinals and costs only, exact-deduplicated first. Plans
+    are of bounded size; a larger scope is given as several (``plan_parts``).
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(k=pdf["knowledge_kind"].map(KINDS.index)).sort_values(["k", "ordinal"])
-        batch_of, made = {}, 0
-        for _, kind in pdf.groupby("k", sort=True):
-            held, used = [], 0
-            for ordinal, cost in zip(kind["ordinal"], kind["token_estimate"]):
-                batch_of[ordinal] = 0
-                if cost > available:
-                    continue
-                if held and used + cost > available:
-                    if made >= most:
-                        held, used = [], 0
-                        continue
-                    made += 1
-                    batch_of.update(dict.fromkeys(held, made))
-                    held, used = [], 0
-                if held or made < most:
-                    held.append(ordinal)
-                    used += cost
-            if held and made < most:
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(kind=pdf["knowledge_kind"].map(KINDS.index), batch=0).sort_values(["kind", "ordinal"])
+        made = 0
+        for _, rows in pdf[pdf["token_estimate"] <= available].groupby("kind"):
+            ends, at = rows["token_estimate"].cumsum().to_numpy(), 0
+            while at < len(ends) and made < most:
+                end = max(at + 1, ends.searchsorted((ends[at - 1] if at else 0) + available, "right"))
                 made += 1
-                batch_of.update(dict.fromkeys(held, made))
-        return pd.DataFrame({per: pdf[per], "ordinal": pdf["ordinal"], "batch": pdf["ordinal"].map(batch_of).astype("int32")})
+                pdf.loc[rows.index[at:end], "batch"] = made
+                at = end
+        return pdf[[per, "ordinal", "batch"]]
 
     kind = items.schema
-    return items.select(per, "ordinal", "knowledge_kind", "token_estimate").groupBy(per).applyInPandas(fold, f"{per} {kind[per].dataType.simpleString()}, ordinal {kind['ordinal'].dataType.simpleString()}, batch int")
+    return items.select(per, "ordinal", "knowledge_kind", "token_estimate").groupBy(per).applyInPandas(number, f"{per} {kind[per].dataType.simpleString()}, ordinal {kind['ordinal'].dataType.simpleString()}, batch int")
+
+
+def plan_parts(items: DataFrame, per: str, size: int = 1000) -> DataFrame:
+    """Items with ``plan_id``: each scope cut, in order, into plans of at most ``size`` items."""
+    from lodestrata.operators.sorting import with_rank
+
+    ranked = with_rank(items, [per, "ordinal"])
+    first = ranked.groupBy(per).agg(F.min("rank").alias("first"))
+    part = F.floor((F.col("rank") - F.col("first")) / size).cast("string")
+    return ranked.join(first, per).withColumn("plan_id", F.concat_ws("#", F.coalesce(F.col(per), F.lit("")), part)).drop("rank", "first")
 
 
 def execute_coverage(items: DataFrame) -> DataFrame:

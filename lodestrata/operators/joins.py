@@ -72,14 +72,34 @@ def along_path(files: DataFrame, documents: DataFrame) -> DataFrame:
 def sharing_terms(items: DataFrame) -> DataFrame:
     """Pairs of items (ordinal, knowledge_kind, concept_terms) of one kind with a term in common.
 
-    A chain through each term's items instead of all pairs: the pairs link the same
-    components, and grow with the items of a term, not with their square.
+    Each item is linked to the least item of each of its terms instead of to all: the
+    pairs link the same components, and grow with the items of a term, not with their
+    square. The least item is a partial aggregate, so a frequent term meets in no task.
     """
-    from pyspark.sql import Window as W
-
     each = items.select("ordinal", "knowledge_kind", F.explode("concept_terms").alias("term"))
-    before = F.lag("ordinal").over(W.partitionBy("knowledge_kind", "term").orderBy("ordinal"))
-    return each.select(before.alias("a"), F.col("ordinal").alias("b")).where("a IS NOT NULL").distinct()
+    least = each.groupBy("knowledge_kind", "term").agg(F.min("ordinal").alias("a"))
+    return each.join(least, ["knowledge_kind", "term"]).where("a <> ordinal").select("a", F.col("ordinal").alias("b")).distinct()
+
+
+def same_position(blocks: DataFrame, tolerance: float = 0.05, keys: list[str] = ["graph_id"]) -> DataFrame:  # noqa: B006
+    """Margin texts with the number of other pages that hold the same text at the same place of the page.
+
+    Rows: keys, block_id, page, text, x1, y1, x2, y2 and the page's width and height. Boxes
+    are compared as shares of the page. Each is put into a cell of the tolerance's size and
+    into its neighbours, so the join is on equal text and cell, with the exact distances after.
+    """
+    from lodestrata.functions.text import compare_key
+
+    rel = {"rx": F.col("x1") / F.col("page_width"), "ry": F.col("y1") / F.col("page_height"), "sx": F.col("x2") / F.col("page_width"), "sy": F.col("y2") / F.col("page_height")}
+    rows = blocks.select(*keys, "block_id", "page", compare_key(F.col("text")).alias("key"), *[v.alias(k) for k, v in rel.items()])
+    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    mine = rows.withColumns({"cx": cell("rx"), "cy": cell("ry")})
+    around = F.sequence(F.lit(-1), F.lit(1))
+    theirs = mine.select(*keys, "key", F.col("page").alias("page2"), *[F.col(c).alias(f"{c}2") for c in rel], (F.col("cx") + F.explode(around)).alias("cx"), "cy").withColumn("d", F.explode(around)).withColumn("cy", F.col("cy") + F.col("d")).drop("d")
+    near = F.lit(True)
+    for c in rel:
+        near = near & (F.abs(F.col(c) - F.col(f"{c}2")) <= tolerance)
+    return mine.join(theirs, [*keys, "key", "cx", "cy"]).where((F.col("page") != F.col("page2")) & near).groupBy(*keys, "block_id").agg(F.count_distinct("page2").alias("pages"))
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

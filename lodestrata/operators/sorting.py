@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from lodestrata.operators.lineage import cut
 
 
-def with_rank(rows: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+def with_rank(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``rank`` from 0 in the order of the columns.
 
-    Range buckets are cut at sampled quantiles of the first column; counts of the
-    buckets, one row each, give the offsets, and rows are numbered inside a bucket.
+    Range buckets, as many as shuffle partitions, are cut at sampled quantiles; counts of
+    the buckets, one row each, give the offsets, and rows are numbered inside a bucket.
     The result does not depend on where the cuts fall.
     """
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(rows.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
