@@ -94,8 +94,9 @@ def same_position(blocks: DataFrame, tolerance: float = 0.05, keys: list[str] =
     rows = blocks.select(*keys, "block_id", "page", compare_key(F.col("text")).alias("key"), *[v.alias(k) for k, v in rel.items()])
     cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
     mine = rows.withColumns({"cx": cell("rx"), "cy": cell("ry")})
-    around = F.sequence(F.lit(-1), F.lit(1))
-    theirs = mine.select(*keys, "key", F.col("page").alias("page2"), *[F.col(c).alias(f"{c}2") for c in rel], (F.col("cx") + F.explode(around)).alias("cx"), "cy").withColumn("d", F.explode(around)).withColumn("cy", F.col("cy") + F.col("d")).drop("d")
+    around = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.col(c) + d)).alias(c)
+    theirs = mine.select(*keys, "key", F.col("page").alias("page2"), *[F.col(c).alias(f"{c}2") for c in rel], around("cx"), "cy")
+    theirs = theirs.select(*[c for c in theirs.columns if c != "cy"], around("cy"))
     near = F.lit(True)
     for c in rel:
         near = near & (F.abs(F.col(c) - F.col(f"{c}2")) <= tolerance)

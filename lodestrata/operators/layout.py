@@ -18,6 +18,7 @@ NUMBERED_HEADING = r"^\s*(\d+(?:[.．]\d+){1,5})(?:[.．、):：]\s*|\s+|(?=[A-Z
 CHAPTER_HEADING = r"^\s*第\s*\d+\s*([编篇章部卷节条款])\s*(.+?)\s*$"
 SENTENCE_END = r"[.!?。！？；;:]$"
 LIST_ITEM = r"^[ \t]*(?:[-+*]|[0-9]+[.)])[ \t]+.+?\s*$"
+PAGE_NUMBER = r"^(?:[-–—]\s*)?\d{1,5}(?:\s*[-–—/]\s*\d{0,5})?$|^(?:page|p\.)\s*\d{1,5}$|^第\s*\d{1,5}\s*页$"
 # End of fixed values.
 
 ORDER = "reading_order"
@@ -40,8 +41,14 @@ def furniture(blocks: DataFrame, margin: float = 0.1, most: int = 100) -> DataFr
     return near.join(often, ["graph_id", "key"], "left_semi").select("graph_id", "block_id")
 
 
+def page_numbers(blocks: DataFrame, margin: float = 0.1) -> DataFrame:
+    """Margin paragraphs that are nothing but a page number."""
+    near = blocks.where(F.col("kind") == "paragraph").join(page_bounds(blocks), ["graph_id", "page"]).where(at_margin(margin))
+    return near.where(F.trim("text").rlike(PAGE_NUMBER)).select("graph_id", "block_id")
+
+
 def mark_noise(blocks: DataFrame) -> DataFrame:
-    noise = furniture(blocks).withColumn("noise", F.lit(True))
+    noise = furniture(blocks).unionByName(page_numbers(blocks)).distinct().withColumn("noise", F.lit(True))
     return blocks.join(noise, ["graph_id", "block_id"], "left").withColumn("noise", F.coalesce("noise", F.lit(False)))
 
 
@@ -93,16 +100,18 @@ def merge_fragments(blocks: DataFrame) -> DataFrame:
     narrow = F.least(F.col("x2") - F.col("x1"), was("x2") - was("x1"))
     height = F.least(F.col("y2") - F.col("y1"), was("y2") - was("y1"))
     gap = F.col("y1") - was("y2")
-    goes_on = (F.col("kind") == "paragraph") & (was("kind") == "paragraph") & (F.col("page") == was("page")) & ~was("text").rlike(SENTENCE_END) & (overlap >= 0.8 * narrow) & (gap >= 0) & (gap <= 1.5 * height)
+    noisy = F.coalesce("noise", F.lit(False)) if "noise" in blocks.columns else F.lit(False)
+    goes_on = ~noisy & (F.col("kind") == "paragraph") & (was("kind") == "paragraph") & (F.col("page") == was("page")) & ~was("text").rlike(SENTENCE_END) & (overlap >= 0.8 * narrow) & (gap >= 0) & (gap <= 1.5 * height)
     runs = blocks.withColumn("run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w))
     texts = F.transform(F.sort_array(F.collect_list(F.struct(ORDER, "text"))), lambda s: s["text"])
-    first = lambda c: F.min_by(c, ORDER).alias(c)
-    return runs.groupBy("graph_id", "run").agg(F.min(ORDER).alias(ORDER), first("block_id"), first("kind"), first("page"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), X.join_wrapped(texts).alias("text"), F.count("*").alias("parts")).drop("run")
+    boxes = {"x1": F.min("x1"), "y1": F.min("y1"), "x2": F.max("x2"), "y2": F.max("y2"), "text": F.when(F.count("*") > 1, X.join_wrapped(texts)).otherwise(F.min("text")), ORDER: F.min(ORDER)}
+    rest = [c for c in blocks.columns if c != "graph_id"]
+    return runs.groupBy("graph_id", "run").agg(*[(boxes[c] if c in boxes else F.min_by(c, ORDER)).alias(c) for c in rest], F.count("*").alias("parts")).drop("run")
 
 
 def normalize(blocks: DataFrame) -> DataFrame:
-    """Headings, then noise, then the title, then captions: the order matters."""
-    return mark_captions(promote_title(mark_noise(infer_headings(blocks))))
+    """Headings, then noise, then the title, then captions, then fragments: the order matters."""
+    return merge_fragments(mark_captions(promote_title(mark_noise(infer_headings(blocks)))))
 
 
 def heading_context(blocks: DataFrame) -> DataFrame:

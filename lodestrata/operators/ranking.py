@@ -17,29 +17,33 @@ RRF_K = 60
 CHANNELS = ["lexical", "semantic", "heading"]
 
 
-def _step_suffixes(word: Column, rules: list[tuple[str, str, str | None]]) -> Column:
-    """The first rule (suffix, replacement, pattern the rest must match) that fits."""
-    out = None
-    for suffix, to, must in rules:
-        fits = word.endswith(suffix) if must is None else word.rlike(f"{must}{suffix}$")
-        new = F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(to))
-        out = F.when(fits, new) if out is None else out.when(fits, new)
-    return out.otherwise(word)
-
+# Suffixes of the published stripper's steps 2 to 4 and what takes their place.
+STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+# End of fixed values.
 
 VOWEL = "(?:[aeiou]|(?<=[^aeiou])y)"
-#: At least one vowel-consonant sequence before a suffix.
+#: At least one and at least two vowel-consonant sequences before a suffix.
 SOME = f"^(?:.*{VOWEL}[^aeiou]).*?"
+MANY = f"^(?:.*{VOWEL}[^aeiou].*{VOWEL}[^aeiou]).*?"
+SHORT = "[^aeiou][aeiouy][^aeiouwxy]"
+
 
+def _ends(word: Column, rules: dict[str, str], must: str | None) -> Column:
+    """The longest suffix of the rules that a word ends in gives way, if what stands before it is as it must be."""
+    out = F.when(F.lit(False), word)
+    for suffix in sorted(rules, key=len, reverse=True):
+        new = F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(rules[suffix]))
+        out = out.when(word.endswith(suffix), new if must is None else F.when(word.rlike(f"{must}{suffix}$"), new).otherwise(word))
+    return out.otherwise(word)
 
-def light_stem(word: Column) -> Column:
-    """Inflections only: plurals, -ed and -ing (with the final e or the doubled consonant put right), final y.
 
-    The first steps of Porter's published suffix stripper, as nested expressions.
-    """
+def porter_stem(word: Column) -> Column:
+    """Porter's published suffix stripper as nested expressions; words of one or two letters stay."""
     let = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # evaluates x once
 
-    def step_b(a: Column) -> Column:
+    def inflection(a: Column) -> Column:
         def mend(cut: Column) -> Column:
             return (
                 F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e")))
@@ -49,16 +53,45 @@ def light_stem(word: Column) -> Column:
             )
 
         mended = let(F.regexp_replace(a, r"(?:ed|ing)$", ""), mend)
-        return F.when(a.endswith("eed"), _step_suffixes(a, [("eed", "ee", SOME)])).when(a.rlike("[aeiouy].*(?:ed|ing)$"), mended).otherwise(a)
+        return F.when(a.endswith("eed"), _ends(a, {"eed": "ee"}, SOME)).when(a.rlike("[aeiouy].*(?:ed|ing)$"), mended).otherwise(a)
+
+    def fourth(w: Column) -> Column:
+        out = F.when(F.lit(False), w)
+        for suffix in sorted(STEP4, key=len, reverse=True):
+            fits = w.rlike(f"{MANY}{suffix}$") & (w.rlike("[st]ion$") if suffix == "ion" else F.lit(True))
+            out = out.when(w.endswith(suffix), F.when(fits, F.substring(w, F.lit(1), F.length(w) - len(suffix))).otherwise(w))
+        return out.otherwise(w)
+
+    def fifth(w: Column) -> Column:
+        cut = F.substring(w, F.lit(1), F.length(w) - 1)
+        goes = w.rlike(f"{MANY}e$") | (w.rlike(f"{SOME}e$") & ~cut.rlike(f"{SHORT}$"))
+        return F.when(w.endswith("e"), F.when(goes, cut).otherwise(w)).when(w.rlike(f"{MANY}l$") & w.endswith("ll"), cut).otherwise(w)
 
     def stem(w: Column) -> Column:
-        a = _step_suffixes(w, [("sses", "ss", None), ("ies", "i", None), ("ss", "ss", None), ("s", "", None)])
-        c = let(let(a, step_b), lambda b: F.when(b.rlike("[aeiouy].*y$"), F.regexp_replace(b, "y$", "i")).otherwise(b))
-        return F.when(F.length(w) > 2, c).otherwise(w)
+        a = _ends(w, {"sses": "ss", "ies": "i", "ss": "ss", "s": ""}, None)
+        c = let(let(a, inflection), lambda b: F.when(b.rlike("[aeiouy].*y$"), F.regexp_replace(b, "y$", "i")).otherwise(b))
+        rest = let(let(let(let(c, lambda x: _ends(x, STEP2, SOME)), lambda x: _ends(x, STEP3, SOME)), fourth), fifth)
+        return F.when(F.length(w) > 2, rest).otherwise(w)
 
     return let(F.lower(word), stem)
 
 
+def folded(term: Column) -> Column:
+    """A Latin term without accents: the letters that Unicode composes of a base letter and a mark."""
+    return F.translate(term, ACCENTED, PLAIN)
+
+
+def _accents() -> tuple[str, str]:
+    """Accented Latin letters and their base letters, by Unicode's own decompositions."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _accents()
+
+
 def postings(blocks: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
     """(keys, field, term, tf) from an array of terms per field; terms are counted where they are made."""
     def tag(name: str, terms: Column) -> Column:
@@ -84,11 +117,16 @@ def index_fields(english: str = "retrieval_text", heading: str = "heading_path",
 
 def stemmed(posts: DataFrame) -> DataFrame:
     """Postings by stem. Each distinct term is stemmed once, not each of its uses."""
-    stems = posts.select("term").distinct().withColumn("stem", light_stem(F.col("term")))
+    stems = posts.select("term").distinct().withColumn("stem", porter_stem(folded(F.col("term"))))
     keys = [c for c in posts.columns if c not in ("term", "tf")]
     return posts.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
+def weighted_length(fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS) -> Column:
+    """A block's length: its terms of each field, weighed; no term has to be counted for it."""
+    return reduce(lambda a, f: a + F.coalesce(F.size(fields[f]), F.lit(0)) * F.lit(weights[f]), fields, F.lit(0.0))
+
+
 def bm25(posts: DataFrame, lengths: DataFrame, query: DataFrame, keys: list[str], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """(query_id, keys, score) for query rows (query_id, term, field).
 
@@ -129,10 +167,20 @@ def broken_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
     return vectors.where(bad | F.col(column).isNull())
 
 
+def sound_vector(column: Column, key: Column) -> Column:
+    """The vector, or an error that names its key if it has no direction or holds numbers that are not finite."""
+    bad = column.isNull() | F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(column, lambda x: x != 0)
+    return F.when(bad, F.raise_error(F.concat(F.lit("broken vector: "), key.cast("string")))).otherwise(column)
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, order: list[str], column: str = "vector") -> DataFrame:
-    """Exact cosine neighbours of one query vector; the query is a constant of the plan, so no join is needed."""
+    """Exact cosine neighbours of one query vector; the query is a constant of the plan, so no join is needed.
+
+    A broken vector is an error that names its row, never a row that ranks or is left out.
+    """
     q = l2_normal(F.array(*[F.lit(float(x)) for x in query]))
-    return vectors.withColumn("score", F.round(dot(l2_normal(F.col(column)), q), 6)).orderBy(F.desc("score"), *order).limit(k)
+    v = sound_vector(F.col(column), F.concat_ws("/", *[F.col(c).cast("string") for c in order]))
+    return vectors.withColumn("score", F.round(dot(l2_normal(v), q), 6)).orderBy(F.desc("score"), *order).limit(k)
 
 
 def heading_matches(blocks: DataFrame, prefixes: list[str], k: int, order: list[str] = ["relative_path", "sequence"]) -> DataFrame:  # noqa: B006
@@ -184,15 +232,19 @@ def rerank_candidates(ranked: DataFrame, most: int = 20) -> DataFrame:
 
 
 def expand(hits: DataFrame, blocks: DataFrame, most: int = 8) -> DataFrame:
-    """Hits first, then the blocks around each hit that are not yet chosen, a little below its score."""
-    from lodestrata.operators.joins import neighbours
-
-    prime = hits.select("document_id", "sequence", "score", F.lit(0).alias("tier"), "rank", F.lit(0).alias("offset"))
-    near = neighbours(hits, blocks).select("document_id", "sequence", F.greatest(F.col("hit_score") - 1e-6, F.lit(0.0)).alias("score"), F.lit(1).alias("tier"), F.col("hit_rank").alias("rank"), "offset")
-    best = prime.unionByName(near).groupBy("document_id", "sequence").agg(F.min(F.struct("tier", "rank", "offset", "score")).alias("m"))
-    ordered = best.select("document_id", "sequence", "m.*").orderBy("tier", "rank", "offset").limit(most)
-    w = W.orderBy("tier", "rank", "offset")  # at most ``most`` rows
-    return ordered.withColumn("place", F.row_number().over(w)).join(blocks, ["document_id", "sequence"])
+    """Per query the hits first, then the blocks around each hit that are not yet chosen, a little below its score.
+
+    Without a ``query_id`` all hits are one query's.
+    """
+    if "query_id" not in hits.columns:
+        hits = hits.withColumn("query_id", F.lit(0))
+    step = F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1)))
+    around = hits.select("query_id", "document_id", "rank", "score", "sequence", step.alias("step")).withColumn("sequence", F.col("sequence") + F.col("step"))
+    own = F.col("step") == 0
+    asked = around.select("query_id", "document_id", "sequence", F.when(own, 0).otherwise(1).alias("tier"), "rank", F.when(own, 0).otherwise(((F.col("step") + 1) / 2).cast("int")).alias("offset"), F.when(own, F.col("score")).otherwise(F.greatest(F.col("score") - 1e-6, F.lit(0.0))).alias("score"))
+    best = asked.groupBy("query_id", "document_id", "sequence").agg(F.min(F.struct("tier", "rank", "offset", "score")).alias("m")).join(blocks, ["document_id", "sequence"])
+    w = W.partitionBy("query_id").orderBy("m.tier", "m.rank", "m.offset", "document_id")  # three rows per hit
+    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query_id", "place", "document_id", "sequence", "m.tier", "m.rank", "m.offset", "m.score", *[c for c in blocks.columns if c not in ("document_id", "sequence")])
 
 
 def pack(ranked: DataFrame, most: int = 8, per_block: int = 800, in_all: int = 4000, per: list[str] = ["query_id"]) -> DataFrame:  # noqa: B006

@@ -1,39 +1,71 @@
-"""From documents and questions to packed evidence, as one lazy plan."""
+"""From documents and questions to packed evidence, by way of a stored index."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
 from lodestrata.operators import ranking as R
 from lodestrata.operators.chunking import chunk_markdown
+from lodestrata.operators.lineage import cut
+
+
+FIELDS = ["en", "cjk", "heading", "tag"]
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """blocks, postings and weighted lengths of Markdown or plain documents."""
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
+    """The index of Markdown or plain documents as three tables, to be written once and asked often.
+
+    blocks: document_id, sequence, text and the weighted length. terms: what blocks hold
+    (document_id, sequence, field, stem, tf), in ranges of the stem, so that a question
+    reads the row groups of its own stems. vocabulary: CJK words of all headings.
+    """
     chunks = chunk_markdown(docs, key, text)
-    blocks = chunks.withColumn("document_id", F.col(key)).withColumn("retrieval_text", F.concat_ws("\n", F.when(F.col("contextual_prefix") != "", F.col("contextual_prefix")), "text")).withColumn("tags", F.array().cast("array<string>")).persist()
-    keys = ["document_id", "sequence"]
-    posts = R.stemmed(R.postings(blocks, keys, R.index_fields())).persist()  # read by lengths, frequencies and matches
-    weights = F.create_map(*[F.lit(x) for kv in R.FIELD_WEIGHTS.items() for x in kv])
-    lengths = posts.groupBy(*keys).agg(F.sum(F.col("tf") * weights[F.col("field")]).alias("length"))
-    return blocks, posts, lengths
-
-
-def question_terms(questions: DataFrame) -> DataFrame:
-    """(query_id, term, field): stemmed Latin terms for the English, heading and tag columns, CJK tokens for the others."""
-    latin = questions.select("query_id", F.explode(F.transform(X.english_terms(F.col("query")), R.light_stem)).alias("term"), F.array(*map(F.lit, ["en", "heading", "tag"])).alias("fields"))
-    cjk = questions.select("query_id", F.explode(X.cjk_tokens(F.col("query"), F.array().cast("array<string>"))).alias("term"), F.array(*map(F.lit, ["cjk", "heading", "tag"])).alias("fields"))
+    rows = chunks.withColumn("document_id", F.col(key)).withColumn("retrieval_text", F.concat_ws("\n", F.when(F.col("contextual_prefix") != "", F.col("contextual_prefix")), "text")).withColumn("tags", F.array().cast("array<string>"))
+    fields = R.index_fields()
+    rows = cut(rows.select("document_id", "sequence", "text", "heading_path", *[v.alias(k) for k, v in fields.items()]))
+    arrays = {f: F.col(f) for f in FIELDS}
+    blocks = rows.select("document_id", "sequence", "text", R.weighted_length(arrays).alias("length"))
+    posts = R.stemmed(R.postings(rows, ["document_id", "sequence"], arrays))
+    vocabulary = rows.where(F.size("heading_path") > 0).select(F.explode(X.cjk_vocabulary(F.col("heading_path"))).alias("word")).distinct()
+    return {"blocks": blocks, "terms": posts.repartitionByRange("term").sortWithinPartitions("term"), "vocabulary": vocabulary}
+
+
+def question_terms(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(query_id, term, field): stemmed Latin terms for the English, heading and tag columns, CJK tokens for the others.
+
+    A question's CJK runs are cut by the words of the index's headings that it holds, as the indexed texts are.
+    """
+    latin = questions.select("query_id", F.explode(F.transform(X.english_terms(F.col("query")), lambda t: R.porter_stem(R.folded(t)))).alias("term"), F.array(*map(F.lit, ["en", "heading", "tag"])).alias("fields"))
+    held = questions.join(vocabulary, F.contains(F.col("query"), F.col("word"))).groupBy("query_id").agg(F.collect_set("word").alias("words"))  # questions are few
+    own = questions.join(held, "query_id", "left").withColumn("words", X.cjk_vocabulary(F.coalesce("words", F.array().cast("array<string>"))))
+    cjk = own.select("query_id", F.explode(X.cjk_tokens(F.col("query"), F.col("words"))).alias("term"), F.array(*map(F.lit, ["cjk", "heading", "tag"])).alias("fields"))
     return latin.unionByName(cjk).select("query_id", "term", F.explode("fields").alias("field")).distinct()
 
 
+def ask(index: dict[str, DataFrame], questions: DataFrame, k: int = 8) -> DataFrame:
+    """Packed evidence per question from a built index: (query_id, place, document_id, sequence, excerpt, score)."""
+    blocks, keys = index["blocks"], ["document_id", "sequence"]
+    asked = cut(question_terms(questions, index["vocabulary"]))
+    stems = [r.term for r in asked.select("term").distinct().collect()]  # of the questions, given by hand
+    posts = index["terms"].where(F.col("term").isin(stems))  # pushed down to the files
+    scores = R.bm25(posts, blocks.select(*keys, "length"), asked, keys)
+    best = R.top_k(scores, k, keys).withColumnRenamed("rank", "place")
+    return R.pack(best.join(blocks.select(*keys, "text"), keys), k)
+
+
 def answer(docs: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
-    """Packed evidence per question: (query_id, place, document_id, sequence, excerpt, score)."""
-    blocks, posts, lengths = build_index(docs)
-    scores = R.bm25(posts, lengths, question_terms(questions), ["document_id", "sequence"])
-    best = R.top_k(scores, k, ["document_id", "sequence"]).withColumnRenamed("rank", "place")
-    return R.pack(best.join(blocks.select("document_id", "sequence", "text"), ["document_id", "sequence"]), k)
+    """Builds the index of the documents in the shared folder and asks it."""
+    from lodestrata.operators.lineage import shared_folder
+    from lodestrata.sources.tables import VersionedTables
+
+    spark = docs.sparkSession
+    tables = VersionedTables(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    tables.write(build_index(docs))
+    return ask({name: tables.read(name) for name in ("blocks", "terms", "vocabulary")}, questions, k)
 
 
 def questions_of(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
