@@ -262,6 +262,25 @@ def supports(answer: Column, evidence: Column) -> Column:
     return F.contains(bare(evidence), bare(answer))
 
 
+def conversation_queries(turns, key: str, current: Column | None = None, most: int = 3, size: int = 160):
+    """(key, query): a conversation's latest questions in order, each cut to ``size``.
+
+    A ``current`` message is one of them, the last; one that names a heading by itself
+    (a number with dots, or a unit) stands alone, as what was asked before would mislead.
+    """
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(key).orderBy(F.desc("turn"))
+    keep = most - (current is not None)
+    last = turns.where("role = 'user'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", excerpt(F.col("text"), size).alias("t")))), lambda s: s["t"])
+    out = last.groupBy(key).agg(F.array_join(parts, " ").alias("query"))
+    if current is None:
+        return out
+    explicit = current.rlike(r"\d+(?:\.\d+)+|(?i)\b(?:unit|lesson|chapter)\s*\d+|第.{1,4}(?:单元|[课章节])")
+    return out.withColumn("query", F.when(explicit, excerpt(current, size)).otherwise(F.concat_ws(" ", "query", excerpt(current, size))))
+
+
 def string_list(json: Column) -> Column:
     """A JSON list of texts; anything else counts as no list."""
     return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))

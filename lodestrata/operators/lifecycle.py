@@ -104,8 +104,12 @@ def backfill(blocks: DataFrame, structure: DataFrame) -> DataFrame:
     """Fills in missing hashes, and graph columns of blocks that have none yet."""
     out = blocks.join(structure.select("document_id", "sequence", F.col("graph_block_id").alias("g1"), F.col("reading_order").alias("o1")), ["document_id", "sequence"], "left")
     plain = F.col("graph_block_id").isNull() & F.col("reading_order").isNull()
-    out = out.withColumn("block_content_sha256", F.when(F.col("block_content_sha256") == "", X.block_hash(F.col("text"))).otherwise(F.col("block_content_sha256")))
-    return out.withColumn("reading_order", F.when(plain, F.col("o1")).otherwise(F.col("reading_order"))).withColumn("graph_block_id", F.when(plain, F.col("g1")).otherwise(F.col("graph_block_id"))).select(*blocks.columns)
+    filled = {
+        "block_content_sha256": F.when(F.col("block_content_sha256") == "", X.block_hash(F.col("text"))).otherwise(F.col("block_content_sha256")),
+        "reading_order": F.when(plain, F.col("o1")).otherwise(F.col("reading_order")),
+        "graph_block_id": F.when(plain, F.col("g1")).otherwise(F.col("graph_block_id")),
+    }
+    return out.withColumns(filled).select(*blocks.columns)  # all from the old values
 
 
 def resolve_sources(new: DataFrame, known: DataFrame) -> DataFrame:

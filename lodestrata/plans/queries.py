@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,28 +17,12 @@ from lodestrata.operators import lifecycle as C
 from lodestrata.operators import ranking as R
 from lodestrata.operators.chunking import chunk_markdown
 from lodestrata.plans import answering
-from lodestrata.shipping import shipped
+from lodestrata.plans.catalog import ORACLE_SQL, QUERIES, query, table
 from lodestrata.streaming import events as E
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 QUESTIONS = [(1, "Which license does the text name?"), (2, "the stone that was in the order")]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = shipped(f)
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @query()
 def answer_question(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -123,21 +105,19 @@ def fused_top8(spark, d):
     return answering.hybrid(lexical, semantic, lexical.limit(0), 8, ["vec_id"]).select("vec_id", "score", "rank")
 
 
-@query("""
-SELECT lang, source, count(*) AS documents, count(*) FILTER (n_chars > 800) AS long_ones, count(DISTINCT sha256(text)) AS contents, max(n_chars) AS longest
-FROM documents GROUP BY lang, source
-""")
+@query("SELECT coalesce(lang, 'unlabelled') AS material_type, count(DISTINCT doc_id) AS documents, count(*) AS blocks FROM documents GROUP BY 1")
 def scope_preview(spark, d):
-    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("documents"), F.count_if(F.col("n_chars") > 800).alias("long_ones"), F.count_distinct(F.sha2("text", 256)).alias("contents"), F.max("n_chars").alias("longest"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("material_type"))
+    return A.scope_preview(rows)
 
 
 @query("""
-SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS running, count(*) FILTER (o_orderstatus = 'P') AS attention,
-       count(*) FILTER (o_orderstatus = 'F') AS completed, max(o_orderdate) AS last_change FROM orders GROUP BY o_custkey
+SELECT o_custkey AS vault_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS running, count(*) FILTER (o_orderstatus = 'P') AS attention,
+       count(*) FILTER (o_orderstatus = 'F') AS completed, max(o_orderdate) AS last_change FROM orders GROUP BY 1
 """)
 def task_overview(spark, d):
-    n = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"), n("O").alias("running"), n("P").alias("attention"), n("F").alias("completed"), F.max("o_orderdate").alias("last_change"))
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "blocked").otherwise("completed")
+    return A.workbench(table(spark, d, "orders").select(F.col("o_custkey").alias("vault_id"), status.alias("status"), F.col("o_orderdate").alias("updated_at")))
 
 
 @query("""
@@ -189,14 +169,11 @@ def event_cursor(spark, d):
 
 
 @query("""
-SELECT conv_id, string_agg(substr(text, 1, 160), ' ' ORDER BY turn) AS query FROM (
+SELECT conv_id, string_agg(trim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 160)), ' ' ORDER BY turn) AS query FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user') WHERE r <= 3 GROUP BY conv_id
 """)
 def conversation_query(spark, d):
-    w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    last = table(spark, d, "conversations").where("role = 'user'").withColumn("r", F.row_number().over(w)).where("r <= 3")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 160).alias("t")))), lambda s: s["t"])
-    return last.groupBy("conv_id").agg(F.array_join(parts, " ").alias("query"))
+    return X.conversation_queries(table(spark, d, "conversations"), "conv_id")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -324,8 +301,8 @@ def duplicate_clusters(spark, d):
 
 @query()
 def map_reduce_plan(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("plan_id"), F.col("doc_id").alias("ordinal"), X.knowledge_kind(F.array("text")).alias("knowledge_kind"), X.provider_token_estimate(F.col("text")).alias("token_estimate"))
-    return N.map_reduce_batches(rows, 4000, 12)
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("ordinal"), X.knowledge_kind(F.array("text")).alias("knowledge_kind"), X.provider_token_estimate(F.col("text")).alias("token_estimate"))
+    return N.map_reduce_batches(N.plan_parts(rows, "source"), 4000, 12)
 
 
 @query("""
@@ -379,3 +356,8 @@ def snapshot_digests(spark, d):
     rows = table(spark, d, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))).alias("p"))
     parts = F.transform("p", lambda s: F.concat_ws(":", s["doc_id"].cast("string"), s["n_chars"].cast("string")))
     return rows.select("source", F.sha2(F.array_join(parts, ","), 256).alias("digest"))
+
+
+from lodestrata.plans import operator_queries  # noqa: E402, F401  registers its queries too
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

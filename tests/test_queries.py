@@ -31,9 +31,65 @@ def test_against_sql(spark, sql, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_others_give_rows(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+def test_chunks_keep_all_texts_in_order(spark):
+    """Without headings, tables and wide lines a document's chunks are its lines, packed; nothing is lost."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    chunks: dict = {}
+    for r in QUERIES["markdown_chunks"](spark, DATA).orderBy("doc_id", "sequence").collect():
+        chunks.setdefault(r.doc_id, []).append(r)
+    assert set(chunks) == set(docs)
+    for i, rows in chunks.items():
+        assert [r.sequence for r in rows] == list(range(1, len(rows) + 1)) and all(0 < len(r.text) <= 800 for r in rows)
+        if (docs[i] or "").strip() and "|" not in docs[i]:
+            assert "".join("".join(r.text for r in rows).split()) == "".join(docs[i].split())
+
+
+def test_map_reduce_plan_against_a_plain_walk(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    items = {r.doc_id: (r.source, r.kind, r.cost) for r in docs.select("doc_id", "source", X.knowledge_kind(F.array("text")).alias("kind"), X.provider_token_estimate(F.col("text")).alias("cost")).collect()}
+    got: dict = {}
+    for r in QUERIES["map_reduce_plan"](spark, DATA).collect():
+        assert r.plan_id.rpartition("#")[0] == items[r.ordinal][0]
+        got.setdefault((r.plan_id, r.batch), []).append(r.ordinal)
+    assert sorted(x for v in got.values() for x in v) == sorted(items)
+    for (_, batch), members in got.items():
+        cost = sum(items[i][2] for i in members)
+        if batch:
+            assert cost <= 4000 and len({items[i][1] for i in members}) == 1 and batch <= 12
+    for (plan, batch), members in got.items():  # a batch ends only where the next item of its kind would not fit
+        after = got.get((plan, batch + 1))
+        if batch and after and items[min(after)][1] == items[members[0]][1]:
+            assert sum(items[i][2] for i in members) + items[min(after)][2] > 4000
+
+
+def test_answers_against_plain_bm25(spark):
+    import math
+    from collections import Counter
+
+    from lodestrata.operators import ranking as R
+    from lodestrata.plans import answering
+
+    index = answering.build_index(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"))
+    questions = answering.questions_of(spark, [(1, "Which license does the text name?"), (2, "permission of the stone")])
+    tf: dict = {}
+    for r in index["terms"].collect():
+        tf.setdefault((r.document_id, r.sequence), Counter())[r.term, r.field] += r.tf
+    length = {(r.document_id, r.sequence): r.length for r in index["blocks"].collect()}
+    mean = sum(length.values()) / len(length)
+    weight = {(r.query_id, r.term, r.field) for r in answering.question_terms(questions, index["vocabulary"]).collect()}
+    got: dict = {}
+    for r in answering.ask(index, questions).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(((r.document_id, r.sequence), r.score))
+    for q in (1, 2):
+        terms = {t for i, t, _ in weight if i == q}
+        hits = {t: {b: sum(R.FIELD_WEIGHTS[f] * c[t, f] for f in R.FIELD_WEIGHTS if (q, t, f) in weight) for b, c in tf.items()} for t in terms}
+        score = Counter()
+        for t, by in hits.items():
+            by = {b: w for b, w in by.items() if w}
+            for b, w in by.items():
+                score[b] += math.log(1 + (len(length) - len(by) + 0.5) / (len(by) + 0.5)) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * length[b] / mean))
+        best = sorted(((-round(s, 6), b) for b, s in score.items()))[:8]
+        assert [b for b, _ in got[q]] == [b for _, b in best] and all(abs(s + t) < 1e-5 for (_, s), (t, _) in zip(got[q], best))
 
 
 def test_entry_points(spark):
