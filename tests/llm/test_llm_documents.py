@@ -246,7 +246,8 @@ def test_recall_of_near_passages_against_all_pairs(spark):
 
 def test_compact_windows_cover_each_passage_once():
     h = np.random.default_rng(3).integers(0, 50, 60).astype(np.uint64)
-    windows = substring.compact_windows(h, 8)
+    assert substring.repeats(h[:1]) is None and substring.repeats(h).tolist() == [(h == x).sum() > 1 for x in h]
+    windows = substring.compact_windows(h, 8, substring.repeats(h))
     for i in range(60):
         for j in range(i + 7, 60):
             holds = [(l, c, r) for l, c, r in windows if l <= i <= c <= j <= r]
