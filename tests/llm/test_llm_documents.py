@@ -317,3 +317,10 @@ def test_shards_are_even_and_keep_equal_texts_together(spark):
     for (_, t), r in zip(sorted(rows), sorted(got, key=lambda r: r.id)):
         split += of.setdefault(t, r.shard) != r.shard
     assert split == 0
+
+
+def test_passages_of_a_repeated_id_with_a_null_text(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (1, None), (1, words), (2, words), (None, words), (3, "")]
+    got = substring.shared_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.id, r.first_word, r.last_word, r.partner, r.similarity) for r in got] == [(2, 0, 59, 1, 1.0)]
