@@ -39,7 +39,7 @@ def range_minima(v: np.ndarray) -> list[np.ndarray]:
 
 
 def next_smaller(v: np.ndarray, at: np.ndarray, jumps: int = 24) -> np.ndarray:
-    """For each place in ``at`` the next place with a smaller value, which must exist.
+    """For each place in ``at`` the next place with a smaller value, which must exist. Values are all different.
 
     Places jump along each other's candidates; what some jumps leave open descends
     through range minima.
