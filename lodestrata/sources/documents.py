@@ -29,15 +29,6 @@ def layout_blocks(results: DataFrame, column: str = "json", key: str = "graph_id
     return rows.where("kind IN ('table', 'image') OR trim(coalesce(text, '')) <> ''").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def table_cells(tables: DataFrame, html: str, keys: list[str]) -> DataFrame:
-    """(keys, row, column, text, spans) of the cells of HTML tables."""
-    rows = tables.select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)(?:</tr>|(?=<tr)|$)"), 1)).alias("row", "tr"))
-    cells = rows.select(*keys, "row", F.posexplode(F.regexp_extract_all("tr", F.lit(r"(?is)(<t[dh][^>]*>.*?(?:</t[dh]>|(?=<t[dh])|$))"), 1)).alias("column", "td"))
-    span = lambda n: F.coalesce(F.regexp_extract("td", rf"(?i)<t[dh][^>]*\b{n}\s*=\s*[\"']?(\d+)", 1).try_cast("int"), F.lit(1)).alias(n)
-    text = F.trim(F.regexp_replace(F.regexp_replace("td", r"(?s)<[^>]*>", ""), r"\s+", " "))
-    return cells.select(*keys, "row", "column", text.alias("text"), span("rowspan"), span("colspan"))
-
-
 def _docx(raw: bytes) -> list[tuple[str, str]]:
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml")).find(f"{WORD_NS}body")
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{WORD_NS}t")).strip()

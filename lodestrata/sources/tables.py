@@ -37,6 +37,19 @@ def current_documents(documents: DataFrame) -> DataFrame:
     return documents.where("is_current").orderBy("indexed_at", "document_id")
 
 
+def escape_cell(text: Column) -> Column:
+    """A table cell's text so that Markdown shows it as it is: signs, line starts, pipes and line breaks."""
+    for pattern, to in (
+        (r"([\\\\`*_\[\]<>])", r"\\$1"),
+        (r"(?m)^(\s*)(#{1,6})(?=\s)", r"$1\\$2"),
+        (r"(?m)^(\s*)([-+])(?=\s)", r"$1\\$2"),
+        (r"(?m)^(\s*)(\d+)([.)])(?=\s)", r"$1$2\\$3"),
+        (r"(?m)^(\s*)(-{3,})(?=\s*$)", r"$1\\$2"),
+    ):
+        text = F.regexp_replace(text, pattern, to)
+    return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+
+
 def render_table(rows: Column) -> Column:
     """A pipe table from an array of rows of cells; the first row is the header."""
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.trim(F.replace(c, F.lit("\n"), F.lit(" ")))), " | "), F.lit(" |"))

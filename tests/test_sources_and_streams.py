@@ -1,10 +1,14 @@
 import io
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators import typed_projection as Y
 from lodestrata.sources import documents as D
 from lodestrata.sources import files as S
+from lodestrata.sources import table_grid as G
 from lodestrata.sources import tables as T
 from lodestrata.streaming import events as E
 
@@ -36,7 +40,7 @@ def test_layout_and_tables(spark):
     rows = D.layout_blocks(spark.createDataFrame([("g", json)], "graph_id string, json string")).orderBy("reading_order").collect()
     assert [(r.kind, r.text) for r in rows] == [("heading", "T"), ("paragraph", "late")]
     html = spark.createDataFrame([(1, "<table><tr><th colspan=2>h</th></tr><tr><td>a</td><td>b <i>c</i></td></tr></table>")], "id int, html string")
-    assert [(r.row, r.column, r.text, r.colspan) for r in D.table_cells(html, "html", ["id"]).orderBy("row", "column").collect()] == [(0, 0, "h", 2), (1, 0, "a", 1), (1, 1, "b c", 1)]
+    assert [(r.row, r.column, r.text, r.colspan) for r in G.table_cells(html, "html", ["id"]).orderBy("row", "column").collect()] == [(0, 0, "h", 2), (1, 0, "a", 1), (1, 1, "b c", 1)]
 
 
 def test_versions_publish_last(spark, tmp_path):
@@ -74,3 +78,104 @@ def test_incremental_index(spark, tmp_path):
     spark.createDataFrame([("d2", "v", "a", "h2", True, None)], schema).write.mode("append").parquet(src)
     run()
     assert {(r.document_id, r.is_current) for r in tables.read("documents").collect()} == {("d1", False), ("d2", True)}
+
+
+def walked_grid(rows):
+    """Cells put down one by one on a set of taken places."""
+    taken, out = set(), []
+    for r, row in enumerate(rows):
+        c = 0
+        for down, across in row:
+            while (r, c) in taken:
+                c += 1
+            out.append((r, c))
+            taken |= {(r + i, c + k) for i in range(down) for k in range(across)}
+            c += across
+    return out
+
+
+def test_grid_places_are_those_of_a_walk():
+    rng = random.Random(9)
+    for _ in range(500):
+        rows = [[(rng.randint(1, 3), rng.randint(1, 3)) for _ in range(rng.randrange(4))] for _ in range(rng.randint(1, 5))]
+        assert [(r, c) for r, cs in enumerate(G.grid_places(rows)) for c in cs] == walked_grid(rows)
+
+
+def test_tables_with_spans_are_read_laid_out_and_rendered(spark):
+    html = "<table><tr><th rowspan='2'>A&amp;B</th><th colspan=2>x<br>y</th></tr><tr><td>1</td><td rowspan=0>2</td></tr><tr></tr><tr><td colspan=x>&lt;3&gt;</td></tr></table>"
+    plain = "<tr><td>a|b</td><td>- c</td></tr><tr><td>d*</td><td>\n</td></tr>"
+    df = spark.createDataFrame([(1, html), (2, plain), (3, None), (4, "no table"), (5, "<td>loose</td>")], "id int, html string")
+    cells = {(r.id, r.row, r.column): (r.text, r.rowspan, r.colspan, r.is_header) for r in G.table_cells(df, "html", ["id"]).collect()}
+    assert cells == {
+        (1, 0, 0): ("A&B", 2, 1, True), (1, 0, 1): ("x\ny", 1, 2, True), (1, 1, 1): ("1", 1, 1, False), (1, 1, 2): ("2", 1, 1, False), (1, 2, 0): ("<3>", 1, 1, False),
+        (2, 0, 0): ("a|b", 1, 1, False), (2, 0, 1): ("- c", 1, 1, False), (2, 1, 0): ("d*", 1, 1, False), (2, 1, 1): ("", 1, 1, False),
+    }
+    over = {(r.row, r.column): r.text for r in G.covered_cells(G.table_cells(df.where("id = 1"), "html", ["id"]), ["id"]).collect()}
+    assert over == {(0, 0): "A&B", (1, 0): "A&B", (0, 1): "x\ny", (0, 2): "x\ny", (1, 1): "1", (1, 2): "2", (2, 0): "<3>"}
+    out = {r.id: r.markdown for r in G.render_tables(df, "html", ["id"]).collect()}
+    assert out[1] == '<table>\n<tr><th rowspan="2">A&amp;B</th><th colspan="2">x\ny</th></tr>\n<tr><td>1</td><td>2</td></tr>\n<tr><td>&lt;3&gt;</td></tr>\n</table>'
+    assert out[2] == "| a\\|b | \\- c |\n| --- | --- |\n| d\\* |  |" and out[3] is out[4] is out[5] is None
+    again = G.render_tables(spark.createDataFrame([(out[1],)], "html string"), "html", []).first()[0]
+    assert again == out[1]
+    with pytest.raises(Exception, match="one width"):
+        G.render_tables(spark.createDataFrame([("<tr><td>a</td></tr><tr><td>b</td><td>c</td></tr>",)], "html string"), "html", []).collect()
+
+
+def test_spans_survive_a_round_trip(spark):
+    rng = random.Random(1)
+    rows = []
+    for k in range(60):
+        body = "".join("<tr>" + "".join(f"<td rowspan={rng.randint(1, 3)} colspan={rng.randint(1, 3)}>{rng.choice('abc')}</td>" for _ in range(rng.randint(1, 3))) + "</tr>" for _ in range(3))
+        rows.append((k, f"<table>{body}</table>"))
+    df = spark.createDataFrame(rows, "id int, html string")
+    wide = df.where("html RLIKE 'span=[23]'")
+    once = G.render_tables(wide, "html", ["id"]).withColumnRenamed("markdown", "html")
+    grid = lambda d: sorted(map(tuple, G.covered_cells(G.table_cells(d, "html", ["id"]), ["id"]).collect()))
+    assert grid(once) == grid(wide) and once.count() > 40
+
+
+# --- typed chunks of a projection
+
+
+def test_offset_cuts_give_back_the_text():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "a", "。", "\n", "\r\n", "x" * 300]) for _ in range(rng.randrange(60)))
+        cuts = Y.offset_cuts(text)
+        assert "".join(text[a:b] for a, b in cuts) == text and all(b - a <= Y.MOST for a, b in cuts)
+        for a, b in cuts[:-1]:
+            window = [k for k in range(a + 1, min(len(text), a + Y.MOST) + 1) if text[k - 1] in "\n。！？!?." or text[k - 1].isspace() and text[k - 1] != "\r"]
+            assert b == max([k for k in window if k <= a + Y.TARGET], default=max(window, default=a + Y.MOST))
+
+
+def test_typed_rows_must_be_the_lines():
+    items = [f"item {k}" for k in range(30)]
+    text = "".join(f"- {i}\n" for i in items)
+    pieces = Y.fragments(text, "list", items)
+    assert "".join(p for p, _ in pieces) == text and [p.count("\n") for p, _ in pieces] == [12, 12, 6]
+    assert Y.fragments(text, "list", items[1:]) == Y.fragments(text, None) == [(text, text)]
+    head, rows = ["h", "k"], [[str(k), "v" * 50] for k in range(20)]
+    table = "".join(f"| {a} | {b} |\n" for a, b in [head, *rows])
+    pieces = Y.fragments(table, "table", header=head, rows=rows)
+    assert "".join(p for p, _ in pieces) == table and len(pieces) > 1
+    assert all(r.startswith("| h | k |\n") and len(r) <= Y.MOST and r.endswith(p[-10:]) for p, r in pieces)
+    assert Y.fragments(table, "table", header=head, rows=[["0", "wrong"], *rows[1:]]) == Y.fragments(table, None)
+    assert Y.fragments("a|b\n", "table", header=["a", "b"], rows=[]) == [("a|b\n", "a|b\n")] and Y.fragments(" \n", "list", [""]) == []
+
+
+def test_typed_chunks_of_a_graph(spark):
+    head = lambda level, title: ("heading", level, title, None, None, None)
+    atom = ("atomic", None, None, None, None, None)
+    blocks = [
+        ("heading", "Deep", True, True, head(3, "Deep")), ("paragraph", "a" * 200, True, True, atom), ("paragraph", "b" * 200, True, True, atom), ("paragraph", "c" * 200, True, True, atom),
+        ("paragraph", "skipped", False, True, atom), ("paragraph", "d", True, True, atom), ("paragraph", "hidden", True, False, atom), ("paragraph", "e", True, True, atom),
+        ("heading", "Top", True, True, head(1, " Top ")), ("paragraph", "f", True, True, atom), ("list", "- x\n- y\n", True, True, ("list", None, None, ["x", "y"], None, None)),
+        ("paragraph", "w " * 500, True, True, atom), ("paragraph", " ", True, True, atom), ("paragraph", "old", True, True, None), ("heading", "No", True, True, head(2, " ")),
+    ]
+    df = spark.createDataFrame([("g", 7, k, f"b{k}", kind, text, sel, ret, 0.5 + k / 100, s) for k, (kind, text, sel, ret, s) in enumerate(blocks)], f"graph_id string, revision int, reading_order int, block_id string, kind string, text string, selected boolean, retrievable boolean, confidence double, structure {Y.STRUCTURE}")
+    out = Y.typed_chunks(df).orderBy("sequence").collect()
+    assert [(r.block_id, r.text[:1], len(r.text)) for r in out] == [("b0", "D", 4), ("b1", "a", 402), ("b3", "c", 200), ("b5", "d", 1), ("b7", "e", 1), ("b8", "T", 3), ("b9", "f", 1), ("b10", "-", 8), ("b11", "w", 500), ("b11", "w", 500), ("b13", "o", 3), ("b14", "N", 2)]
+    assert [r.heading_path for r in out][:6] == [["Deep"]] * 5 + [["Top"]] and out[10].heading_path == [] and out[-1].heading_path == ["Top"]
+    assert [r.heading_level for r in out][:6] == [3] * 5 + [1] and out[1].confidence == pytest.approx(0.51)
+    assert out[1].location == "graph:g:7:b1#chunk:1" and out[9].location == "graph:g:7:b11#chunk:2" and out[10].location == "graph:g:7:b13"
+    assert [r.sequence for r in out] == [*range(1, 13)] and Y.typed_chunks(df.limit(0)).count() == 0
