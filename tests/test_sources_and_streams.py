@@ -4,8 +4,11 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
+from lodestrata.functions import provenance as N
 from lodestrata.operators import typed_projection as Y
+from lodestrata.sources import commits as C
 from lodestrata.sources import documents as D
 from lodestrata.sources import files as S
 from lodestrata.sources import table_grid as G
@@ -179,3 +182,87 @@ def test_typed_chunks_of_a_graph(spark):
     assert [r.heading_level for r in out][:6] == [3] * 5 + [1] and out[1].confidence == pytest.approx(0.51)
     assert out[1].location == "graph:g:7:b1#chunk:1" and out[9].location == "graph:g:7:b11#chunk:2" and out[10].location == "graph:g:7:b13"
     assert [r.sequence for r in out] == [*range(1, 13)] and Y.typed_chunks(df.limit(0)).count() == 0
+
+
+# --- committed units
+
+
+SHAPES = {"documents": T_.StructType([T_.StructField(n, T_.StringType()) for n in ("vault_id", "relative_path", "text")]), "blocks": T_.StructType([T_.StructField("vault_id", T_.StringType()), T_.StructField("n", T_.LongType())])}
+
+
+def unit(spark, *docs):
+    return spark.createDataFrame(list(docs), "vault_id string, relative_path string, text string")
+
+
+def test_units_appear_together_and_one_of_two_writers_wins(spark, tmp_path):
+    log = C.UnitLog(spark, str(tmp_path / "log"), SHAPES)
+    assert log.version() == 0 and log.documents().count() == 0
+    stale = lambda *x: spark.createDataFrame(list(x), "vault_id string, relative_path string, reason string")
+    assert log.commit(0, documents=unit(spark, ("v", "a", "1"), ("v", "b", "1")), blocks=spark.createDataFrame([("v", 1)], SHAPES["blocks"])) == 1
+    base = log.version()
+    assert log.commit(base, documents=unit(spark, ("v", "a", "2")), invalidations=stale(("v", "a", "moved"), ("v", "b", "gone"))) == 2
+    with pytest.raises(C.Conflict):
+        log.commit(base, documents=unit(spark, ("w", "c", "3")))
+    state = lambda v=None: {(r.relative_path, r.text, r.is_current, r.stale_reason) for r in log.documents(v).collect()}
+    assert state() == {("a", "2", True, None), ("b", "1", False, "gone")} and state(1) == {("a", "1", True, None), ("b", "1", True, None)}
+    assert {r.vault_id: r.generation for r in log.generations().collect()} == {"v": 2} and log.generation("w") == 0
+    # both have read version 2, and both have written: the second rename fails
+    manifest = {"version": 3, "folder": "x", "tables": [], "vaults": [], "base": False}
+    log._publish(3, manifest)
+    with pytest.raises(C.Conflict):
+        log._publish(3, manifest)
+    assert not list((tmp_path / "log/_drafts").glob("[!.]*"))
+    # a writer that dies before its manifest leaves nothing that is read
+    unit(spark, ("v", "z", "9")).write.parquet(str(tmp_path / "log/unit-dead/documents"))
+    assert state() == {("a", "2", True, None), ("b", "1", False, "gone")}
+    before = state()
+    assert log.compact(log.version()) == 4 and state() == before and log.generation("v") == 2
+    log.commit(4, documents=unit(spark, ("v", "b", "5")))
+    assert state() == {("a", "2", True, None), ("b", "5", True, None)} and log.read("blocks").count() == 1
+    with pytest.raises(ValueError):
+        log.commit(5, other=unit(spark))
+
+
+def test_a_stale_matrix_is_never_asked(spark, tmp_path):
+    log = C.UnitLog(spark, str(tmp_path / "log"), SHAPES)
+    loads = []
+
+    def load(vault, profile):
+        loads.append((vault, profile))
+        return log.documents().where(F.col("vault_id") == vault)
+
+    kept = C.VectorMatrices(log, load)
+    log.commit(0, documents=unit(spark, ("v", "a", "1"), ("w", "a", "1")))
+    old = kept.get("v", "p")
+    assert old[0] == 1 and old[1].count() == 1 and kept.get("v", "p") is old and old[1].is_cached
+    kept.get("w", "p")
+    log.commit(1, documents=unit(spark, ("v", "b", "1")))
+    new = kept.get("v", "p")
+    assert new[0] == 2 and new[1].count() == 2 and not old[1].is_cached
+    kept.get("w", "p")
+    assert loads == [("v", "p"), ("w", "p"), ("v", "p")]
+    kept.drop("v")
+    assert not new[1].is_cached and list(kept.kept) == [("w", "p")]
+
+
+# --- provenance
+
+
+def test_every_invalid_provenance_is_refused(spark):
+    good = ['schema_version: 1', 'vault_id: "v"', "source_id: s", "processing_task_id: t", f"source_sha256: {'c' * 64}", "source_path: a/b.pdf"]
+    note = lambda fields, entries=("page: 1",), head="platform_provenance:": "---\ntitle: x\n" + head + "\n" + "".join(f"  {f}\n" for f in fields) + "  source_locators:\n" + "".join(f"    - {e}\n" for e in entries) + "tags: y\n---\nbody"
+    swap = lambda k, v: [f"{k}: {v}" if f.startswith(k) else f for f in good]
+    wrong = [swap("schema_version", v) for v in ("2", '"1"', "true", "1.0")] + [swap("vault_id", '"  "'), swap("vault_id", "3"), swap("source_sha256", "C" * 64), swap("source_sha256", "c" * 63)]
+    wrong += [swap("source_path", p) for p in ("/a", "a//b", "../a", "a/../b", r"a\\b", "C:/x", '""', "a/", ".")] + [good[1:], [*good, "no colon here"], [*good, ": x"], [*good, "graph_id: g"], [*good, "graph_id: g", "graph_revision: 0", "selected_attempt_id: a"]]
+    entries = [(), ("page: 0",), ('page: "1"',), ("page: true",), ("other: 1",), ('region: " "',), ("page: 1\n      docx_location: p",), ("type: pdf-region\n      page: 1\n      bounds: [0, 0, 0, 1]",), ("type: pdf-region\n      page: 1",), ("type: docx-ooxml\n      package_part_uri: x.xml\n      element_path: body",), ("type: 7",), ("page: 1", "page: 0")]
+    texts = [note(f) for f in wrong] + [note(good, e) for e in entries]
+    none = [None, "", "no front matter", "---\ntitle: x\n---\n", note(good)[4:]]
+    whole = [note(good), note([*good, "graph_id: g", "graph_revision: 2", "selected_attempt_id: a"]), note(good, ("page: 3\n      region: top", "type: pdf-region\n      page: 1\n      bounds: [0, 0.5, 2, 1]", "type: docx-ooxml\n      package_part_uri: /word/document.xml\n      element_path: body/p")), note(good).replace("\n", "\r\n")]
+    rows = spark.createDataFrame(list(enumerate(texts + none + whole)), "k int, text string")
+    out = {r.k: r.p for r in rows.select("k", N.note_provenance("text").alias("p")).collect()}
+    assert [k for k in range(len(texts)) if out[k] is None or out[k].issue != "unverifiable-provenance" or out[k].vault_id] == []
+    a, b = len(texts), len(texts) + len(none)
+    assert all(out[k] is None for k in range(a, b))
+    last = [out[k] for k in range(b, b + len(whole))]
+    assert [x.issue for x in last] == [None] * 4 and last[0].source_path == "a/b.pdf" and last[0].source_locators == ['{"page":1}']
+    assert last[1].graph_revision == 2 and last[2].source_locators[0] == '{"page":3,"region":"top"}' and last[3].vault_id == "v"
