@@ -200,4 +200,4 @@ def scope_blocks(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     named = F.trim(F.regexp_extract("location", "^heading:([^;]*)", 1))
     rich = F.col("unreadable").isNull() & (F.size("heading_path") > 0)
     path = F.when(rich, F.col("heading_path")).when(~F.coalesce("unreadable", F.lit(False)) & (named != ""), F.array(named))
-    return rows.withColumn("heading_path", path).where("heading_path IS NOT NULL").withColumn("structured", rich).drop("unreadable")
+    return rows.withColumns({"heading_path": path, "structured": rich}).where("heading_path IS NOT NULL").drop("unreadable")

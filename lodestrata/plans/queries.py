@@ -358,6 +358,6 @@ def snapshot_digests(spark, d):
     return rows.select("source", F.sha2(F.array_join(parts, ","), 256).alias("digest"))
 
 
-from lodestrata.plans import operator_queries  # noqa: E402, F401  registers its queries too
+from lodestrata.plans import document_queries, operator_queries  # noqa: E402, F401  register their queries too
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -331,8 +331,8 @@ def test_requests_meet_the_headings_they_name(spark):
 
 def test_scope_blocks_fall_back_to_the_named_heading(spark):
     h = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    rows = [("d", 1, "text", "heading:Old;2", ["New"], h("text")), ("d", 2, "text", "heading: Old ;2", ["New"], "0" * 64), ("d", 3, "text", "line:3", None, h("text")), ("d", 4, "  ", "heading:Gone", ["New"], h("  ")), ("d", 5, "text", "heading:  ", [], h("text")), ("e", 1, "text", "heading:Old", ["New"], h("text"))]
+    rows = [("d", 1, "text", "heading:Old;2", ["New"], h("text")), ("d", 2, "text", "heading: Old ;2", ["New"], "0" * 64), ("d", 3, "text", "line:3", None, h("text")), ("d", 4, "  ", "heading:Gone", ["New"], h("  ")), ("d", 5, "text", "heading:  ", [], h("text")), ("d", 6, "text", "heading:Old", [], h("text")), ("e", 1, "text", "heading:Old", ["New"], h("text"))]
     blocks = spark.createDataFrame([(*r, 0.9, 4, "") for r in rows], "document_id string, sequence int, text string, location string, heading_path array<string>, block_content_sha256 string, confidence double, token_estimate int, retrieval_text string")
     docs = spark.createDataFrame([("d", True), ("e", False)], "document_id string, is_current boolean")
     out = {r.sequence: (r.heading_path, r.structured) for r in S.scope_blocks(docs, blocks).collect()}
-    assert out == {1: (["New"], True), 2: (["Old"], False)}
+    assert out == {1: (["New"], True), 2: (["Old"], False), 6: (["Old"], False)}
