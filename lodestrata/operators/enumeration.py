@@ -111,9 +111,26 @@ def coverage_status(results: DataFrame, per: str = "plan_id") -> DataFrame:
 
 
 def section_plan(evidence: DataFrame, sources: int = 128, most: int = 256, title: str = "organize") -> DataFrame:
-    """Evidence grouped by the parent folder of its path; limits on sources and evidence are the plan's feature."""
+    """Evidence grouped by the parent folder of its path, or its path where it has none; limits on sources and evidence are the plan's feature."""
     from lodestrata.functions.paths import parent
 
     w = W.partitionBy("plan_id").orderBy("relative_path", "sequence")
     rows = evidence.withColumn("place", F.row_number().over(w)).withColumn("source_no", F.dense_rank().over(W.partitionBy("plan_id").orderBy("relative_path"))).where((F.col("place") <= most) & (F.col("source_no") <= sources))
-    return rows.groupBy("plan_id", parent(F.col("relative_path")).alias("section")).agg(F.count("*").alias("evidence"), F.count_distinct("relative_path").alias("sources"), F.min("place").alias("first")).withColumn("objective", F.concat_ws(": ", F.lit(title), "section"))
+    section = F.coalesce(F.nullif(parent(F.col("relative_path")), F.lit("")), F.col("relative_path"))
+    return rows.groupBy("plan_id", section.alias("section")).agg(F.count("*").alias("evidence"), F.count_distinct("relative_path").alias("sources"), F.min("place").alias("first")).withColumn("objective", F.concat_ws(": ", F.lit(title), "section"))
+
+
+def deep_creation_sections(evidence: DataFrame, requests: DataFrame, sources: int = 128, most: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(sections, limits): the folders of a request's evidence as sections to write, and whether it exceeded its limits.
+
+    requests: plan_id, content. The objective names the first 200 characters of the
+    request. Sections are numbered by folder; they hold the evidence within the limits,
+    which are the plan's feature, and ``limits`` says for each plan what there was.
+    """
+    plan = section_plan(evidence, sources, most).drop("objective", "first")
+    objective = F.concat(F.lit("根据请求进行深度创作："), F.substring("content", 1, 200))
+    w = W.partitionBy("plan_id").orderBy("section")
+    sections = plan.join(requests, "plan_id").select("plan_id", F.row_number().over(w).alias("ordinal"), "section", "evidence", "sources", objective.alias("objective"))
+    found = evidence.groupBy("plan_id").agg(F.count("*").alias("evidence"), F.count_distinct("relative_path").alias("sources"))
+    limits = requests.select("plan_id").join(found, "plan_id", "left").na.fill(0, ["evidence", "sources"])
+    return sections, limits.withColumn("exceeded", (F.col("sources") > sources) | (F.col("evidence") > most))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.operators.ranking import fuse
@@ -63,6 +64,46 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.agg(F.avg(F.col("r1") - F.col("r0")).alias("recall_delta"), F.avg(F.col("p1") - F.col("p0")).alias("precision_delta")).withColumn("passes", (F.col("recall_delta") >= 0) & (F.col("precision_delta") >= 0))
 
 
+def rerank_report(before: DataFrame, after: DataFrame, latencies: DataFrame, gates: dict[str, float]) -> DataFrame:
+    """One row: mean gains of a rerank over the fused order, its latency, and which gates it passes.
+
+    before, after: query_id, recall, precision, reciprocal_rank; latencies: latency_ms.
+    gates: least gains by metric, and the most 95th percentile of latency in ms. A report
+    never enables the rerank: what a provider takes and costs is not measured here.
+    """
+    from lodestrata.operators.aggregates import percentile_nearest
+
+    metrics = ["recall", "precision", "reciprocal_rank"]
+    both = before.select("query_id", *[F.col(m).alias(f"{m}_0") for m in metrics]).join(after, "query_id")
+    gain = both.agg(F.count("*").alias("queries"), *[F.avg(F.col(m) - F.col(f"{m}_0")).alias(f"{m}_gain") for m in metrics])
+    quantile = lambda p, name: percentile_nearest(latencies, "latency_ms", p).select(F.col("latency_ms").alias(name), F.lit(1).alias("one"))
+    quality = F.lit(True)
+    for m in metrics:
+        quality = quality & (F.col(f"{m}_gain") >= gates[m])
+    out = gain.withColumn("one", F.lit(1)).join(quantile(0.5, "p50_ms"), "one", "left").join(quantile(0.95, "p95_ms"), "one", "left").drop("one")  # one row each
+    return out.withColumn("quality_passes", quality).withColumn("latency_passes", F.col("p95_ms") <= gates["p95_ms"]).withColumn("enabled", F.lit(False))
+
+
+def live_rerank(candidates: DataFrame, scores: DataFrame, requests: int = 2) -> DataFrame:
+    """query_id, candidate_id, rank: a provider's scores as an order, ties by the fused rank and then the id.
+
+    candidates: query_id, candidate_id, fused_rank; scores: query_id, candidate_id,
+    relevance, as a provider gave them. At most ``requests`` queries may have been sent;
+    every candidate must have one score, and no other may: else an error.
+    """
+    if candidates.select("query_id").distinct().limit(requests + 1).count() > requests:
+        raise ValueError("too many live requests")
+    both = candidates.join(scores, ["query_id", "candidate_id"], "full")
+    bad = (
+        F.when(F.col("fused_rank").isNull(), F.raise_error(F.lit("a score of no candidate")))
+        .when(F.col("relevance").isNull() | F.isnan("relevance"), F.raise_error(F.lit("every candidate must be scored")))
+        .when(F.count("*").over(W.partitionBy("query_id", "candidate_id")) > 1, F.raise_error(F.lit("a candidate is scored twice")))
+    )
+    order = W.partitionBy("query_id").orderBy(F.desc("relevance"), "fused_rank", "candidate_id")
+    rows = both.withColumn("relevance", F.coalesce(bad.cast("double"), F.col("relevance").cast("double")))
+    return rows.select("query_id", "candidate_id", F.row_number().over(order).alias("rank"))
+
+
 def golden_problems(queries: DataFrame) -> DataFrame:
     """One row per broken rule of a golden set: its size, repeated ids, missing kinds of query."""
     q = queries.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids"), F.count_if(F.col("expected_status") == "recoverable").alias("recoverable"), F.count_if(F.size("expected_clusters") > 0).alias("duplicates"))

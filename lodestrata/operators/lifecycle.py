@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
@@ -196,3 +197,36 @@ def embed(documents: DataFrame, blocks: DataFrame, cache: DataFrame, profile: st
     full = known.select("input_sha256", "vector", "profile_fp", "dimension").unionByName(new)
     bound = rows.join(full, "input_sha256").select("document_id", "sequence", "profile_fp", "block_content_sha256", "input_sha256", "dimension", l2_normal(F.col("vector")).alias("vector"))
     return full, bound
+
+
+def bind_vectors(kept: DataFrame, new: DataFrame, documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The vectors of blocks after ``new`` ones are bound, each with what became of it: kept, bound or the same again.
+
+    kept, new: document_id, sequence, profile_fp, dimension, block_content_sha256,
+    input_sha256, vector. A new vector must be for a block of a current document whose
+    content and embedding input still have the hashes that the vector was made from, and
+    of its profile's one dimension; it is stored at length one, in single precision. Binding what is bound
+    already changes nothing. Another vector for a bound block, a block that is gone or
+    has changed, and two new vectors for one block are errors.
+    """
+    from lodestrata.operators.ranking import l2_normal
+
+    key = ["document_id", "sequence", "profile_fp"]
+    value = X.embedding_input(F.col("contextual_prefix"), F.col("retrieval_text"), F.col("text"))
+    live = blocks.join(documents.where(eligible()).select("document_id"), "document_id", "left_semi")
+    live = live.select("document_id", "sequence", F.col("block_content_sha256").alias("now_content"), value.alias("now_input"))
+    old = kept.select(*key, F.col("input_sha256").alias("old_input"), F.col("vector").alias("old_vector"), F.col("dimension").alias("old_dimension"))
+    sizes = kept.select("profile_fp", "dimension").unionByName(new.select("profile_fp", "dimension")).groupBy("profile_fp").agg(F.count_distinct("dimension").alias("sizes"))
+    rows = new.withColumn("vector", l2_normal(F.col("vector")).cast("array<float>")).join(live, ["document_id", "sequence"], "left").join(old, key, "left").join(sizes, "profile_fp")
+    again = (F.col("old_input") == F.col("input_sha256")) & (F.col("old_vector") == F.col("vector"))
+    bad = (
+        F.when(F.count("*").over(W.partitionBy(*key)) > 1, F.raise_error(F.lit("two new vectors for one block")))
+        .when((F.col("sizes") > 1) | (F.size("vector") != F.col("dimension")), F.raise_error(F.lit("vectors of a profile need one dimension")))
+        .when(F.col("now_content").isNull(), F.raise_error(F.lit("a vector's block is not current")))
+        .when((F.col("now_content") != F.col("block_content_sha256")) | ~F.col("input_sha256").eqNullSafe(X.cache_key(F.col("profile_fp"), F.col("now_input"))), F.raise_error(F.lit("a vector's block has changed")))
+        .when(F.col("old_input").isNotNull() & ~again, F.raise_error(F.lit("a block has another vector already")))
+    )
+    state = F.coalesce(bad.cast("string"), F.when(F.coalesce(again, F.lit(False)), "same").otherwise("bound"))
+    columns = [*key, "dimension", "block_content_sha256", "input_sha256", "vector"]
+    bound = rows.select(*columns, state.alias("state"))
+    return kept.withColumn("vector", F.col("vector").cast("array<float>")).join(new.select(*key), key, "left_anti").select(*columns, F.lit("kept").alias("state")).unionByName(bound)

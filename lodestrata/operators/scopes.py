@@ -48,6 +48,7 @@ NAMED = [
     re.compile(rf"\b(?:list|show)\s+{THINGS}\s+(?:in|from|under|for)\s+(.+?)\s*[.!?]?\s*$", re.I),
 ]
 QUOTED = re.compile(r"[\"'“”‘’「」『』《》]([^\"'“”‘’「」『』《》]+)[\"'“”‘’「」『』《》]")
+SUFFIXES = ["是什么", "怎么", "如何", "哪些", "什么", "吗", "呢"]
 # End of fixed values.
 
 KIND = {word: kind for kind, names in PARTS.items() for side in names for word in side}
@@ -98,6 +99,23 @@ def scope_prefixes(text: str) -> list[str]:
     return list(dict.fromkeys([a for g in alias_groups(text) for a in g] + [a for a in asis if a]))
 
 
+def query_prefixes(text: str) -> list[str]:
+    """What headings that a question asks for may begin with: its parts, its Chinese phrases without a question's end, its English phrases."""
+    chinese = []
+    for phrase in re.findall("[\u4e00-\u9fff]{2,}", text):
+        for suffix in SUFFIXES:
+            phrase = phrase.removesuffix(suffix)
+        chinese += [phrase] if len(phrase) >= 2 else []
+    english = [p.strip().casefold() for p in re.findall("[A-Za-z][A-Za-z0-9 -]{2,}", text)]
+    return list(dict.fromkeys(p for p in [*scope_prefixes(text), *chinese, *english] if p.strip()))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def heading_query_prefixes(texts: pd.Series) -> pd.Series:
+    """``query_prefixes`` as a column; a null or blank question has none."""
+    return texts.map(lambda t: query_prefixes(t) if t and t.strip() else [])
+
+
 def _without(text: str, words: list[str]) -> str:
     for w in words:
         text = text.replace(w, "") if w else text

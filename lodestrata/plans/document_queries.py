@@ -8,13 +8,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.functions import metadata as M
+from lodestrata.functions import text as X
 from lodestrata.functions.provenance import note_provenance
 from lodestrata.operators import corrections as C
+from lodestrata.operators import enumeration as E
+from lodestrata.operators import evaluation as V
+from lodestrata.operators import lifecycle as B
 from lodestrata.operators import notes as N
 from lodestrata.operators import provider as P
 from lodestrata.operators import scopes as S
 from lodestrata.operators import typed_projection as Y
 from lodestrata.operators.lineage import shared_folder
+from lodestrata.operators.ranking import l2_normal
 from lodestrata.plans.catalog import query, table
 from lodestrata.sources import table_grid as G
 from lodestrata.sources.commits import UnitLog
@@ -298,3 +304,65 @@ def committed_units(spark, d):
     log.commit(first, documents=docs.where("source = 'src1'").withColumn("text", F.lit("second")), invalidations=docs.where("source IN ('src1', 'src2')").withColumn("reason", F.lit("moved")))
     out = log.documents().join(log.generations(), "vault_id")
     return out.select("vault_id", "relative_path", "text", "is_current", "stale_reason", F.col("generation").cast("int").alias("generation"))
+
+
+@query("""
+SELECT doc_id AS document_id, CASE WHEN n_chars % 4 > 0 THEN CASE lang WHEN 'en' THEN '英语' WHEN 'de' THEN '数学' END END AS subject, CASE WHEN n_chars % 4 > 0 AND n_chars % 3 = 0 THEN '七年级上册' END AS grade_volume, CASE WHEN n_chars % 4 > 0 THEN 3 END AS unit_no, CASE WHEN n_chars % 4 > 0 THEN 'textbook' END AS material_type,
+  CASE WHEN n_chars % 4 > 0 AND lang IN ('en', 'de') AND n_chars % 3 = 0 THEN 0.95::DOUBLE END AS meta_confidence, CASE WHEN n_chars % 4 > 0 AND lang IN ('en', 'de') AND n_chars % 3 = 0 THEN 'accepted' ELSE 'required-check' END AS meta_status
+FROM documents
+""")
+def rule_metadata(spark, d):
+    path = "CASE lang WHEN 'en' THEN '英语' WHEN 'de' THEN '数学' ELSE 'other' END || CASE WHEN n_chars % 3 = 0 THEN '/7年级上册' ELSE '' END || '/第三单元/教材/' || doc_id || '.md'"
+    heads = F.expr("CASE n_chars % 4 WHEN 0 THEN array('Unit 5') WHEN 1 THEN array('x', 'unit 3') ELSE array('第3单元') END")
+    blocks = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("sequence"), F.expr(path).alias("relative_path"), heads.alias("heading_path"))
+    return M.rule_metadata(blocks).drop("sequence", "meta_origin")
+
+
+@query("SELECT vec_id % 2 AS query_id, vec_id AS candidate_id, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY label DESC, vec_id DESC)::INTEGER AS rank FROM embeddings")
+def live_reranked(spark, d):
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") % 2).alias("query_id"), F.col("vec_id").alias("candidate_id"), (-F.col("vec_id")).alias("fused_rank"), F.col("label").cast("double").alias("relevance"))
+    return V.live_rerank(rows.drop("relevance"), rows.drop("fused_rank"))
+
+
+@query("""
+WITH m AS (SELECT avg((label % 2)::DOUBLE - 0.25) AS recall_gain, avg((label % 5) / 8.0 - 0.125) AS precision_gain, avg(0.5 - (label % 3) / 4.0) AS reciprocal_rank_gain, count(*) AS queries FROM embeddings),
+o AS (SELECT o_totalprice AS ms, row_number() OVER (ORDER BY o_totalprice) AS k, count(*) OVER () AS n FROM orders)
+SELECT queries, round(recall_gain, 9) AS recall_gain, round(precision_gain, 9) AS precision_gain, round(reciprocal_rank_gain, 9) AS reciprocal_rank_gain, (SELECT min(ms) FROM o WHERE k >= ceil(n * 0.5)) AS p50_ms, (SELECT min(ms) FROM o WHERE k >= ceil(n * 0.95)) AS p95_ms,
+  recall_gain >= 0.1 AND precision_gain >= 0.1 AND reciprocal_rank_gain >= 0.1 AS quality_passes, (SELECT min(ms) FROM o WHERE k >= ceil(n * 0.95)) <= 1000 AS latency_passes, FALSE AS enabled FROM m
+""")
+def rerank_report(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    before = rows.select("query_id", F.lit(0.25).alias("recall"), F.lit(0.125).alias("precision"), (F.col("label") % 3 / 4).alias("reciprocal_rank"))
+    after = rows.select("query_id", (F.col("label") % 2).cast("double").alias("recall"), (F.col("label") % 5 / 8).alias("precision"), F.lit(0.5).alias("reciprocal_rank"))
+    took = table(spark, d, "orders").select(F.col("o_totalprice").alias("latency_ms"))
+    out = V.rerank_report(before, after, took, {"recall": 0.1, "precision": 0.1, "reciprocal_rank": 0.1, "p95_ms": 1000.0})
+    return out.withColumns({f"{m}_gain": F.round(f"{m}_gain", 9) for m in ("recall", "precision", "reciprocal_rank")})
+
+
+@query("""
+WITH e AS (SELECT lang AS plan_id, source || '/' || doc_id || '.md' AS relative_path, source AS folder FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY relative_path) AS place FROM e),
+s AS (SELECT plan_id, folder AS section, count(*) AS evidence, count(DISTINCT relative_path) AS sources FROM r WHERE place <= 128 GROUP BY ALL),
+l AS (SELECT plan_id, count(*) > 128 AS exceeded FROM e GROUP BY 1)
+SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY section)::INTEGER AS ordinal, section, evidence, sources, '根据请求进行深度创作：write of ' || plan_id AS objective, exceeded FROM s JOIN l USING (plan_id)
+""")
+def deep_creation_sections(spark, d):
+    rows = table(spark, d, "documents").select(F.col("lang").alias("plan_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path"), F.lit(1).alias("sequence"))
+    asked = rows.select("plan_id").distinct().withColumn("content", F.concat(F.lit("write of "), "plan_id"))
+    sections, limits = E.deep_creation_sections(rows, asked)
+    return sections.join(limits.select("plan_id", "exceeded"), "plan_id")
+
+
+@query("""
+WITH b AS (SELECT conv_id AS document_id, turn AS sequence, role FROM conversations WHERE trim(text) <> '' AND conv_id % 5 < 4)
+SELECT document_id, sequence, CASE WHEN role = 'user' AND sequence % 2 = 0 THEN 'same' WHEN role = 'user' THEN 'kept' ELSE 'bound' END AS state, round(3 / sqrt(9 + (sequence + 1) * (sequence + 1)), 5)::DOUBLE AS first FROM b
+""")
+def bound_vectors(spark, d):
+    """Vectors of users' turns are there already, and half of them come again with those of the other turns."""
+    turn = table(spark, d, "conversations").where("trim(text) <> ''").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("sequence"), "role", "text", F.sha2("text", 256).alias("block_content_sha256"), F.lit("").alias("contextual_prefix"), F.lit("").alias("retrieval_text"))
+    docs = turn.select("document_id").distinct().select("document_id", (F.col("document_id") % 5 < 4).alias("is_current"), F.lit(True).alias("verifiable"), F.lit(None).cast("string").alias("stale_reason"), F.lit(False).alias("pending_association"))
+    text = X.embedding_input(F.col("contextual_prefix"), F.col("retrieval_text"), F.col("text"))
+    rows = turn.where("document_id % 5 < 4").select("document_id", "sequence", F.lit("p").alias("profile_fp"), F.lit(2).alias("dimension"), "block_content_sha256", X.cache_key(F.lit("p"), text).alias("input_sha256"), F.array(F.lit(3.0), (F.col("sequence") + 1).cast("double")).alias("vector"), "role")
+    kept = rows.where("role = 'user'").withColumn("vector", l2_normal(F.col("vector")).cast("array<float>"))
+    out = B.bind_vectors(kept, rows.where("role <> 'user' OR sequence % 2 = 0"), docs, turn)
+    return out.select("document_id", "sequence", "state", F.round(F.get("vector", 0).cast("double"), 5).alias("first"))
