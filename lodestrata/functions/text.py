@@ -153,16 +153,20 @@ def cache_key(profile: Column, value: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """CJK runs count a token per letter, words one per four letters, other signs one each."""
+    """CJK runs count a token per letter, words one per four letters, other signs one each.
+
+    A word's tokens are its stretches of up to four letters, so texts without CJK letters
+    are one count of matches.
+    """
     tokens = all_matches(text, rf"[{CJK}぀-ヿ가-힯]+|[A-Za-z0-9_]+|[^\s]")
     cost = lambda t: F.when(t.rlike(r"[㐀-힯]"), F.length(t)).when(t.rlike(r"^[\p{L}\p{N}_]+$"), F.ceil(F.length(t) / 4)).otherwise(1).cast("int")
-    return F.aggregate(tokens, F.lit(0), lambda a, t: a + cost(t))
+    plain = F.regexp_count(text, F.lit(r"[A-Za-z0-9_]{1,4}|[^\s]"))
+    return F.when(text.rlike(f"[{CJK}぀-ヿ가-힯]"), F.aggregate(tokens, F.lit(0), lambda a, t: a + cost(t))).otherwise(plain)
 
 
 def provider_token_estimate(text: Column) -> Column:
-    tokens = all_matches(text, rf"[{CJK}]|[A-Za-z0-9_]+|[^\s]")
-    cost = lambda t: F.when(t.rlike(r"^[A-Za-z0-9_]+$"), F.ceil(F.length(t) / 3)).otherwise(1).cast("int")
-    return F.aggregate(tokens, F.lit(0), lambda a, t: a + cost(t))
+    """Words count one per three letters, all other signs, CJK letters among them, one each."""
+    return F.regexp_count(text, F.lit(r"[A-Za-z0-9_]{1,3}|[^\s]"))
 
 
 def context_prefix(headings: Column) -> Column:

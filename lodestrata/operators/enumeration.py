@@ -60,21 +60,34 @@ def candidate_clusters(items: DataFrame) -> DataFrame:
             return labels
 
 
+def first_of_content(items: DataFrame, per: str) -> DataFrame:
+    """The items of each plan without those whose content an earlier one has: per, ordinal, knowledge_kind, token_estimate.
+
+    The first one stands for all, with the largest estimate. Items without a content hash
+    are each their own.
+    """
+    key = F.coalesce("block_content_sha256", F.concat(F.lit("item:"), F.col("ordinal").cast("string")))
+    return items.groupBy(per, key.alias("key")).agg(F.min("ordinal").alias("ordinal"), F.min_by("knowledge_kind", "ordinal").alias("knowledge_kind"), F.max("token_estimate").alias("token_estimate")).drop("key")
+
+
 def map_reduce_batches(items: DataFrame, available: int, most: int, per: str = "plan_id") -> DataFrame:
     """(plan, ordinal, batch): items packed by kind under a token budget; batch 0 means uncovered.
 
     A batch holds items of one kind, in order, as far as the budget reaches; batches are
     numbered through all kinds, and those after the last allowed one, like items above
     the budget, stay uncovered. Where a batch ends depends on where the one before did,
-    so each plan is one group: ordinals and costs only, exact-deduplicated first. Plans
-    are of bounded size; a larger scope is given as several (``plan_parts``).
+    so a plan's packing is one group, but only of items that a batch can still reach:
+    ``most`` batches hold ``most`` budgets at most, so whatever comes later in the plan's
+    running sum is uncovered whatever the cuts are. An estimate counts as one token at
+    least, so a group has ``most`` times ``available`` items at most, however large the plan.
     """
+    from lodestrata.operators.sorting import with_running
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(kind=pdf["knowledge_kind"].map(KINDS.index), batch=0).sort_values(["kind", "ordinal"])
+        pdf = pdf.assign(batch=0).sort_values(["kind", "ordinal"])
         made = 0
-        for _, rows in pdf[pdf["token_estimate"] <= available].groupby("kind"):
-            ends, at = rows["token_estimate"].cumsum().to_numpy(), 0
+        for _, rows in pdf.groupby("kind"):
+            ends, at = rows["cost"].cumsum().to_numpy(), 0
             while at < len(ends) and made < most:
                 end = max(at + 1, ends.searchsorted((ends[at - 1] if at else 0) + available, "right"))
                 made += 1
@@ -82,18 +95,13 @@ def map_reduce_batches(items: DataFrame, available: int, most: int, per: str = "
                 at = end
         return pdf[[per, "ordinal", "batch"]]
 
-    kind = items.schema
-    return items.select(per, "ordinal", "knowledge_kind", "token_estimate").groupBy(per).applyInPandas(number, f"{per} {kind[per].dataType.simpleString()}, ordinal {kind['ordinal'].dataType.simpleString()}, batch int")
-
-
-def plan_parts(items: DataFrame, per: str, size: int = 1000) -> DataFrame:
-    """Items with ``plan_id``: each scope cut, in order, into plans of at most ``size`` items."""
-    from lodestrata.operators.sorting import with_rank
-
-    ranked = with_rank(items, [per, "ordinal"])
-    first = ranked.groupBy(per).agg(F.min("rank").alias("first"))
-    part = F.floor((F.col("rank") - F.col("first")) / size).cast("string")
-    return ranked.join(first, per).withColumn("plan_id", F.concat_ws("#", F.coalesce(F.col(per), F.lit("")), part)).drop("rank", "first")
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("knowledge_kind"))
+    rows = items.select(per, "ordinal", place.alias("kind"), F.greatest(F.col("token_estimate"), F.lit(1)).cast("long").alias("cost"))
+    rows = with_running(rows.withColumn("fits", (F.col("cost") <= available).cast("long") * F.col("cost")), per, ["kind", "ordinal"], "fits")
+    type_ = {c: items.schema[c].dataType.simpleString() for c in (per, "ordinal")}
+    near = rows.where((F.col("fits") > 0) & (F.col("before") < most * available)).select(per, "ordinal", "kind", "cost")
+    batches = near.groupBy(per).applyInPandas(number, f"{per} {type_[per]}, ordinal {type_['ordinal']}, batch int").where("batch > 0")
+    return rows.join(batches, [per, "ordinal"], "left").select(per, "ordinal", F.coalesce("batch", F.lit(0)).alias("batch"))
 
 
 def execute_coverage(items: DataFrame) -> DataFrame:

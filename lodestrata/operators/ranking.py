@@ -139,8 +139,8 @@ def bm25(posts: DataFrame, lengths: DataFrame, query: DataFrame, keys: list[str]
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length")).withColumn("one", F.lit(1))
     hit = posts.join(query, ["term", "field"])
     per = hit.groupBy("query_id", "term", *keys).agg(F.sum(F.col("tf") * w[F.col("field")]).alias("wtf"))
-    df = posts.join(query.select("term", "field").distinct(), ["term", "field"]).groupBy("term").agg(F.count_distinct(F.struct(*keys)).alias("df"))
-    rows = per.join(df, "term").join(lengths, keys).withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")
+    df = per.groupBy("query_id", "term").agg(F.count("*").alias("df"))  # blocks that hold the term in an asked field
+    rows = per.join(df, ["query_id", "term"]).join(lengths, keys).withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     return rows.groupBy("query_id", *keys).agg(F.round(F.sum(idf * gain), 6).alias("score"))

@@ -21,7 +21,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dic
 
     blocks: document_id, sequence, text and the weighted length. terms: what blocks hold
     (document_id, sequence, field, stem, tf), in ranges of the stem, so that a question
-    reads the row groups of its own stems. vocabulary: CJK words of all headings.
+    reads the row groups of its own stems; they are made once before the ranges are found. vocabulary: CJK words of all headings.
     """
     chunks = chunk_markdown(docs, key, text)
     rows = chunks.withColumn("document_id", F.col(key)).withColumn("retrieval_text", F.concat_ws("\n", F.when(F.col("contextual_prefix") != "", F.col("contextual_prefix")), "text")).withColumn("tags", F.array().cast("array<string>"))
@@ -31,7 +31,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dic
     blocks = rows.select("document_id", "sequence", "text", R.weighted_length(arrays).alias("length"))
     posts = R.stemmed(R.postings(rows, ["document_id", "sequence"], arrays))
     vocabulary = rows.where(F.size("heading_path") > 0).select(F.explode(X.cjk_vocabulary(F.col("heading_path"))).alias("word")).distinct()
-    return {"blocks": blocks, "terms": posts.repartitionByRange("term").sortWithinPartitions("term"), "vocabulary": vocabulary}
+    return {"blocks": blocks, "terms": cut(posts).repartitionByRange("term").sortWithinPartitions("term"), "vocabulary": vocabulary}
 
 
 def question_terms(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:

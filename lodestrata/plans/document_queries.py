@@ -188,28 +188,28 @@ c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role || turn ELSE 'new'
 k AS (SELECT u.conv_id, u.ordinal::DOUBLE AS pos, 1 AS own, 0 AS by_page, 0 AS place, coalesce(c.text, u.text) AS text, u.locator, u.page, c.text IS NOT NULL AS corrected FROM u LEFT JOIN c ON c.conv_id = u.conv_id AND c.locator = u.locator),
 m AS (SELECT c.*, coalesce((SELECT min(ordinal) FROM u WHERE u.conv_id = c.conv_id AND u.page > c.page), 1e18) AS pos FROM c WHERE NOT EXISTS (FROM u WHERE u.conv_id = c.conv_id AND u.locator = c.locator)),
 n AS (SELECT conv_id, pos, 0 AS own, coalesce(page, max(page) OVER (PARTITION BY conv_id, pos ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS by_page, turn AS place, text, locator, page, TRUE AS corrected FROM m)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, own, by_page, place)::INTEGER AS ordinal, text, locator, page::INTEGER AS page, corrected FROM (FROM k UNION ALL BY NAME FROM n)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, own, by_page, place)::INTEGER AS ordinal, text, locator, coalesce(page, -1)::INTEGER AS page, corrected FROM (FROM k UNION ALL BY NAME FROM n)
 """)
 def corrected_recognition(spark, d):
     turn = table(spark, d, "conversations")
     at = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
     rows = turn.select("conv_id", at.alias("ordinal"), F.lit("paragraph").alias("kind"), "text", F.concat("role", F.col("turn").cast("string")).alias("locator"), F.expr("CAST(CASE WHEN turn % 5 < 4 THEN turn DIV 2 END AS INT)").alias("page"))
     fixes = turn.where("turn % 3 < 2").select("conv_id", F.col("turn").alias("place"), F.expr("CASE WHEN turn % 3 = 0 THEN role || turn ELSE 'new' || turn END").alias("locator"), F.expr("CAST(CASE WHEN turn % 7 < 6 THEN turn DIV 3 END AS INT)").alias("page"), F.expr("'fixed ' || turn").alias("text"))
-    return C.with_recognised_corrections(rows, fixes, "conv_id").drop("kind")
+    return C.with_recognised_corrections(rows, fixes, "conv_id").drop("kind").na.fill(-1, ["page"])
 
 
 @query("""
-WITH p AS (SELECT DISTINCT r_name, n_name, (s_suppkey % 12)::VARCHAR AS unit FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
-c AS (SELECT c_custkey, n_name, c_custkey % 5 AS m, (c_custkey % 15)::VARCHAR AS unit FROM customer JOIN nation ON n_nationkey = c_nationkey),
+WITH p AS (SELECT DISTINCT r_name, n_name || ' end' AS n_name, (s_suppkey % 12)::VARCHAR AS unit FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+c AS (SELECT c_custkey, n_name || ' end' AS n_name, c_custkey % 5 AS m, (c_custkey % 15)::VARCHAR AS unit FROM customer JOIN nation ON n_nationkey = c_nationkey),
 found AS (
   SELECT DISTINCT c_custkey, r_name, p.n_name, NULL AS unit FROM c JOIN p ON p.n_name = c.n_name AND m = 0
-  UNION ALL SELECT c_custkey, r_name, p.n_name, p.unit FROM c JOIN p ON p.n_name = c.n_name AND p.unit = c.unit AND m IN (1, 2)
+  UNION ALL SELECT c_custkey, r_name, p.n_name, p.unit FROM c JOIN p ON p.unit = c.unit AND (m IN (1, 2) AND p.n_name = c.n_name OR m = 1 AND NOT EXISTS (FROM p x WHERE x.n_name = c.n_name))
 )
 SELECT c_custkey AS query_id, CASE WHEN r_name IS NOT NULL THEN 'resolved' WHEN m = 4 THEN 'open' ELSE 'closed' END AS state, CASE WHEN r_name IS NULL THEN NULL WHEN found.unit IS NULL THEN r_name || '/' || found.n_name ELSE r_name || '/' || found.n_name || '/Unit ' || found.unit END AS path
 FROM c LEFT JOIN found USING (c_custkey)
 """)
 def heading_scopes(spark, d):
-    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    nation, region = table(spark, d, "nation").withColumn("n_name", F.concat("n_name", F.lit(" end"))), table(spark, d, "region")  # no name begins another
     where = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     unit = lambda n: F.concat(F.lit("Unit "), n.cast("string"))
     blocks = table(spark, d, "supplier").join(where, F.col("s_nationkey") == F.col("n_nationkey")).select(F.array("r_name", "n_name", unit(F.col("s_suppkey") % 12)).alias("heading_path"))
@@ -281,13 +281,13 @@ def rendered_tables(spark, d):
 
 
 @query("""
-SELECT doc_id, CASE WHEN source = 'src2' THEN NULL WHEN n_chars % 5 = 0 OR lang = 'fr' THEN 'refused' ELSE source || '/' || doc_id END AS source_path, CASE WHEN source = 'src2' OR n_chars % 5 = 0 OR lang = 'fr' THEN NULL ELSE doc_id % 9 + 1 END AS page
+SELECT doc_id, CASE WHEN source = 'src2' THEN NULL WHEN n_chars % 5 = 0 OR lang = 'fr' THEN 'refused' ELSE source || '/' || doc_id END AS source_path, CASE WHEN source = 'src2' OR n_chars % 5 = 0 OR lang = 'fr' THEN -1 ELSE doc_id % 9 + 1 END AS page
 FROM documents
 """)
 def note_sources(spark, d):
     front = "CASE WHEN source = 'src2' THEN '' ELSE '---\\nplatform_provenance:\\n  schema_version: 1\\n  vault_id: ' || source || '\\n  source_id: s\\n  processing_task_id: t\\n  source_sha256: ' || CASE WHEN lang = 'fr' THEN '00' ELSE sha2(text, 256) END || '\\n  source_path: ' || source || '/' || doc_id || '\\n  source_locators:\\n    - page: ' || CASE WHEN n_chars % 5 = 0 THEN '0' ELSE CAST(doc_id % 9 + 1 AS STRING) END || '\\n---\\n' END || text"
     p = table(spark, d, "documents").select("doc_id", note_provenance(F.expr(front)).alias("p"))
-    return p.select("doc_id", F.when(F.col("p.issue").isNotNull(), "refused").otherwise(F.col("p.source_path")).alias("source_path"), F.get_json_object(F.get("p.source_locators", 0), "$.page").cast("long").alias("page"))
+    return p.select("doc_id", F.when(F.col("p.issue").isNotNull(), "refused").otherwise(F.col("p.source_path")).alias("source_path"), F.coalesce(F.get_json_object(F.get("p.source_locators", 0), "$.page").cast("long"), F.lit(-1)).alias("page"))
 
 
 @query("""
@@ -307,7 +307,7 @@ def committed_units(spark, d):
 
 
 @query("""
-SELECT doc_id AS document_id, CASE WHEN n_chars % 4 > 0 THEN CASE lang WHEN 'en' THEN '英语' WHEN 'de' THEN '数学' END END AS subject, CASE WHEN n_chars % 4 > 0 AND n_chars % 3 = 0 THEN '七年级上册' END AS grade_volume, CASE WHEN n_chars % 4 > 0 THEN 3 END AS unit_no, CASE WHEN n_chars % 4 > 0 THEN 'textbook' END AS material_type,
+SELECT doc_id AS document_id, CASE WHEN n_chars % 4 > 0 THEN CASE lang WHEN 'en' THEN '英语' WHEN 'de' THEN '数学' END END AS subject, CASE WHEN n_chars % 4 > 0 AND n_chars % 3 = 0 THEN '七年级上册' END AS grade_volume, CASE WHEN n_chars % 4 > 0 THEN 3 ELSE -1 END AS unit_no, CASE WHEN n_chars % 4 > 0 THEN 'textbook' END AS material_type,
   CASE WHEN n_chars % 4 > 0 AND lang IN ('en', 'de') AND n_chars % 3 = 0 THEN 0.95::DOUBLE END AS meta_confidence, CASE WHEN n_chars % 4 > 0 AND lang IN ('en', 'de') AND n_chars % 3 = 0 THEN 'accepted' ELSE 'required-check' END AS meta_status
 FROM documents
 """)
@@ -315,7 +315,7 @@ def rule_metadata(spark, d):
     path = "CASE lang WHEN 'en' THEN '英语' WHEN 'de' THEN '数学' ELSE 'other' END || CASE WHEN n_chars % 3 = 0 THEN '/7年级上册' ELSE '' END || '/第三单元/教材/' || doc_id || '.md'"
     heads = F.expr("CASE n_chars % 4 WHEN 0 THEN array('Unit 5') WHEN 1 THEN array('x', 'unit 3') ELSE array('第3单元') END")
     blocks = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("sequence"), F.expr(path).alias("relative_path"), heads.alias("heading_path"))
-    return M.rule_metadata(blocks).drop("sequence", "meta_origin")
+    return M.rule_metadata(blocks).drop("sequence", "meta_origin").na.fill(-1, ["unit_no"])
 
 
 @query("SELECT vec_id % 2 AS query_id, vec_id AS candidate_id, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY label DESC, vec_id DESC)::INTEGER AS rank FROM embeddings")

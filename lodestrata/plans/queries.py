@@ -16,6 +16,7 @@ from lodestrata.operators import joins as J
 from lodestrata.operators import lifecycle as C
 from lodestrata.operators import ranking as R
 from lodestrata.operators.chunking import chunk_markdown
+from lodestrata.operators.lineage import cut
 from lodestrata.plans import answering
 from lodestrata.plans.catalog import ORACLE_SQL, QUERIES, query, table
 from lodestrata.streaming import events as E
@@ -65,12 +66,19 @@ SELECT 1 AS query_id, doc_id, score, rank::INTEGER AS rank FROM (
     FROM tf JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN s GROUP BY doc_id)) WHERE rank <= 8
 """)
 def lexical_top8(spark, d):
-    posts = R.postings(table(spark, d, "documents"), ["doc_id"], {"en": X.all_matches(F.lower("text"), "[a-z0-9]+")})
-    lengths = posts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    terms = spark.createDataFrame([(1, t, "en") for t in ("license", "the", "stupid", "that")], "query_id int, term string, field string")
+    asked = ["license", "the", "stupid", "that"]
+    rows = cut(table(spark, d, "documents").select("doc_id", *_counted_terms(asked)))
+    posts, lengths = R.postings(rows, ["doc_id"], {"en": F.col("hits")}), rows.select("doc_id", "length")
+    terms = spark.createDataFrame([(1, t, "en") for t in asked], "query_id int, term string, field string")
     return R.top_k(R.bm25(posts, lengths, terms, ["doc_id"]), 8, ["doc_id"])
 
 
+def _counted_terms(asked: list[str]):
+    """Of a text's terms those that are asked, and the number of all: one pass over the text, and no other term is grouped."""
+    terms = X.all_matches(F.lower("text"), "[a-z0-9]+")
+    return F.filter(terms, lambda t: t.isin(asked)).alias("hits"), F.size(terms).alias("length")
+
+
 def _query_vector(vectors: DataFrame) -> list[float]:
     return vectors.orderBy("vec_id").select("embedding").first()[0]
 
@@ -295,14 +303,28 @@ def coverage_plan(spark, d):
 
 @query()
 def duplicate_clusters(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.col("lang").alias("knowledge_kind"), X.concept_terms(F.col("text")).alias("concept_terms"))
+    """Pages whose headings share a term, host by host."""
+    heading = F.array_join(F.transform(F.regexp_extract_all("html", F.lit("(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1)), lambda h: F.regexp_replace(h, "<[^>]*>", " ")), " ")
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("ordinal"), F.coalesce(F.regexp_extract("url", "//([^/?#]*)", 1), F.lit("")).alias("knowledge_kind"), X.concept_terms(F.coalesce(heading, F.lit(""))).alias("concept_terms"))
     return N.candidate_clusters(rows)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT coalesce(source, '') AS source, doc_id, sha256(text) AS hash, CASE WHEN contains(lower(text), 'license') THEN 5 ELSE 6 END AS kind,
+  list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\s]'), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9_]+') THEN (length(x) + 2) // 3 ELSE 1 END)) AS tokens FROM documents),
+i AS (SELECT source, min(doc_id) AS ordinal, min_by(kind, doc_id) AS kind, greatest(coalesce(max(tokens), 0), 1)::BIGINT AS cost FROM t GROUP BY source, hash),
+f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY kind, ordinal) AS k FROM i WHERE cost <= 4000),
+walk AS (
+  SELECT source, k, kind, 1 AS batch, cost AS held FROM f WHERE k = 1
+  UNION ALL
+  SELECT f.source, f.k, f.kind, CASE WHEN f.kind <> w.kind OR held + f.cost > 4000 THEN batch + 1 ELSE batch END, CASE WHEN f.kind <> w.kind OR held + f.cost > 4000 THEN f.cost ELSE held + f.cost END FROM walk w JOIN f ON f.source = w.source AND f.k = w.k + 1
+)
+SELECT i.source, i.ordinal, CASE WHEN batch <= 12 THEN batch ELSE 0 END::INTEGER AS batch FROM i LEFT JOIN f ON f.source = i.source AND f.ordinal = i.ordinal LEFT JOIN walk w ON w.source = f.source AND w.k = f.k
+""")
 def map_reduce_plan(spark, d):
-    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("ordinal"), X.knowledge_kind(F.array("text")).alias("knowledge_kind"), X.provider_token_estimate(F.col("text")).alias("token_estimate"))
-    return N.map_reduce_batches(N.plan_parts(rows, "source"), 4000, 12)
+    kind = F.when(F.contains(F.lower("text"), F.lit("license")), "exercise").otherwise("other")
+    rows = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("ordinal"), kind.alias("knowledge_kind"), F.sha2("text", 256).alias("block_content_sha256"), X.provider_token_estimate(F.col("text")).alias("token_estimate"))
+    return N.map_reduce_batches(N.first_of_content(rows, "source"), 4000, 12, "source")
 
 
 @query("""
@@ -351,11 +373,11 @@ def files_with_notes(spark, d):
     return J.along_path(pages.withColumn("relative_path", F.col("url")), docs).select("page_id", "url", "notes")
 
 
-@query("SELECT source, sha256(string_agg(doc_id || ':' || n_chars, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query("""
+SELECT source, sha256('[' || string_agg('{"k":' || doc_id || ',"v":' || n_chars || '}', ',' ORDER BY doc_id, n_chars) || ']') AS digest FROM documents GROUP BY source
+""")
 def snapshot_digests(spark, d):
-    rows = table(spark, d, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))).alias("p"))
-    parts = F.transform("p", lambda s: F.concat_ws(":", s["doc_id"].cast("string"), s["n_chars"].cast("string")))
-    return rows.select("source", F.sha2(F.array_join(parts, ","), 256).alias("digest"))
+    return C.snapshot_digest(table(spark, d, "documents"), "doc_id", "n_chars", "source")
 
 
 from lodestrata.plans import document_queries, operator_queries  # noqa: E402, F401  register their queries too

@@ -45,21 +45,35 @@ def test_chunks_keep_all_texts_in_order(spark):
 
 
 def test_map_reduce_plan_against_a_plain_walk(spark):
+    from lodestrata.operators import enumeration as N
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    items = {r.doc_id: (r.source, r.kind, r.cost) for r in docs.select("doc_id", "source", X.knowledge_kind(F.array("text")).alias("kind"), X.provider_token_estimate(F.col("text")).alias("cost")).collect()}
-    got: dict = {}
-    for r in QUERIES["map_reduce_plan"](spark, DATA).collect():
-        assert r.plan_id.rpartition("#")[0] == items[r.ordinal][0]
-        got.setdefault((r.plan_id, r.batch), []).append(r.ordinal)
-    assert sorted(x for v in got.values() for x in v) == sorted(items)
-    for (_, batch), members in got.items():
-        cost = sum(items[i][2] for i in members)
-        if batch:
-            assert cost <= 4000 and len({items[i][1] for i in members}) == 1 and batch <= 12
-    for (plan, batch), members in got.items():  # a batch ends only where the next item of its kind would not fit
-        after = got.get((plan, batch + 1))
-        if batch and after and items[min(after)][1] == items[members[0]][1]:
-            assert sum(items[i][2] for i in members) + items[min(after)][2] > 4000
+    rows = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("ordinal"), F.when(F.contains(F.lower("text"), F.lit("license")), "exercise").otherwise("other").alias("knowledge_kind"), F.sha2("text", 256).alias("block_content_sha256"), X.provider_token_estimate(F.col("text")).alias("token_estimate"))
+    items: dict = {}
+    for r in N.first_of_content(rows, "source").collect():
+        items.setdefault(r.source, []).append((N.KINDS.index(r.knowledge_kind), r.ordinal, max(r.token_estimate, 1)))
+    expected = {}
+    for plan, mine in items.items():
+        batch, kind, held = 0, None, 0
+        for k, ordinal, cost in sorted(mine):
+            if cost <= 4000 and (k != kind or held + cost > 4000):
+                batch, kind, held = batch + 1, k, 0
+            held += cost if cost <= 4000 else 0
+            expected[plan, ordinal] = batch if cost <= 4000 and batch <= 12 else 0
+    assert {(r.source, r.ordinal): r.batch for r in QUERIES["map_reduce_plan"](spark, DATA).collect()} == expected
+
+
+def test_batches_of_one_large_plan_do_not_depend_on_its_size(spark):
+    from lodestrata.operators import enumeration as N
+
+    rows = spark.range(3000).select(F.lit("p").alias("plan_id"), F.col("id").alias("ordinal"), F.when(F.col("id") % 2 == 0, "grammar").otherwise("other").alias("knowledge_kind"), (F.col("id") % 7).cast("int").alias("token_estimate"))
+    got = {r.ordinal: r.batch for r in N.map_reduce_batches(rows, 20, 5).collect()}
+    batch, held, expected = 0, 99, {}
+    for k in range(0, 3000, 2):
+        cost = max(k % 7, 1)
+        batch, held = (batch + 1, cost) if held + cost > 20 else (batch, held + cost)
+        expected[k] = batch if batch <= 5 else 0
+    assert got == {**dict.fromkeys(range(3000), 0), **expected}
 
 
 def test_answers_against_plain_bm25(spark):
@@ -99,11 +113,13 @@ def test_entry_points(spark):
     assert e.entry(spark).columns[:2] == ["query_id", "place"]
 
 
-def test_duplicate_clusters_reads_whole_texts(spark, tmp_path):
+def test_duplicate_clusters_of_page_headings(spark, tmp_path):
     texts = ["Alpha one. Shared theorem", "Beta two. shared Theorems here", "Gamma. Nothing", "Delta. 三角函数", "Epsilon five. x 三角函数", "Zeta. Alone", None, "", "Alpha. In another language"]
     rows = [(k, t, "de" if k == 8 else "en") for k, t in enumerate(texts)]
     rows += [(100 + k, f"n{1000 + k}z. n{1001 + k}z", "fr") for k in range(40)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    html = lambda t: None if t is None else f"<p>common words of all pages</p><H2 class='x'><i>{t}</i></H2><p>common</p>"
+    pages = [(k, f"http://{lang}/{k}", html(t)) for k, t, lang in rows]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     terms = {r.doc_id: set(r.t) for r in spark.createDataFrame(rows, "doc_id long, text string, lang string").select("doc_id", X.concept_terms(F.col("text")).alias("t")).collect()}
     root = {k: k for k, _, _ in rows}
     for _ in rows:
