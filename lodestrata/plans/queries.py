@@ -53,24 +53,30 @@ def term_statistics(spark, d):
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
-len AS (SELECT doc_id, count(*) AS l FROM t GROUP BY doc_id),
-q AS (SELECT unnest(['license', 'the', 'stupid', 'that']) AS term),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM t JOIN q USING (term) GROUP BY ALL),
+LEXICAL = """
+t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+len AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS l FROM documents),
+wanted AS (SELECT unnest(['license', 'the', 'stupid', 'that']) AS term),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t JOIN wanted USING (term) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-s AS (SELECT (SELECT count(*) FROM len) AS n, (SELECT avg(l) FROM len) AS avgl)
-SELECT 1 AS query_id, doc_id, score, rank::INTEGER AS rank FROM (
-  SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (
-    SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avgl))), 6) AS score
-    FROM tf JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN s GROUP BY doc_id)) WHERE rank <= 8
-""")
-def lexical_top8(spark, d):
+s AS (SELECT (SELECT count(*) FROM len) AS n, (SELECT avg(l) FROM len) AS avgl),
+lex AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (
+  SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avgl))), 6) AS score
+  FROM tf JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN s GROUP BY doc_id))
+"""
+
+
+def _lexical(spark, d, k: int) -> DataFrame:
     asked = ["license", "the", "stupid", "that"]
     rows = cut(table(spark, d, "documents").select("doc_id", *_counted_terms(asked)))
     posts, lengths = R.postings(rows, ["doc_id"], {"en": F.col("hits")}), rows.select("doc_id", "length")
     terms = spark.createDataFrame([(1, t, "en") for t in asked], "query_id int, term string, field string")
-    return R.top_k(R.bm25(posts, lengths, terms, ["doc_id"]), 8, ["doc_id"])
+    return R.top_k(R.bm25(posts, lengths, terms, ["doc_id"]), k, ["doc_id"])
+
+
+@query(f"WITH {LEXICAL} SELECT 1 AS query_id, doc_id, score, r::INTEGER AS rank FROM lex WHERE r <= 8")
+def lexical_top8(spark, d):
+    return _lexical(spark, d, 8)
 
 
 def _counted_terms(asked: list[str]):
@@ -98,19 +104,20 @@ def vector_top50(spark, d):
 
 
 @query(f"""
-WITH {KNN}, a AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM k),
-b AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS r FROM embeddings),
-f AS (SELECT vec_id, round(coalesce(1.0 / (60 + b.r), 0) + coalesce(1.0 / (60 + a.r), 0), 9) AS score
-      FROM (SELECT * FROM a WHERE r <= 50) a FULL JOIN (SELECT * FROM b WHERE r <= 50) b USING (vec_id))
-SELECT vec_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM f) WHERE rank <= 8
+WITH {LEXICAL}, {KNN}, near AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM k),
+head AS (SELECT doc_id, row_number() OVER (ORDER BY (source = 'src12') DESC, doc_id) AS r FROM documents WHERE starts_with(source, 'src1')),
+f AS (SELECT doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) + coalesce(1.0 / (60 + c.r), 0), 9) AS score
+      FROM (FROM lex WHERE r <= 50) a FULL JOIN (FROM near WHERE r <= 50) b USING (doc_id) FULL JOIN (FROM head WHERE r <= 50) c USING (doc_id))
+SELECT doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 8
 """)
 def fused_top8(spark, d):
+    """Full text, nearest vectors and headings, 50 candidates each, fused."""
+    one = lambda df: R.top_k(df.withColumn("query_id", F.lit(1)), 50, ["doc_id"]).select("query_id", "doc_id", "rank")
     vectors = table(spark, d, "embeddings")
-    near = R.nearest(vectors, _query_vector(vectors), 50, ["vec_id"], "embedding").withColumn("query_id", F.lit(1))
-    semantic = R.top_k(near, 50, ["vec_id"]).select("query_id", "vec_id", "rank")
-    labelled = vectors.orderBy("label", "vec_id").limit(50).withColumn("query_id", F.lit(1))
-    lexical = labelled.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("label", "vec_id"))).select("query_id", "vec_id", "rank")
-    return answering.hybrid(lexical, semantic, lexical.limit(0), 8, ["vec_id"]).select("vec_id", "score", "rank")
+    near = R.nearest(vectors.withColumn("doc_id", F.col("vec_id")), _query_vector(vectors), 50, ["doc_id"], "embedding")
+    heads = table(spark, d, "documents").select("doc_id", F.array("source").alias("heading_path"))
+    found = R.heading_matches(heads, ["src1", "SRC12"], 50, ["doc_id"])
+    return answering.hybrid(_lexical(spark, d, 50).select("query_id", "doc_id", "rank"), one(near), one(found), 8, ["doc_id"]).select("doc_id", "score", "rank")
 
 
 @query("SELECT coalesce(lang, 'unlabelled') AS material_type, count(DISTINCT doc_id) AS documents, count(*) AS blocks FROM documents GROUP BY 1")
