@@ -21,9 +21,11 @@ from lodestrata.operators import scopes as S
 from lodestrata.operators import typed_projection as Y
 from lodestrata.operators.lineage import shared_folder
 from lodestrata.operators.ranking import l2_normal
+from lodestrata.operators.vector_blocks import nearest_in_blocks, vector_blocks
 from lodestrata.plans.catalog import query, table
 from lodestrata.sources import table_grid as G
 from lodestrata.sources.commits import UnitLog
+from lodestrata.sources.pdf import pdf_pages as read_pdf
 
 
 def lines(spark, d):
@@ -366,3 +368,31 @@ def bound_vectors(spark, d):
     kept = rows.where("role = 'user'").withColumn("vector", l2_normal(F.col("vector")).cast("array<float>"))
     out = B.bind_vectors(kept, rows.where("role <> 'user' OR sequence % 2 = 0"), docs, turn)
     return out.select("document_id", "sequence", "state", F.round(F.get("vector", 0).cast("double"), 5).alias("first"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS m FROM v),
+q AS (SELECT label AS query_id, min_by(e, vec_id) AS e, min_by(m, vec_id) AS m FROM u GROUP BY label),
+s AS (SELECT query_id, u.vec_id AS key, round(list_sum(list_transform(list_zip(u.e, q.e), lambda p: p[1] * p[2])) / (u.m * q.m), 6) AS score FROM u, q)
+SELECT query_id, rank, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INTEGER AS rank FROM s) WHERE rank <= 8
+""")
+def nearest_to_labels(spark, d):
+    """The vectors nearest to the first one of each label, from blocks kept in single precision."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    return nearest_in_blocks(vector_blocks(rows, "vec_id", "embedding"), asked, 8).select("query_id", "rank", "key")
+
+
+@query("""
+SELECT c_custkey AS path, 1 AS page, 'Customer (' || c_name || ')' || chr(10) || c_mktsegment AS text, NULL AS issue FROM customer
+UNION ALL SELECT c_custkey, 2, CASE WHEN c_nationkey % 5 > 0 THEN 'nation ' || c_nationkey ELSE '' END, CASE WHEN c_nationkey % 5 = 0 THEN 'empty-page' END FROM customer
+""")
+def pdf_pages(spark, d):
+    """A file of two pages for each customer; the second one is empty for some nations."""
+    part = lambda n, body: f"'{n} 0 obj << /Length ' || length({body}) || ' >> stream\\n' || {body} || '\\nendstream endobj\\n'"
+    one = "'BT /F1 9 Tf 9 9 Td (Customer \\\\(' || c_name || '\\\\)) Tj 0 -9 Td (' || c_mktsegment || ') Tj ET'"
+    two = "CASE WHEN c_nationkey % 5 > 0 THEN 'BT [(nat) (ion) -500 (' || c_nationkey || ')] TJ ET' ELSE 'q Q' END"
+    head = "'%PDF-1.4\\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\\n2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >> endobj\\n3 0 obj << /Type /Page /Contents 5 0 R >> endobj\\n4 0 obj << /Type /Page /Contents 6 0 R >> endobj\\n'"
+    files = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.expr(f"encode({head} || {part(5, one)} || {part(6, two)} || 'trailer << /Root 1 0 R >>', 'ISO-8859-1')").alias("content"))
+    return read_pdf(files).select(F.col("path").cast("long").alias("path"), "page", "text", "issue")
