@@ -185,13 +185,21 @@ def search_excerpt(text: Column, needle: Column, before: int = 90, after: int =
 
 
 def evidence_location(headings: Column, location: Column) -> Column:
-    """The heading or page that a location names, else the first heading, else the location."""
-    named = F.regexp_extract(location, r"(heading:[^#]+|page:\d+)", 1)
-    return F.when(named != "", named).otherwise(F.coalesce(F.get(headings, 0), location))
+    """Struct of the heading and the page that a location names; the document's first heading stands in for a missing one."""
+    named = F.trim(F.regexp_extract(location, r"(?i)heading:\s*([^;]+)", 1))
+    page = F.regexp_extract(location, r"(?i)page:\s*(\d+)", 1).try_cast("int")
+    return F.struct(F.coalesce(F.nullif(named, F.lit("")), F.get(headings, 0)).alias("heading"), F.when(page > 0, page).alias("page"))
+
+
+def top_source_link(text: Column, source_path: Column) -> Column:
+    """Whether a link to the source stands in the first two lines that are neither blank nor headings."""
+    body = F.split(F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---\r?\n", ""), r"\r\n|[\n\r]")
+    told = F.slice(F.filter(F.transform(body, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^\s{0,3}#{1,6}\s+")), 1, 2)
+    return F.coalesce(F.exists(told, lambda x: F.array_contains(wiki_links(x), source_path)), F.lit(False))
 
 
 def wiki_links(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), 1), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), 1), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def frontmatter(text: Column) -> Column:
@@ -227,8 +235,48 @@ def concept_terms(heading: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_except(found, F.array(*map(F.lit, GENERIC_CONCEPTS)))), F.array().cast("array<string>"))
 
 
-def safe_name(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(text), r"[^A-Za-z0-9._㐀-鿿-]+", "-"), r"^[.-]+|[.-]+$", ""))
+def safe_name(text: Column, fallback: Column | None = None, suffix: Column | None = None) -> Column:
+    """A file name of plain signs in lower case; ``fallback`` for one that has none, and ``suffix`` at its end, once."""
+    name = F.lower(F.regexp_replace(F.regexp_replace(F.trim(text), r"[^A-Za-z0-9._㐀-鿿-]+", "-"), r"^[.-]+|[.-]+$", ""))
+    if fallback is not None:
+        name = F.coalesce(F.nullif(name, F.lit("")), fallback)
+    if suffix is not None:
+        name = F.when((suffix != "") & ~name.endswith(F.lower(suffix)), F.concat(name, F.lower(suffix))).otherwise(name)
+    return name
+
+
+def note_stem(title: Column) -> Column:
+    """A title as a file name: signs that file systems refuse become hyphens, white space one space; never empty."""
+    plain = F.regexp_replace(F.regexp_replace(title, r'[<>:"/\\|?*\x00-\x1f]', "-"), r"\s+", " ")
+    return F.coalesce(F.nullif(F.regexp_replace(plain, r"^[ .]+|[ .]+$", ""), F.lit("")), F.lit("内容"))
+
+
+def unique_names(titles, key: str, order: str, title: str, taken: Column | None = None):
+    """(key, order, name): a name for each title, in order; a name that is taken, case aside, gets the next free number.
+
+    A fold over one document's titles: a number may be taken by a title that holds it.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf(T.ArrayType(T.StringType()))
+    def number(stems, used):
+        import pandas as pd
+
+        def one(stems: list[str], used) -> list[str]:
+            gone, out = {u.casefold() for u in (used if used is not None else [])}, []
+            for stem in stems:
+                name, n = stem, 2
+                while name.casefold() in gone:
+                    name, n = f"{stem} ({n})", n + 1
+                gone.add(name.casefold())
+                out.append(name)
+            return out
+
+        return pd.Series([one(s, u) for s, u in zip(stems, used)])
+
+    rows = titles.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), note_stem(F.col(title)).alias("s")))).alias("t"))
+    used = taken if taken is not None else F.array().cast("array<string>")
+    return rows.select(key, F.explode(F.arrays_zip(F.col("t.o").alias("o"), number(F.col("t.s"), used).alias("name"))).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.name").alias("name"))
 
 
 def column_letters(index: Column) -> Column:

@@ -102,4 +102,7 @@ def search(rows: DataFrame, text: str, *columns: str) -> DataFrame:
 def rerank_view(rows: DataFrame) -> DataFrame:
     """What a reranker may see: never a path or an identity, and no text that holds an absolute path."""
     shown = ["candidate_id", "heading_path", "block_kind", "text", "allowed_tags", "fused_rank"]
-    return rows.where(~paths.holds_absolute_path(F.to_json(F.struct("heading_path", "text", "allowed_tags")))).select(*shown)
+    leaks = paths.holds_absolute_path(F.coalesce("text", F.lit("")))
+    for c in ("heading_path", "allowed_tags"):  # each value as it is: escapes of a rendering are no paths
+        leaks = leaks | F.coalesce(F.exists(c, lambda x: F.coalesce(paths.holds_absolute_path(x), F.lit(False))), F.lit(False))
+    return rows.where(~leaks).select(*shown)

@@ -221,14 +221,19 @@ def rerank(candidates: DataFrame, scores: DataFrame, keep: int = 4) -> DataFrame
 
 
 def rerank_candidates(ranked: DataFrame, most: int = 20) -> DataFrame:
-    """The candidates to send: not blocked, no absolute path, numbered in fused order."""
+    """The candidates to send: not blocked, no absolute path in text, headings, kind or tags; numbered, with their fused rank."""
     from lodestrata.functions.paths import holds_absolute_path
 
-    w = W.partitionBy("query_id").orderBy("rank")
-    sound = ranked.where(~holds_absolute_path(F.to_json(F.struct("heading_path", "text"))))
+    lists = [c for c in ("heading_path", "allowed_tags") if c in ranked.columns]
+    leaks = holds_absolute_path(F.coalesce("text", F.lit("")))
+    for c in lists:
+        leaks = leaks | F.coalesce(F.exists(c, lambda x: F.coalesce(holds_absolute_path(x), F.lit(False))), F.lit(False))
+    sound = ranked.where(~leaks)
     if "outbound_allowed" in ranked.columns:
         sound = sound.where("outbound_allowed")
-    return sound.withColumn("fused_rank", F.row_number().over(w)).where(F.col("fused_rank") <= most).withColumn("candidate_id", F.format_string("candidate%02d", "fused_rank"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    sent = sound.withColumn("__n", place).where(F.col("__n") <= most)
+    return sent.withColumn("fused_rank", F.col("rank")).withColumn("candidate_id", F.format_string("candidate%02d", "__n")).drop("__n")
 
 
 def expand(hits: DataFrame, blocks: DataFrame, most: int = 8) -> DataFrame:

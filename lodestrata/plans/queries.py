@@ -387,6 +387,6 @@ def snapshot_digests(spark, d):
     return C.snapshot_digest(table(spark, d, "documents"), "doc_id", "n_chars", "source")
 
 
-from lodestrata.plans import document_queries, operator_queries  # noqa: E402, F401  register their queries too
+from lodestrata.plans import document_queries, operator_queries, text_queries  # noqa: E402, F401  register their queries too
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
