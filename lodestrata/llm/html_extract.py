@@ -4,15 +4,18 @@ Each element subtree has a content hash and a place: the path of tags, classes a
 ids from the root. Spark counts, per host, on how many pages each subtree hash
 recurs at each place. A place is a template's if nearly all that stands there, over
 the host's pages, are subtrees that recur on several pages; such subtrees go, and so
-do elements whose tag or class says that they are not the article. A passage that
-many articles share does not make its place a template, since most of what stands
-at the same place does not recur.
+do elements whose tag, class or heading says that they are not the article. A passage
+that many articles share does not make its place a template, since most of what stands
+at the same place does not recur; and the block that holds most of a page's text, with
+its running text and its larger parts, is never counted, so that near copies of an
+article make no template of it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,30 +38,57 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
     "comment comments disqus respond replies sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead share sharing social related recommended popup modal overlay widget toolbar complementary contentinfo search".split()
 )
-BESIDE = frozenset("site page main top bottom left right list box bar block area section wrapper wrap container inner outer posts links buttons icons item items form primary secondary global group panel slot unit region".split())
-NAMES = re.compile(r"[^-_]+")
+BESIDE = frozenset("thread user users reader readers visitor visitors site page main top bottom left right list box bar block area section wrapper wrap container inner outer posts links buttons icons item items form primary secondary global group panel slot unit region".split())
+NAMES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Headings of what readers say (fixed values).
+REMARKS = re.compile(r"(?:\d+\s+)?(?:reader |user |all |latest |post a |leave a |add a )?(?:comments?|replies|responses)(?:\s*\(\d+\))?:?", re.I)
 #: The text of an article itself.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th tr tbody thead tfoot table".split())
 #: Elements that a new one of the same kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "html", "body", "option", "legend", "caption"}
 SPACE = re.compile(r"\s+")
+#: Characters of text from which on it can be told where most of a page's text stands.
+PARAGRAPH = 200
+
+
+SCOPES = frozenset("li dt dd tr td th option ul ol dl table select".split())
 
 
 class Element:
-    __slots__ = ("tag", "mark", "place", "start", "end", "items", "parent", "inside")
+    __slots__ = ("tag", "mark", "place", "start", "end", "items", "parent", "inside", "block", "scope", "size", "digest")
 
     def __init__(self, tag: str, mark: str, place: int, start: int, parent: Element | None):
         self.tag, self.mark, self.place, self.start, self.parent = tag, mark, place, start, parent
-        self.end, self.items = -1, []
+        self.end, self.items, self.size, self.digest = -1, [], 0, b""
         #: Whether an article or main element stands around it.
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        #: The nearest block and the nearest part of a list or table, itself included.
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.scope = self if tag in SCOPES or parent is None else parent.scope
 
 
 def parse(page: str) -> tuple[Element, list[Element]]:
-    """A page's element tree and all its elements. Unclosed elements end with what closes them; stray end tags are skipped."""
+    """A page's element tree and all its elements, parents first. Unclosed elements end with what closes them; stray end tags are skipped.
+
+    Open elements are counted by tag, so an end tag without a start costs nothing, and
+    each element is closed once: the time is linear in the page, however deep it nests.
+    """
     root = Element("", "", 0, 0, None)
     here, every, at, n = root, [], 0, len(page)
+    opened: Counter[str] = Counter()
+
+    def close(up: Element, inner: int, end: int) -> Element:
+        """Ends ``up`` at ``end`` and what is open inside it at ``inner``."""
+        e = here
+        while e is not up:
+            e.end = inner
+            opened[e.tag] -= 1
+            e = e.parent
+        up.end = end
+        opened[up.tag] -= 1
+        return up.parent
+
     while at < n:
         m = TOKEN.match(page, at)
         token, start, at = m.group(), at, m.end()
@@ -71,18 +101,20 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             continue
         tag = TAG.match(token).group(1).lower()
         if token[1] == "/":
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                while here is not up:
-                    here.end, here = start, here.parent
-                up.end, here = at, up.parent
+            if opened[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = close(up, start, at)
             continue
-        if tag in CLOSES_P:
-            here = _close(here, {"p"}, start, BLOCK)
+        if tag in CLOSES_P and here.block.tag == "p":
+            here = close(here.block, start, start)
         if tag in CLOSES:
-            here = _close(here, CLOSES[tag], start, {"ul", "ol", "dl", "table", "select"})
+            up = here.scope
+            while up.parent is not None and up.tag not in CLOSES[tag] and up.tag not in ("ul", "ol", "dl", "table", "select"):
+                up = up.parent.scope
+            if up.tag in CLOSES[tag]:
+                here = close(up, start, start)
         mark = " ".join(sorted(f"{a.lower()}={b or c or d}" for a, b, c, d in CLASS.findall(token))) if "=" in token else ""
         new = Element(tag, mark, xxhash.xxh3_64_intdigest(f"{here.place}/{tag} {mark}"), start, here)
         here.items.append(new)
@@ -90,64 +122,97 @@ def parse(page: str) -> tuple[Element, list[Element]]:
         if tag in VOID or token.endswith("/>"):
             new.end = at
         elif tag in RAW:
-            close = RAW[tag].search(page, at)
-            new.end = at = close.end() if close else n
+            close_tag = RAW[tag].search(page, at)
+            new.end = at = close_tag.end() if close_tag else n
         else:
             here = new
+            opened[tag] += 1
     while here is not root:
         here.end, here = n, here.parent
+    _measure(page, root, every)
     return root, every
 
 
-def _close(here: Element, tags: set[str], at: int, stop: set[str] | frozenset[str]) -> Element:
-    """Ends the nearest open element of ``tags`` unless an element of ``stop`` lies between."""
-    up = here
-    while up.parent is not None and up.tag not in tags:
-        if up.tag in stop:
-            return here
-        up = up.parent
-    if up.parent is None:
-        return here
-    while here is not up:
-        here.end, here = at, here.parent
-    up.end = at
-    return up.parent
+def _measure(page: str, root: Element, every: list[Element]) -> None:
+    """Text sizes and content hashes from the leaves up: each letter is read once, by the element it stands in.
+
+    Sizes leave out scripts, menus and the like. A form that holds most of a page's text
+    is the page's frame, not a form to fill in.
+    """
+    for e in reversed(every):
+        parts, at = [], e.start
+        for x in e.items:
+            if isinstance(x, str):
+                e.size += len(x.strip())
+            else:
+                e.size += x.size if x.tag not in NOT_TEXT or x.tag == "form" else 0
+                parts += [page[at : x.start].encode(errors="surrogatepass"), b"<", x.digest]
+                at = x.end
+        parts.append(page[at : e.end].encode(errors="surrogatepass"))
+        e.digest = xxhash.xxh3_128_digest(b"".join(parts))
+    root.size = sum(len(x.strip()) if isinstance(x, str) else x.size if x.tag not in NOT_TEXT or x.tag == "form" else 0 for x in root.items)
+    for e in every:
+        if e.tag == "form" and 2 * e.size > root.size:
+            e.tag = "div"
 
 
 def _named_so(mark: str) -> bool:
-    """Whether one class, id or role as a whole names what is no article: all its words are known, and one is a mark."""
-    for name in (n for x in mark.split(" ") for n in x.partition("=")[2].lower().split()):
-        words = NAMES.findall(name)
+    """Whether one class, id or role as a whole names what is no article: all its words are known, and one is a mark.
+
+    Words part at hyphens, underscores and changes of case.
+    """
+    for name in re.sub(r"(?:^| )(?:class|id|role)=", " ", mark).split():
+        words = [w.lower() for w in NAMES.findall(name)]
         if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE or w.isdigit() for w in words):
             return True
     return False
 
 
-def _signs(e: Element) -> int:
-    """How many characters of text an element holds, without scripts, menus and the like."""
-    n, todo = 0, [e]
-    while todo:
-        for x in todo.pop().items:
-            if isinstance(x, str):
-                n += len(x.strip())
-            elif x.tag not in NOT_TEXT:
-                todo.append(x)
-    return n
+def _shown(e: Element) -> str:
+    """The text of a heading, with its inline elements."""
+    return SPACE.sub(" ", html.unescape("".join(x if isinstance(x, str) else _shown(x) if x.tag not in BLOCK else "" for x in e.items))).strip()
 
 
 def _unwanted(e: Element, gone: set[int], inside: bool) -> bool:
     return e.tag in NOT_TEXT or (e.tag == "header" and not inside) or id(e) in gone
 
 
-def _marked(root: Element, every: list[Element]) -> set[int]:
-    """Elements named so, but for those that hold most of the page's text."""
-    named = [e for e in every if e.mark and e.tag not in ("html", "body", "article", "main") and _named_so(e.mark)]
-    whole = _signs(root) if named else 0
-    return {id(e) for e in named if 2 * _signs(e) <= whole}
+def _remarks(every: list[Element]) -> list[Element]:
+    """Blocks that begin with a heading of readers' comments."""
+    out = []
+    for e in every:
+        if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and e.size < 40 and e.parent.tag in ("section", "div", "aside"):
+            first = next((x for x in e.parent.items if not isinstance(x, str) or x.strip()), None)
+            if first is e and REMARKS.fullmatch(_shown(e)):
+                out.append(e.parent)
+    return out
+
+
+def _marked(root: Element, every: list[Element]) -> tuple[set[int], set[int]]:
+    """Elements named so, and those of them that go: all but what holds most of the page's text."""
+    named = [e for e in every if e.mark and e.tag not in ("html", "body", "article", "main") and _named_so(e.mark)] + _remarks(every)
+    return {id(e) for e in named}, {id(e) for e in named if 2 * e.size <= root.size}
+
 
+def _main_block(root: Element) -> Element | None:
+    """The innermost element that holds over half of the page's text; None where there is less than a paragraph, which tells nothing."""
+    if root.size < PARAGRAPH:
+        return None
+    e = root
+    while True:
+        heavy = next((x for x in e.items if not isinstance(x, str) and x.tag not in NOT_TEXT and 2 * x.size > root.size), None)
+        if heavy is None:
+            return e
+        e = heavy
 
-def _articles(root: Element, gone: set[int]) -> list[Element]:
-    """The outermost article and main elements, in page order."""
+
+def _articles(root: Element, gone: set[int], named: set[int]) -> list[Element]:
+    """The outermost article and main elements, in page order.
+
+    Where the block that holds most of the page's text stands beside them, in a frame of
+    its own, and holds over twice as much as they do together, they are cards, and it is
+    the article.
+    """
     found, todo = [], [root]
     while todo:
         e = todo.pop()
@@ -155,24 +220,65 @@ def _articles(root: Element, gone: set[int]) -> list[Element]:
             found.append(e)
         else:
             todo += [x for x in reversed(e.items) if not isinstance(x, str) and not _unwanted(x, gone, False)]
-    return found
+    block = _main_block(root)
+    if not found or block is None or block.size <= 2 * sum(e.size for e in found):
+        return found
+    while block.tag in RUNNING:  # its frame decides
+        block = block.parent
+    around = set()  # what the cards stand in
+    for e in found:
+        while e is not None and id(e) not in around:
+            around.add(id(e))
+            e = e.parent
+    if id(block) in around or any(id(e) in gone or id(e) in named or e in found for e in _line(block)):
+        return found
+    # with the headings beside the text: up to what holds a card too
+    while block.parent.tag not in ("", "html", "body") and id(block.parent) not in around:
+        block = block.parent
+    return [block]
+
+
+def _line(e: Element | None) -> Iterator[Element]:
+    """An element and all that it stands in."""
+    while e is not None:
+        yield e
+        e = e.parent
 
 
 def _subtree(page: str, e: Element, host: int) -> int:
     """Hash of an element's subtree, its place and its host."""
-    return _signed(xxhash.xxh3_64_intdigest(page[e.start : e.end], seed=e.place ^ host))
+    return _signed(xxhash.xxh3_64_intdigest(e.digest, seed=e.place ^ host))
 
 
 def _counted(every: list[Element]) -> list[Element]:
-    """The block elements that can be a template: not html, body, articles or what they stand in, nor an article's running text."""
+    """The block elements that can be a template.
+
+    Not html, body, articles, the block that holds most of the page's text, or what these
+    stand in; and inside an article or that block neither running text nor a part that
+    holds over a quarter of it.
+    """
+    if not every:
+        return []
+    root = every[0]
+    while root.parent is not None:
+        root = root.parent
+    block = _main_block(root)
     kept: set[int] = set()
-    for e in every:
-        if e.tag in ("article", "main"):
-            up = e
-            while up is not None and id(up) not in kept:
-                kept.add(id(up))
-                up = up.parent
-    return [e for e in every if e.tag in BLOCK and e.tag not in ("html", "body") and id(e) not in kept and not (e.inside and e.tag in RUNNING)]
+    for e in [*([block] if block else []), *(e for e in every if e.tag in ("article", "main"))]:
+        while e is not None and id(e) not in kept:
+            kept.add(id(e))
+            e = e.parent
+    within = {id(block)} if block else set()
+    out = []
+    for e in every:  # parents first
+        if id(e.parent) in within:
+            within.add(id(e))
+        if e.tag not in BLOCK or e.tag in ("html", "body") or id(e) in kept:
+            continue
+        if (e.inside or id(e) in within) and (e.tag in RUNNING or block is not None and 4 * e.size > block.size):
+            continue
+        out.append(e)
+    return out
 
 
 def host_hash(host: str) -> int:
@@ -186,12 +292,12 @@ def main_text(page: str | None, host: int = 0, is_template=None) -> str:
     """
     page = page or ""
     root, every = parse(page)
-    gone = _marked(root, every)
+    named, gone = _marked(root, every)
     if is_template is not None:
         elements = _counted(every)
         gone |= {id(e) for e, hit in zip(elements, is_template([_subtree(page, e, host) for e in elements])) if hit}
     blocks: list[str] = []
-    for top in _articles(root, gone) or [root]:
+    for top in _articles(root, gone, named) or [root]:
         pending: list[str] = []
         _collect(top, gone, top is not root, blocks, pending)
         _flush(blocks, pending)
