@@ -115,15 +115,20 @@ def normalize(blocks: DataFrame) -> DataFrame:
 
 
 def heading_context(blocks: DataFrame) -> DataFrame:
-    """Each block with the open headings above it: a fold over the headings of its graph."""
-    heads = blocks.where("kind = 'heading'").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(F.col(ORDER).alias("at"), F.coalesce("level", F.lit(1)).alias("level"), "text"))).alias("heads"))
+    """Each block with the open headings above it.
+
+    Headings are numbered; their stack is a fold over a graph's headings alone, and a
+    block takes the stack of the last heading by its number.
+    """
+    w = W.partitionBy("graph_id").orderBy(ORDER)
+    rows = blocks.withColumn("__head", F.sum((F.col("kind") == "heading").cast("int")).over(w))
+    heads = rows.where("kind = 'heading'").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("__head", F.coalesce("level", F.lit(1)).alias("level"), "text"))).alias("heads"))
 
     def push(acc: Column, h: Column) -> Column:
         stack = F.concat(F.slice(acc["stack"], F.lit(1), h["level"] - 1), F.array(h["text"]))
-        return F.struct(stack.alias("stack"), F.concat(acc["all"], F.array(F.struct(h["at"].alias("at"), stack.alias("path")))).alias("all"))
+        return F.struct(stack.alias("stack"), F.concat(acc["all"], F.array(F.struct(h["__head"].alias("__head"), stack.alias("heading_path")))).alias("all"))
 
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast(f"array<struct<at:{blocks.schema[ORDER].dataType.simpleString()},path:array<string>>>").alias("all"))
-    paths = heads.select("graph_id", F.aggregate("heads", start, push, lambda a: a["all"]).alias("paths"))
-    above = F.filter("paths", lambda p: p["at"] <= F.col(ORDER))
-    out = blocks.join(paths, "graph_id", "left")
-    return out.withColumn("heading_path", F.coalesce(F.get(above, F.size(above) - 1)["path"], F.array().cast("array<string>"))).drop("paths")
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<__head:bigint,heading_path:array<string>>>").alias("all"))
+    paths = heads.select("graph_id", F.inline(F.aggregate("heads", start, push, lambda a: a["all"])))
+    out = rows.join(paths, ["graph_id", "__head"], "left")
+    return out.withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>"))).select(*blocks.columns, "heading_path")

@@ -10,7 +10,10 @@ from lodestrata.functions import text as X
 from lodestrata.operators import aggregates as A
 from lodestrata.operators import evaluation as V
 from lodestrata.operators import filters as L
+from lodestrata.operators import joins as J
+from lodestrata.operators import layout as Y
 from lodestrata.operators import lifecycle as C
+from lodestrata.operators import queue as Q
 from lodestrata.operators import ranking as R
 from lodestrata.plans.catalog import query, table
 from lodestrata.sources import tables as T
@@ -155,3 +158,105 @@ def exported_sessions(spark, d):
     said = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.sha2("text", 256).alias("text"))
     sessions = said.select("session_id").distinct().withColumn("title", F.concat(F.lit("t"), F.col("session_id").cast("string")))
     return T.export_sessions(sessions, said)
+
+
+@query("SELECT doc_id, CASE WHEN strpos(lower(text), 'the') = 0 THEN substr(text, 1, 250) ELSE substr(text, greatest(strpos(lower(text), 'the') - 90, 1), strpos(lower(text), 'the') - greatest(strpos(lower(text), 'the') - 90, 1) + 160) END AS excerpt FROM documents")
+def search_excerpts(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.search_excerpt(F.col("text"), F.lit("The")).alias("excerpt"))
+
+
+@query("""
+SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\s]'), lambda t: CASE WHEN regexp_full_match(t, '[A-Za-z0-9_]+') THEN (length(t) + 3) // 4 ELSE 1 END)), 0)::INTEGER AS tokens FROM documents
+""")
+def index_token_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("""
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN trim(text) WHEN 2 THEN '[' || role || ']' || chr(10) || chr(10) || trim(text) ELSE 'own' END AS input FROM conversations WHERE trim(text) <> ''
+""")
+def embedding_inputs(spark, d):
+    rows = table(spark, d, "conversations").where("trim(text) <> ''")
+    turn = F.col("turn") % 4
+    prefix = F.when(turn == 2, F.concat(F.lit("["), "role", F.lit("]")))
+    retrieval = F.when(turn == 3, "![[x.png]] own ![a](b.png)").when(turn == 0, " ![[x.png]] ")
+    text = F.when(turn == 0, "![only](an/image.png)").otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", X.embedding_input(prefix, retrieval, text).alias("input"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '|' || lang WHEN 1 THEN source || '|x y' WHEN 2 THEN '' WHEN 3 THEN '' ELSE lang END AS tags FROM documents
+""")
+def note_tags(spark, d):
+    front = "CASE doc_id % 5 WHEN 0 THEN 'tags: [' || source || ', \"' || lang || '\", ' || source || ']' WHEN 1 THEN 'a: b\\ntags:\\n  - ' || source || '\\n  - \"x y\"\\nc: d' WHEN 2 THEN 'tags: [broken' WHEN 3 THEN 'other: [x]' ELSE 'tags: [' || '''' || lang || ''']' END"
+    text = F.expr(f"'---\\n' || {front} || '\\n---\\n' || text")
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.tags(text), "|").alias("tags"))
+
+
+@query("""
+WITH h AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS heading FROM pages),
+w AS (SELECT page_id, list_distinct(list_transform(regexp_extract_all(lower(heading), '[a-z0-9]+'), lambda x: CASE WHEN length(x) > 3 AND ends_with(x, 'ies') THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x) > 3 AND ends_with(x, 's') THEN substr(x, 1, length(x) - 1) ELSE x END)) AS words FROM h)
+SELECT page_id, array_to_string(list_sort(list_filter(words, lambda x: x NOT IN ('and', 'check', 'concept', 'description', 'dialogue', 'exercise', 'exercises', 'focus', 'form', 'forms', 'guide', 'lesson', 'note', 'notes', 'of', 'order', 'practice', 'practices', 'review', 'verb'))), ',') AS terms FROM w
+""")
+def heading_terms(spark, d):
+    heading = F.regexp_replace(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")
+    return table(spark, d, "pages").select("page_id", F.array_join(X.concept_terms(heading), ",").alias("terms"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'vocabulary' WHEN 2 THEN 'exercise' WHEN 3 THEN 'grammar' WHEN 4 THEN 'phrase' WHEN 5 THEN 'sentence-pattern' ELSE 'other' END AS kind FROM lineitem
+""")
+def knowledge_kinds(spark, d):
+    words = F.array(*map(F.lit, ["Unit 3 VOCABULARY and Phrases", "课后练习", "Grammar exercises", "Useful phrase", "Sentence patterns", "Part " * 3, "other"]))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.knowledge_kind(F.array(F.lit("Book"), F.get(words, (F.col("l_linenumber") - 1).cast("int")))).alias("kind"))
+
+
+@query("""
+SELECT doc_id, list_reduce(list_prepend('', string_split(text, chr(10))), lambda a, x: CASE WHEN rtrim(a) = '' THEN ltrim(x) WHEN regexp_matches(rtrim(a), '[A-Za-z]-$') AND regexp_matches(ltrim(x), '^[a-z]') THEN substr(rtrim(a), 1, length(rtrim(a)) - 1) || ltrim(x) ELSE rtrim(a) || ' ' || ltrim(x) END) AS text FROM documents
+""")
+def joined_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.join_wrapped(F.split("text", "\n")).alias("text"))
+
+
+@query("""
+SELECT page_id, relative_path, total_rows, pages FROM (SELECT page_id, 'Vault/' || url AS relative_path, count(*) OVER () AS total_rows, ceil(count(*) OVER () / 20.0)::BIGINT AS pages FROM pages WHERE contains(lower(url), 'en')) ORDER BY lower(relative_path) DESC, relative_path LIMIT 20 OFFSET 20
+""")
+def file_listing(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("Vault/"), "url").alias("relative_path"))
+    return Q.file_page(rows, 2, 20, text="EN", descending=True)
+
+
+@query("""
+WITH o AS (SELECT l_orderkey, coalesce(list(DISTINCT l_partkey) FILTER (l_linenumber <= 3), []) AS want, coalesce(list(DISTINCT l_partkey) FILTER (l_linenumber >= 2), []) AS got, l_orderkey % 7 = 0 AS wrong, l_orderkey % 5 = 0 AS none FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey AS query_id, CASE WHEN wrong THEN 0.0 WHEN none THEN CASE WHEN len(got) = 0 THEN 1.0 ELSE 0.0 END WHEN len(want) = 0 THEN CASE WHEN len(got) = 0 THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(got, want)) / len(want)::DOUBLE END::DOUBLE AS recall,
+  CASE WHEN wrong THEN 0.0 WHEN none THEN CASE WHEN len(got) = 0 THEN 1.0 ELSE 0.0 END WHEN len(got) = 0 THEN CASE WHEN len(want) = 0 THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(got, want)) / len(got)::DOUBLE END::DOUBLE AS precision FROM o
+""")
+def golden_metrics(spark, d):
+    parts = lambda c: F.coalesce(F.collect_set(F.when(c, F.col("l_partkey").cast("string"))), F.array().cast("array<string>"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(parts(F.col("l_linenumber") <= 3).alias("want"), parts(F.col("l_linenumber") >= 2).alias("got"))
+    status = F.when(F.col("query_id") % 5 == 0, "recoverable").otherwise("resolved")
+    none, no_clusters = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    golden = rows.select("query_id", F.col("want").alias("expected_block_ids"), none.alias("scope_block_ids"), no_clusters.alias("expected_clusters"), status.alias("expected_status"))
+    said = rows.select("query_id", F.col("got").alias("retrieved_block_ids"), none.alias("scoped_block_ids"), no_clusters.alias("duplicate_clusters"), F.when(F.col("query_id") % 7 == 0, "other").otherwise(status).alias("scope_status"))
+    return V.query_metrics(golden, said).select("query_id", "recall", "precision")
+
+
+@query("""
+WITH b AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, role || turn AS text, 1 + turn % 2 AS level FROM conversations),
+a AS (SELECT *, max(turn) FILTER (kind = 'heading') OVER w AS h, max(turn) FILTER (kind = 'heading' AND level = 1) OVER w AS top FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT a.conv_id AS graph_id, a.turn AS reading_order, CASE WHEN a.h IS NULL THEN '' WHEN x.level = 1 THEN x.text WHEN a.top IS NULL OR a.top > a.h THEN x.text ELSE y.text || '/' || x.text END AS path
+FROM a LEFT JOIN b x ON x.conv_id = a.conv_id AND x.turn = a.h LEFT JOIN b y ON y.conv_id = a.conv_id AND y.turn = a.top
+""")
+def heading_stacks(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("graph_id"), F.col("turn").alias("reading_order"), F.when(F.col("turn") % 3 == 0, "heading").otherwise("paragraph").alias("kind"), F.concat("role", F.col("turn").cast("string")).alias("text"), (1 + F.col("turn") % 2).cast("int").alias("level"))
+    return Y.heading_context(rows).select("graph_id", "reading_order", F.array_join("heading_path", "/").alias("path"))
+
+
+@query("""
+WITH b AS (SELECT doc_id, source || (doc_id % 3) AS text, doc_id % 40 AS page, source FROM documents)
+SELECT a.doc_id AS block_id, count(DISTINCT b.page) AS pages FROM b a JOIN b ON a.source = b.source AND a.text = b.text AND a.page <> b.page GROUP BY 1
+""")
+def same_places(spark, d):
+    box = {"x1": 10.0, "y1": 5.0, "x2": 90.0, "y2": 9.0, "page_width": 100.0, "page_height": 200.0}
+    rows = table(spark, d, "documents").select(F.col("source").alias("graph_id"), F.col("doc_id").alias("block_id"), (F.col("doc_id") % 40).alias("page"), F.concat("source", (F.col("doc_id") % 3).cast("string")).alias("text"), *[F.lit(v).alias(k) for k, v in box.items()])
+    return J.same_position(rows).select("block_id", "pages")
