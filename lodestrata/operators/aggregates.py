@@ -42,10 +42,31 @@ def health_status() -> Column:
 
 
 def index_health(documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per vault: current, stale, failed and pending counts, and the state they amount to."""
-    d = documents.groupBy("vault_id").agg(F.count_if(F.col("is_current") & F.col("stale_reason").isNull()).alias("current"), F.count_if(F.col("stale_reason").isNotNull() & F.col("is_current")).alias("stale"), F.count_if("pending_association").alias("associations"))
-    j = jobs.groupBy("vault_id").agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isin("pending", "running")).alias("pending"))
-    return d.join(j, "vault_id", "full_outer").na.fill(0).withColumn("pending", F.col("pending") + F.col("associations")).drop("associations").withColumn("status", health_status())
+    """Per vault: current, stale, failed and pending counts, and the state they amount to.
+
+    Current documents are those that wait for no association, stale ones among them;
+    jobs that failed or still run count as failed.
+    """
+    now = F.col("is_current")
+    d = documents.groupBy("vault_id").agg(F.count_if(now & ~F.col("pending_association")).alias("current"), F.count_if(now & F.col("stale_reason").isNotNull()).alias("stale"), F.count_if(now & F.col("pending_association")).alias("pending"))
+    j = jobs.groupBy("vault_id").agg(F.count_if(F.col("status").isin("failed", "running")).alias("failed"))
+    return d.join(j, "vault_id", "full_outer").na.fill(0).withColumn("status", health_status())
+
+
+def health_samples(documents: DataFrame, jobs: DataFrame, most: int = 10) -> DataFrame:
+    """vault_id, kind, place, path, detail: the newest stale and pending documents and failed jobs of each vault, as examples.
+
+    documents: vault_id, relative_path, is_current, stale_reason, pending_association,
+    indexed_at; jobs: vault_id, relative_path, status, updated_at. Ties go by path.
+    """
+    from pyspark.sql import Window as W
+
+    row = lambda df, kind, when, detail: df.select("vault_id", F.lit(kind).alias("kind"), F.col("relative_path").alias("path"), detail.alias("detail"), F.col(when).alias("at"))
+    none = F.lit(None).cast("string")
+    now = documents.where("is_current")
+    rows = row(now.where("stale_reason IS NOT NULL"), "stale", "indexed_at", F.col("stale_reason")).unionByName(row(now.where("pending_association"), "pending", "indexed_at", none)).unionByName(row(jobs.where("status IN ('failed', 'running')"), "failed", "updated_at", F.col("status")))
+    w = W.partitionBy("vault_id", "kind").orderBy(F.desc("at"), "path")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("at")
 
 
 def semantic_coverage(documents: DataFrame, blocks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -162,16 +162,30 @@ def task_counters(spark, d):
 
 
 @query(f"""
-WITH {IDX}, a AS (SELECT vault_id, count(*) FILTER (is_current AND stale_reason IS NULL) AS current, count(*) FILTER (is_current AND stale_reason IS NOT NULL) AS stale, count(*) FILTER (pending_association) AS waiting FROM idx GROUP BY 1),
-j AS (SELECT CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'de' ELSE 'none' END AS vault_id, count(*) FILTER (value > 25) AS failed, count(*) FILTER (value <= 25) AS pending FROM events GROUP BY 1)
-SELECT vault_id, coalesce(current, 0) AS current, coalesce(stale, 0) AS stale, coalesce(failed, 0) AS failed, coalesce(pending, 0) + coalesce(waiting, 0) AS pending,
-  CASE WHEN coalesce(failed, 0) > 0 THEN 'failed' WHEN coalesce(stale, 0) > 0 OR coalesce(pending, 0) + coalesce(waiting, 0) > 0 THEN 'stale' WHEN coalesce(current, 0) > 0 THEN 'healthy' ELSE 'not-initialized' END AS status FROM a FULL JOIN j USING (vault_id)
+WITH {IDX}, a AS (SELECT vault_id, count(*) FILTER (is_current AND NOT pending_association) AS current, count(*) FILTER (is_current AND stale_reason IS NOT NULL) AS stale, count(*) FILTER (is_current AND pending_association) AS pending FROM idx GROUP BY 1),
+j AS (SELECT CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'de' ELSE 'none' END AS vault_id, count(*) FILTER (value > 20) AS failed FROM events WHERE event_type <> 'view' OR value <= 20 GROUP BY 1),
+h AS (SELECT vault_id, coalesce(current, 0) AS current, coalesce(stale, 0) AS stale, coalesce(failed, 0) AS failed, coalesce(pending, 0) AS pending FROM a FULL JOIN j USING (vault_id))
+SELECT *, CASE WHEN failed > 0 THEN 'failed' WHEN stale > 0 OR pending > 0 THEN 'stale' WHEN current > 0 THEN 'healthy' ELSE 'not-initialized' END AS status FROM h
 """)
 def index_health(spark, d):
-    jobs = table(spark, d, "events").selectExpr("CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'de' ELSE 'none' END AS vault_id", "CASE WHEN value > 25 THEN 'failed' ELSE 'pending' END AS status")
+    jobs = table(spark, d, "events").where("event_type <> 'view' OR value <= 20").selectExpr("CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'de' ELSE 'none' END AS vault_id", "CASE WHEN value > 25 THEN 'failed' WHEN value > 20 THEN 'running' ELSE 'complete' END AS status")
     return A.index_health(documents(spark, d), jobs)
 
 
+@query(f"""
+WITH {IDX}, r AS (
+  SELECT vault_id, 'stale' AS kind, relative_path AS path, stale_reason AS detail, n_chars::DOUBLE AS at_ FROM idx WHERE is_current AND stale_reason IS NOT NULL
+  UNION ALL SELECT vault_id, 'pending', relative_path, NULL, n_chars FROM idx WHERE is_current AND pending_association
+  UNION ALL SELECT event_type, 'failed', event_id || '.md', CASE WHEN value > 25 THEN 'failed' ELSE 'running' END, value FROM events WHERE value > 20
+)
+SELECT vault_id, kind, path, detail, place FROM (SELECT *, row_number() OVER (PARTITION BY vault_id, kind ORDER BY at_ DESC, path)::INTEGER AS place FROM r) WHERE place <= 10
+""")
+def health_samples(spark, d):
+    docs = documents(spark, d).withColumn("indexed_at", F.col("n_chars").cast("double"))
+    jobs = table(spark, d, "events").selectExpr("event_type AS vault_id", "event_id || '.md' AS relative_path", "CASE WHEN value > 25 THEN 'failed' WHEN value > 20 THEN 'running' ELSE 'complete' END AS status", "value AS updated_at")
+    return A.health_samples(docs, jobs)
+
+
 @query(f"""
 WITH {IDX}, {BLK}, k AS (SELECT blk.*, vault_id FROM blk JOIN idx USING (document_id) WHERE {OK}), t AS (SELECT vault_id, count(*) AS eligible_blocks FROM k GROUP BY 1),
 c AS (SELECT vault_id, max(n) AS n FROM (SELECT vault_id, kind, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1)
