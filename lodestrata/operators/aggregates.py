@@ -132,6 +132,28 @@ def workbench(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("vault_id").agg(F.count("*").alias("total"), n("running", "queued").alias("running"), n("blocked", "failed").alias("attention"), n("completed").alias("completed"), F.max("updated_at").alias("last_change"))
 
 
+def vault_states(vaults: DataFrame, health: DataFrame, tasks: DataFrame) -> DataFrame:
+    """vault_id, state: what a vault's row in the overview says, the first that holds of inactive, unavailable, attention, running and healthy.
+
+    vaults: vault_id, authorization_status, access_status; health: as ``index_health``
+    gives it (a vault without a row, or one that is not open, needs attention); tasks:
+    vault_id, lifecycle, failure_reason, failed_count. A task needs attention if it
+    failed, can be recovered, has a reason of failure, or items that failed.
+    """
+    troubled = F.coalesce(F.col("lifecycle").isin("failed", "recoverable"), F.lit(False)) | (F.coalesce("failure_reason", F.lit("")) != "") | (F.coalesce("failed_count", F.lit(0)) > 0)
+    t = tasks.groupBy("vault_id").agg(F.bool_or(troubled).alias("troubled"), F.bool_or(F.col("lifecycle") == "running").alias("runs"))
+    h = health.select("vault_id", ((F.col("failed") + F.col("stale") + F.col("pending")) > 0).alias("faulty"))
+    rows = vaults.join(h, "vault_id", "left").join(t, "vault_id", "left")
+    state = (
+        F.when(~F.col("authorization_status").eqNullSafe("active"), "inactive")
+        .when(~F.col("access_status").eqNullSafe("available"), "unavailable")
+        .when(F.coalesce("faulty", F.lit(True)) | F.coalesce("troubled", F.lit(False)), "attention")
+        .when(F.coalesce("runs", F.lit(False)), "running")
+        .otherwise("healthy")
+    )
+    return rows.select("vault_id", state.alias("state"))
+
+
 def embedding_preview(documents: DataFrame, blocks: DataFrame, policy: DataFrame) -> DataFrame:
     """Files and blocks that a batch would embed, blocked files, and a task id that depends on the choice alone."""
     d = documents.where(eligible()).join(policy.select("document_id", "allowed"), "document_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))

@@ -122,6 +122,30 @@ def stemmed(posts: DataFrame) -> DataFrame:
     return posts.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
+def _tag(field: str):
+    return lambda t: F.struct(F.lit(field).alias("field"), t.alias("term"))
+
+
+def stemmed_postings(rows: DataFrame, keys: list[str], fields: list[str], most_sent: int = 500_000) -> DataFrame:
+    """(keys, field, term, tf) by stem, from columns of terms that are written already.
+
+    The distinct terms are stemmed first. Up to ``most_sent`` of them (some 30 MB) are
+    sent to all tasks, so that the terms of a block are counted by stem in one shuffle;
+    a larger vocabulary is joined to counted postings instead.
+    """
+    from lodestrata.operators.lineage import cut
+
+    arrays = {f: F.col(f) for f in fields}
+    terms = rows.select(F.explode(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays.values()])).alias("term")).distinct()
+    stems = cut(terms.withColumn("stem", porter_stem(folded(F.col("term")))))
+    if stems.count() > most_sent:
+        posts = postings(rows, keys, arrays)
+        return posts.join(stems, "term").groupBy(*keys, "field", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    tagged = [F.transform(F.coalesce(a, F.array().cast("array<string>")), _tag(f)) for f, a in arrays.items()]
+    each = rows.select(*keys, F.explode(F.concat(*tagged)).alias("t")).select(*keys, "t.*")
+    return each.join(F.broadcast(stems), "term").groupBy(*keys, "field", F.col("stem").alias("term")).agg(F.count("*").alias("tf"))
+
+
 def weighted_length(fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS) -> Column:
     """A block's length: its terms of each field, weighed; no term has to be counted for it."""
     return reduce(lambda a, f: a + F.coalesce(F.size(fields[f]), F.lit(0)) * F.lit(weights[f]), fields, F.lit(0.0))

@@ -29,7 +29,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dic
     rows = cut(rows.select("document_id", "sequence", "text", "heading_path", *[v.alias(k) for k, v in fields.items()]))
     arrays = {f: F.col(f) for f in FIELDS}
     blocks = rows.select("document_id", "sequence", "text", R.weighted_length(arrays).alias("length"))
-    posts = R.stemmed(R.postings(rows, ["document_id", "sequence"], arrays))
+    posts = R.stemmed_postings(rows, ["document_id", "sequence"], FIELDS)
     vocabulary = rows.where(F.size("heading_path") > 0).select(F.explode(X.cjk_vocabulary(F.col("heading_path"))).alias("word")).distinct()
     return {"blocks": blocks, "terms": cut(posts).repartitionByRange("term").sortWithinPartitions("term"), "vocabulary": vocabulary}
 

@@ -260,3 +260,15 @@ def same_places(spark, d):
     box = {"x1": 10.0, "y1": 5.0, "x2": 90.0, "y2": 9.0, "page_width": 100.0, "page_height": 200.0}
     rows = table(spark, d, "documents").select(F.col("source").alias("graph_id"), F.col("doc_id").alias("block_id"), (F.col("doc_id") % 40).alias("page"), F.concat("source", (F.col("doc_id") % 3).cast("string")).alias("text"), *[F.lit(v).alias(k) for k, v in box.items()])
     return J.same_position(rows).select("block_id", "pages")
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS k, bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' OR o_orderkey % 97 = 0) AS troubled, bool_or(o_orderstatus = 'O') AS runs FROM orders GROUP BY 1)
+SELECT c_custkey AS vault_id, CASE WHEN c_nationkey = 3 THEN 'inactive' WHEN c_nationkey % 10 = 4 THEN 'unavailable' WHEN c_custkey % 6 = 0 OR c_custkey % 5 = 0 OR coalesce(troubled, FALSE) THEN 'attention' WHEN coalesce(runs, FALSE) THEN 'running' ELSE 'healthy' END AS state FROM customer LEFT JOIN t ON k = c_custkey
+""")
+def vault_states(spark, d):
+    rows = table(spark, d, "customer").withColumn("vault_id", F.col("c_custkey"))
+    vaults = rows.select("vault_id", F.expr("CASE WHEN c_nationkey = 3 THEN 'revoked' ELSE 'active' END").alias("authorization_status"), F.expr("CASE WHEN c_nationkey % 10 = 4 THEN 'missing' ELSE 'available' END").alias("access_status"))
+    health = rows.where("c_custkey % 6 > 0").select("vault_id", F.lit(0).alias("failed"), F.expr("CAST(c_custkey % 5 = 0 AS INT)").alias("stale"), F.lit(0).alias("pending"))
+    tasks = table(spark, d, "orders").select(F.col("o_custkey").alias("vault_id"), F.expr("CASE WHEN o_orderstatus = 'O' THEN 'running' WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'recoverable' ELSE 'complete' END").alias("lifecycle"), F.expr("CASE WHEN o_orderkey % 97 = 0 THEN 'broken' END").alias("failure_reason"), F.lit(0).alias("failed_count"))
+    return A.vault_states(vaults, health, tasks)

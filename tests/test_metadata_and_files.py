@@ -150,3 +150,39 @@ def test_artifacts_are_promoted_whole_or_not_at_all(spark, tmp_path):
     assert store.snapshot("snap", files(hashlib.sha256(b"pdf").hexdigest())).first().path == "in.pdf"
     with pytest.raises(ValueError, match="hash-differs"):
         store.snapshot("snap2", files("0" * 64))
+
+
+def test_golden_fixtures_are_checked_field_by_field(spark):
+    import copy
+    import json
+
+    scopes = [{"scopeId": s, "label": s.upper()} for s in ("s1", "s2")]
+    blocks = [{"blockId": f"b{k}", "scopeId": "s1" if k < 3 else "s2", "documentAlias": "d", "materialType": "m", "title": "t", "text": "x"} for k in range(5)]
+    clusters = [{"clusterId": "c1", "blockIds": ["b0", "b1"]}]
+    query = lambda k: {"queryId": f"q{k}", "intent": V.INTENTS[k % 3], "queryText": f"ask {k}", "expectedStatus": "resolved", "scopeId": "s1", "expectedBlockIds": ["b0", "b1"], "scopeBlockIds": ["b0", "b1", "b2"], "expectedDuplicateClusterIds": ["c1"]}
+    queries = [query(k) for k in range(20)]
+    queries[7] |= {"expectedStatus": "recoverable", "scopeId": None, "expectedBlockIds": [], "scopeBlockIds": [], "expectedDuplicateClusterIds": []}
+    good = {"schemaVersion": 1, "fixtureId": "f", "provenance": "synthetic-deidentified", "scopes": scopes, "blocks": blocks, "duplicateClusters": clusters, "queries": queries}
+    cases = {"good": (lambda f: None, set()), "text": (None, {("", "not-json")})}
+
+    def case(name, change, *faults):
+        cases[name] = (change, set(faults))
+
+    case("top", lambda f: f.update(more=1), ("", "fixture-fields"))
+    case("version", lambda f: f.update(schemaVersion=2, provenance="real"), ("", "schema-version"), ("", "provenance"))
+    case("few", lambda f: f.update(queries=[q for q in f["queries"] if q["intent"] == "source-lookup"]), ("", "query-count"), ("", "intent-missing"), ("", "no-recoverable"))
+    case("fields", lambda f: (f["scopes"][0].update(x=1), f["blocks"][0].pop("title"), f["queries"][3].pop("scopeBlockIds")), ("s1", "scope-fields"), ("b0", "block-fields"), ("b0", "block-blank"), ("q3", "query-fields"), ("q3", "query-without-evidence"), ("q3", "query-scope-not-whole"))
+    case("repeat", lambda f: f["queries"].append(f["queries"][2]), ("q2", "query-repeated"))
+    case("unknown", lambda f: (f["blocks"][4].update(scopeId="s9"), f["queries"][1].update(scopeId="s8", intent="x", expectedStatus="y", queryText="a\nb", expectedDuplicateClusterIds=["c7"])), ("b4", "block-scope-unknown"), ("q1", "query-intent"), ("q1", "query-text"), ("q1", "query-status"), ("q1", "query-cluster-unknown"))
+    case("clusters", lambda f: f["duplicateClusters"].extend([{"clusterId": "c2", "blockIds": ["b1", "b3"]}, {"clusterId": "c3", "blockIds": ["b9"]}]), ("c1", "cluster-block-shared"), ("c2", "cluster-block-shared"), ("c2", "cluster-over-scopes"), ("c3", "cluster-too-small"), ("c3", "cluster-block-unknown"))
+    case("evidence", lambda f: (f["queries"][7].update(scopeId="s1"), f["queries"][0].update(scopeBlockIds=["b0"], expectedBlockIds=["b0", "b3"])), ("q7", "recoverable-names-evidence"), ("q0", "query-scope-not-whole"), ("q0", "query-outside-scope"), ("q0", "query-cluster-outside"))
+    rows = []
+    for name, (change, _) in cases.items():
+        f = copy.deepcopy(good)
+        if change:
+            change(f)
+        rows.append((name, json.dumps(f) if change else "no json"))
+    got = {name: set() for name in cases}
+    for r in V.golden_faults(spark.createDataFrame(rows, "fixture string, json string")).collect():
+        got[r.fixture].add((r.item, r.fault))
+    assert got == {name: faults for name, (_, faults) in cases.items()}

@@ -76,6 +76,15 @@ def test_batches_of_one_large_plan_do_not_depend_on_its_size(spark):
     assert got == {**dict.fromkeys(range(3000), 0), **expected}
 
 
+def test_postings_by_stem_do_not_depend_on_the_way(spark):
+    from lodestrata.operators import ranking as R
+
+    rows = spark.createDataFrame([(1, ["running", "runs", "the"], ["run"]), (2, None, ["Ran", "runs"]), (3, [], None)], "k int, a array<string>, b array<string>")
+    want = sorted(map(tuple, R.stemmed(R.postings(rows, ["k"], {"a": F.col("a"), "b": F.col("b")})).select("k", "field", "term", "tf").collect()))
+    for most in (0, 100):
+        assert sorted(map(tuple, R.stemmed_postings(rows, ["k"], ["a", "b"], most).select("k", "field", "term", "tf").collect())) == want and len(want) == 5
+
+
 def test_answers_against_plain_bm25(spark):
     import math
     from collections import Counter
