@@ -87,6 +87,34 @@ def line_kind(text) -> F.Column:
     )
 
 
+# How the lines of a page begin that are headings, questions, answers and list items.
+PAGE_HEADING = r"(?i)^(?:chapter|unit|section|lesson)\b"
+PAGE_QUESTION = r"(?i)^(?:q(?:uestion)?[.:]|[0-9]+[.)])\s*"
+PAGE_ANSWER = r"(?i)^(?:a(?:nswer)?[.:])\s*"
+PAGE_ITEM = r"^(?:[-*+]|[0-9]+[.)])\s+"
+# End of fixed values.
+
+
+def page_units(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, order, kind, text: the lines of pages as units; a question and the answer right behind it are one.
+
+    Blank lines are left out first. A page's first line may be a heading: by its first
+    word, or if it is short and all in capitals. Where questions and answers could be
+    paired in more than one way, the earlier line pairs first.
+    """
+    rows = lines.select(*keys, order, F.trim(F.regexp_replace("text", "^\\s+|\\s+$", "")).alias("text")).where("text <> ''")
+    w = W.partitionBy(*keys).orderBy(order)
+    asks = F.col("text").rlike(PAGE_QUESTION) | F.col("text").endswith("?")
+    rows = rows.withColumn("pairs", F.coalesce(asks & F.lead("text").over(w).rlike(PAGE_ANSWER), F.lit(False))).withColumn("n", F.row_number().over(w))
+    # in a stretch of lines that could all pair with the next, every other one does
+    rows = rows.withColumn("since", F.col("n") - F.coalesce(F.max(F.when(~F.col("pairs"), F.col("n"))).over(w), F.lit(0)))
+    rows = rows.withColumn("starts", F.col("pairs") & (F.col("since") % 2 == 1))
+    rows = rows.withColumn("eaten", F.coalesce(F.lag("starts").over(w), F.lit(False))).withColumn("after", F.lead("text").over(w))
+    head = (F.col("n") == 1) & (F.col("text").rlike(PAGE_HEADING) | ((F.length("text") <= 90) & (F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))))
+    kind = F.when(F.col("starts"), "question-answer").when(head, "heading").when(F.col("text").rlike(PAGE_ITEM), "list-item").when(F.contains("text", F.lit("\t")) | F.contains("text", F.lit(" | ")), "table-row").otherwise("paragraph")
+    return rows.where("NOT eaten").select(*keys, order, kind.alias("kind"), F.when(F.col("starts"), F.concat_ws("\n", "text", "after")).otherwise(F.col("text")).alias("text"))
+
+
 def private_candidates(blocks: DataFrame, allowed: DataFrame) -> DataFrame:
     """What the private index may offer to an outbound request: blocks of allowed documents, without path, hashes or identities."""
     rows = blocks.join(allowed.where("outbound_allowed").select("document_id").distinct(), "document_id", "left_semi")

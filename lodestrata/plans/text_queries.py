@@ -13,6 +13,7 @@ from lodestrata.operators import filters as L
 from lodestrata.operators import joins as J
 from lodestrata.operators import layout as Y
 from lodestrata.operators import lifecycle as C
+from lodestrata.operators import projection as O
 from lodestrata.operators import queue as Q
 from lodestrata.operators import ranking as R
 from lodestrata.plans.catalog import query, table
@@ -272,3 +273,16 @@ def vault_states(spark, d):
     health = rows.where("c_custkey % 6 > 0").select("vault_id", F.lit(0).alias("failed"), F.expr("CAST(c_custkey % 5 = 0 AS INT)").alias("stale"), F.lit(0).alias("pending"))
     tasks = table(spark, d, "orders").select(F.col("o_custkey").alias("vault_id"), F.expr("CASE WHEN o_orderstatus = 'O' THEN 'running' WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'recoverable' ELSE 'complete' END").alias("lifecycle"), F.expr("CASE WHEN o_orderkey % 97 = 0 THEN 'broken' END").alias("failure_reason"), F.lit(0).alias("failed_count"))
     return A.vault_states(vaults, health, tasks)
+
+
+@query("""
+WITH l AS (SELECT o_custkey AS k, o_orderkey AS n, CASE o_orderkey % 8 WHEN 0 THEN 'Q: ' || o_orderpriority WHEN 1 THEN 'A: is it ' || o_orderstatus || '?' WHEN 2 THEN 'Unit ' || o_orderstatus WHEN 3 THEN '- ' || o_orderpriority WHEN 4 THEN 'answer: ' || o_orderstatus WHEN 5 THEN 'a | ' || o_orderstatus WHEN 6 THEN '' ELSE o_orderpriority || '?' END AS text FROM orders),
+r AS (SELECT *, row_number() OVER w AS i, coalesce((starts_with(text, 'Q:') OR ends_with(text, '?')) AND regexp_matches(lead(text) OVER w, '(?i)^(a|answer)[.:]'), FALSE) AS pairs, lead(text) OVER w AS after FROM l WHERE text <> '' WINDOW w AS (PARTITION BY k ORDER BY n)),
+s AS (SELECT *, pairs AND (i - coalesce(max(i) FILTER (NOT pairs) OVER (PARTITION BY k ORDER BY n), 0)) % 2 = 1 AS starts FROM r),
+e AS (SELECT *, coalesce(lag(starts) OVER (PARTITION BY k ORDER BY n), FALSE) AS eaten FROM s)
+SELECT k AS customer, n AS place, CASE WHEN starts THEN 'question-answer' WHEN i = 1 AND (starts_with(text, 'Unit') OR (upper(text) = text AND lower(text) <> text)) THEN 'heading' WHEN starts_with(text, '- ') THEN 'list-item' WHEN contains(text, ' | ') THEN 'table-row' ELSE 'paragraph' END AS kind, CASE WHEN starts THEN text || chr(10) || after ELSE text END AS text FROM e WHERE NOT eaten
+""")
+def page_units(spark, d):
+    text = F.expr("CASE o_orderkey % 8 WHEN 0 THEN 'Q: ' || o_orderpriority WHEN 1 THEN 'A: is it ' || o_orderstatus || '?' WHEN 2 THEN 'Unit ' || o_orderstatus WHEN 3 THEN '- ' || o_orderpriority WHEN 4 THEN 'answer: ' || o_orderstatus WHEN 5 THEN 'a | ' || o_orderstatus WHEN 6 THEN ' ' ELSE o_orderpriority || '?' END")
+    lines = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("place"), text.alias("text"))
+    return O.page_units(lines, ["customer"], "place")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.operators.projection import line_kind
+from lodestrata.operators.projection import page_units
 
 OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b")
 TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]{}]|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|\(|<[0-9A-Fa-f\s]*>|[^\x00\t\n\f\r ()<>\[\]{}/%]+")
@@ -292,10 +292,10 @@ def pdf_pages(files: DataFrame) -> DataFrame:
 
 
 def pdf_units(pages: DataFrame) -> DataFrame:
-    """path, place, page, kind, text: the lines of each file's pages as units, in order."""
+    """path, place, page, kind, text: the lines of each file's pages as units, in order; a question and its answer are one."""
     lines = pages.where("text <> ''").select("path", "page", F.posexplode(F.split("text", "\n")).alias("at", "text"))
     w = W.partitionBy("path").orderBy("page", "at")
-    return lines.select("path", F.row_number().over(w).alias("place"), "page", line_kind(F.col("text")).alias("kind"), "text")
+    return page_units(lines, ["path", "page"], "at").select("path", F.row_number().over(w).alias("place"), "page", "kind", "text")
 
 
 def pdf_evidence(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import zlib
 
+from lodestrata.operators.projection import page_units
 from lodestrata.sources import pdf as P
 
 
@@ -54,13 +55,37 @@ def test_pages_keep_their_places_and_issues(spark):
     assert got["locked"] == got["other"] == got["null"] == [(0, None, "unreadable-file")]
     assert got["loop"] in ([(0, None, "missing-pages")], [(0, None, "unreadable-file")]) and got["cut"][0][2] is not None
     units = [(r.page, r.kind, r.text) for r in P.pdf_units(read.where("path = 'plain'")).orderBy("place").collect()]
-    assert [(p, t) for p, _, t in units] == [(1, "Chapter One"), (1, "1. List (point) A!"), (2, "Question: What?"), (2, "Answer: It.")] and units[1][1] == "list"
+    assert units == [(1, "heading", "Chapter One"), (1, "list-item", "1. List (point) A!"), (2, "question-answer", "Question: What?\nAnswer: It.")]
     worth = {r.path: r for r in P.pdf_evidence(read).collect()}
     assert (worth["plain"].pages, worth["plain"].text_pages, worth["plain"].text_coverage, worth["plain"].issues) == (5, 2, 0.4, 3) and abs(worth["plain"].confidence - 0.2) < 1e-9
     assert worth["packed"].confidence == 0.95 and worth["none"].pages == 0
     assert P.pdf_pages(df.limit(0)).count() == 0
 
 
+def test_lines_pair_as_in_a_walk(spark):
+    import random
+    import re
+
+    rng = random.Random(12)
+    pool = ["Q: a", "A: b?", "a. c", "1) d", "plain", "ALL CAPS", "Unit 3", "x | y", "- item", "why?", " ", "answer: yes"]
+    pages_ = [[rng.choice(pool) for _ in range(rng.randrange(9))] for _ in range(200)]
+    want = []
+    for d, lines in enumerate(pages_):
+        lines, k = [x.strip() for x in lines if x.strip()], 0
+        while k < len(lines):
+            x = lines[k]
+            asks = re.match(r"(?i)(?:q(?:uestion)?[.:]|[0-9]+[.)])\s*", x) or x.endswith("?")
+            if asks and k + 1 < len(lines) and re.match(r"(?i)(?:a(?:nswer)?[.:])\s*", lines[k + 1]):
+                want.append((d, "question-answer", f"{x}\n{lines[k + 1]}"))
+                k += 2
+                continue
+            head = k == 0 and (re.match(r"(?i)(?:chapter|unit|section|lesson)\b", x) or len(x) <= 90 and x.isupper())
+            want.append((d, "heading" if head else "list-item" if re.match(r"(?:[-*+]|[0-9]+[.)])\s+", x) else "table-row" if " | " in x else "paragraph", x))
+            k += 1
+    df = spark.createDataFrame([(d, k, x) for d, p in enumerate(pages_) for k, x in enumerate(p)], "doc int, k int, text string")
+    assert [(r.doc, r.kind, r.text) for r in page_units(df, ["doc"], "k").orderBy("doc", "k").collect()] == want
+
+
 def test_operators_that_move_and_show():
     pdf = P.Pdf(file(pages(b"q BI /W 1 ID (x) Tj EI Q BT /F1 9 Tf [(He) -20 (llo) -300 (there)] TJ 5 0 Td (same) Tj T* (next) Tj (quote) ' 1 2 (double) \" <48 69> Tj 1 0 0 1 0 0 Tm (end%) Tj ET % (no) Tj")))
     assert pdf.text(pdf.pages()[0]) == "Hello there same\nnext\nquote\ndoubleHi\nend%"
