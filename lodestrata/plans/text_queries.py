@@ -18,6 +18,7 @@ from lodestrata.operators import queue as Q
 from lodestrata.operators import ranking as R
 from lodestrata.plans.catalog import query, table
 from lodestrata.sources import tables as T
+from lodestrata.streaming import events as E
 
 #: A note for each document: its text, two local images, a remote one, and one inside a fence.
 NOTE = "text || '\\n![[img/' || doc_id || '.png|shown]]\\n```\\n![[hidden.png]]\\n```\\n![a](../up/' || source || '.jpg \"t\") ![r](http://h/y.png)'"
@@ -286,3 +287,26 @@ def page_units(spark, d):
     text = F.expr("CASE o_orderkey % 8 WHEN 0 THEN 'Q: ' || o_orderpriority WHEN 1 THEN 'A: is it ' || o_orderstatus || '?' WHEN 2 THEN 'Unit ' || o_orderstatus WHEN 3 THEN '- ' || o_orderpriority WHEN 4 THEN 'answer: ' || o_orderstatus WHEN 5 THEN 'a | ' || o_orderstatus WHEN 6 THEN ' ' ELSE o_orderpriority || '?' END")
     lines = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("place"), text.alias("text"))
     return O.page_units(lines, ["customer"], "place")
+
+
+@query("""
+WITH j AS (SELECT l_orderkey AS task_id, l_partkey % 5 AS unit_id, l_returnflag AS snapshot_digest, CASE WHEN l_linestatus = 'O' THEN 'prepared' WHEN l_linenumber % 2 = 0 THEN 'committed' ELSE 'failed' END AS status, l_linenumber AS created_at FROM lineitem),
+o AS (SELECT DISTINCT task_id, unit_id, snapshot_digest FROM j p WHERE status = 'prepared' AND NOT EXISTS (FROM j t WHERE t.task_id = p.task_id AND t.unit_id = p.unit_id AND t.snapshot_digest = p.snapshot_digest AND t.status <> 'prepared'))
+SELECT task_id, unit_id, snapshot_digest, status, created_at FROM j UNION ALL SELECT task_id, unit_id, snapshot_digest, 'failed', 99 FROM o
+""")
+def recovered_journals(spark, d):
+    status = F.expr("CASE WHEN l_linestatus = 'O' THEN 'prepared' WHEN l_linenumber % 2 = 0 THEN 'committed' ELSE 'failed' END")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), (F.col("l_partkey") % 5).alias("unit_id"), F.col("l_returnflag").alias("snapshot_digest"), status.alias("status"), F.lit(None).cast("string").alias("reason"), F.col("l_linenumber").cast("int").alias("created_at"))
+    return E.recover_journals(rows, F.lit(99)).drop("reason")
+
+
+@query("""
+SELECT o_orderkey AS task_id, CASE WHEN o_orderstatus = 'O' THEN 'recoverable' ELSE 'complete' END AS lifecycle, CASE WHEN o_orderstatus = 'O' THEN 'interrupted' ELSE phase END AS phase,
+  CASE WHEN o_orderstatus = 'O' THEN CASE phase WHEN 'parsing' THEN 'restart-parse' WHEN 'ocr' THEN 'restart-ocr' WHEN 'deriving-markdown' THEN 'restart-derivation' WHEN 'committing' THEN 'retry-commit' ELSE 'restart-scan' END END AS recovery_action
+FROM (SELECT *, ['scanning', 'parsing', 'ocr', 'deriving-markdown', 'committing'][1 + o_orderkey % 5] AS phase FROM orders)
+""")
+def recovered_tasks(spark, d):
+    phase = F.get(F.array(*map(F.lit, ["scanning", "parsing", "ocr", "deriving-markdown", "committing"])), (F.col("o_orderkey") % 5).cast("int"))
+    none = F.lit(None).cast("string")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.expr("CASE WHEN o_orderstatus = 'O' THEN 'running' ELSE 'complete' END").alias("lifecycle"), phase.alias("phase"), none.alias("recovery_action"), none.alias("failure_reason"), F.col("o_orderdate").alias("updated_at"))
+    return E.recover_tasks(rows, F.current_date()).drop("failure_reason", "updated_at")

@@ -56,3 +56,32 @@ def recover(jobs: DataFrame) -> DataFrame:
     """After a crash: running jobs failed, with the reason."""
     hit = F.col("status") == "running"
     return jobs.withColumn("error", F.when(hit, "interrupted").otherwise(F.col("error"))).withColumn("status", F.when(hit, "failed").otherwise(F.col("status")))
+
+
+#: What a task does again after it was interrupted, by the phase it was in (fixed values).
+AGAIN = {"parsing": "restart-parse", "ocr": "restart-ocr", "deriving-markdown": "restart-derivation", "committing": "retry-commit"}
+
+
+def recover_journals(journals: DataFrame, now) -> DataFrame:
+    """The journals with a ``failed`` entry for each unit that was prepared and has no end yet.
+
+    journals: task_id, unit_id, snapshot_digest, status, reason, created_at. A unit that
+    is prepared twice fails once; running it again changes nothing.
+    """
+    key = ["task_id", "unit_id", "snapshot_digest"]
+    ended = journals.where("status IN ('committed', 'failed')").select(*key).distinct()
+    open_ = journals.where("status = 'prepared'").select(*key).distinct().join(ended, key, "left_anti")
+    reason = F.lit("interrupted before its result was recorded")
+    return journals.unionByName(open_.select(*key, F.lit("failed").alias("status"), reason.alias("reason"), now.cast(journals.schema["created_at"].dataType).alias("created_at")))
+
+
+def recover_tasks(tasks: DataFrame, now) -> DataFrame:
+    """After a crash: running tasks can be recovered, by the action that their phase needs; others stay as they are.
+
+    tasks: task_id, lifecycle, phase, recovery_action, failure_reason, updated_at.
+    """
+    hit = F.col("lifecycle") == "running"
+    again = F.create_map(*[F.lit(x) for kv in AGAIN.items() for x in kv])
+    action = F.coalesce(F.try_element_at(again, F.col("phase")), F.lit("restart-scan"))
+    new = {"recovery_action": action, "failure_reason": F.concat_ws(" ", F.lit("interrupted in"), "phase"), "phase": F.lit("interrupted"), "lifecycle": F.lit("recoverable"), "updated_at": now.cast(tasks.schema["updated_at"].dataType)}
+    return tasks.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in tasks.columns])
