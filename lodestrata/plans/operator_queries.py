@@ -323,11 +323,11 @@ def nested_roots(spark, d):
 
 @query("""
 SELECT a.conv_id AS message_id, a.turn AS paragraph_no, e.turn AS sequence FROM conversations a JOIN conversations e USING (conv_id)
-WHERE contains(lower(regexp_replace(e.text, '\\s+', '', 'g')), lower(regexp_replace(substr(a.text, 1, 30), '\\s+', '', 'g')))
+WHERE contains(lower(regexp_replace(e.text, '\\s+', '', 'g')), lower(regexp_replace(string_split(a.text, '. ')[1], '\\s+', '', 'g')))
 """)
 def cited_evidence(spark, d):
     turns = table(spark, d, "conversations")
-    answers = turns.selectExpr("conv_id AS message_id", "turn AS paragraph_no", "substr(text, 1, 30) AS paragraph")
+    answers = turns.selectExpr("conv_id AS message_id", "turn AS paragraph_no", "split(text, '[.] ')[0] AS paragraph")
     evidence = turns.selectExpr("conv_id AS message_id", "conv_id AS document_id", "turn AS sequence", "text AS excerpt", "'b' AS block_content_sha256", "'c' AS content_sha256")
     return C.cite(answers, evidence).select("message_id", "paragraph_no", "sequence")
 
@@ -342,13 +342,21 @@ def reverified_citations(spark, d):
 JOBS = "jobs AS (SELECT event_id AS job_id, user_id AS vault_id, event_type AS reason, 'k' || (event_type = 'view') AS paths_key, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' WHEN 'view' THEN 'completed' ELSE 'pending' END AS status, ts AS created_at FROM events)"
 
 
+#: The same jobs dealt to many small vaults, so that some have no running and some no waiting job.
+DEALT = "dealt AS (SELECT * REPLACE (job_id % (SELECT count(*) // 4 FROM events) AS vault_id) FROM jobs)"
+
+
+def dealt(spark, d):
+    return jobs(spark, d).withColumn("vault_id", F.col("job_id") % (table(spark, d, "events").count() // 4))
+
+
 def jobs(spark, d):
     return table(spark, d, "events").selectExpr("event_id AS job_id", "user_id AS vault_id", "event_type AS reason", "'k' || (event_type = 'view') AS paths_key", "CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' WHEN 'view' THEN 'completed' ELSE 'pending' END AS status", "ts AS created_at")
 
 
-@query(f"WITH {JOBS} SELECT vault_id, min_by(job_id, created_at) AS job_id FROM jobs WHERE status = 'pending' AND vault_id NOT IN (SELECT vault_id FROM jobs WHERE status = 'running') GROUP BY 1")
+@query(f"WITH {JOBS}, {DEALT} SELECT vault_id, min_by(job_id, (created_at, job_id)) AS job_id FROM dealt WHERE status = 'pending' AND vault_id NOT IN (SELECT vault_id FROM dealt WHERE status = 'running') GROUP BY 1")
 def next_jobs(spark, d):
-    return Q.next_jobs(jobs(spark, d)).select("vault_id", "job_id")
+    return Q.next_jobs(dealt(spark, d)).select("vault_id", "job_id")
 
 
 @query(f"WITH {JOBS} SELECT vault_id, paths_key, job_id, reason FROM jobs QUALIFY row_number() OVER (PARTITION BY vault_id, paths_key ORDER BY created_at DESC, job_id DESC) = 1 AND status = 'failed'")
@@ -366,9 +374,9 @@ def queue_places(spark, d):
     return Q.in_turn(jobs(spark, d)).select("job_id", "place")
 
 
-@query(f"WITH {JOBS} SELECT DISTINCT r.vault_id, r.reason FROM jobs r WHERE r.status = 'failed' AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.status IN ('pending', 'running') AND j.vault_id = r.vault_id)")
+@query(f"WITH {JOBS}, {DEALT} SELECT DISTINCT r.vault_id, r.reason FROM dealt r WHERE r.status = 'failed' AND NOT EXISTS (SELECT 1 FROM dealt j WHERE j.status IN ('pending', 'running') AND j.vault_id = r.vault_id)")
 def queued_once(spark, d):
-    rows = jobs(spark, d)
+    rows = dealt(spark, d)
     same = rows.withColumns({"paths_key": F.lit("k"), "reason": F.lit("error")})
     return E.queue_once(same, same.where("status = 'failed'")).select("vault_id", "reason")
 
