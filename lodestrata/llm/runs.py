@@ -252,3 +252,28 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+#: Checksums byte by byte, the rewritten words, equal words of a text at each distance, stretches of such pairs, and of those the ones that no shorter period explains. Columns that hold nulls are read as floats on both sides.
+OP13_SQL = r"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+ids AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(hex(doc_id::VARCHAR), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM ids, tab),
+s AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents JOIN crc USING (doc_id)),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM s),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+r AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM p),
+u AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM r),
+m AS (SELECT l.doc_id, l.i, t.i - l.i AS q FROM u l JOIN u t ON l.doc_id = t.doc_id AND l.x = t.x AND t.i > l.i AND 4 * (t.i - l.i) <= l.n),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM m),
+c AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q AS period FROM o GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+f AS (SELECT * FROM c WHERE NOT EXISTS (FROM c y WHERE y.doc_id = c.doc_id AND y.period < c.period AND c.period % y.period = 0 AND y.start <= c.start AND y.start + y.length >= c.start + c.length)),
+found AS (SELECT doc_id, count(*) AS n_runs, arg_max({'s': start, 'l': length, 'p': period}, (length, -start, -period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM f GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM f),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM u WHERE NOT EXISTS (FROM gone WHERE gone.doc_id = u.doc_id AND gone.i = u.i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s::DOUBLE AS start, best.l::DOUBLE AS length, best.p::DOUBLE AS period, (1000 * best.l // best.p)::DOUBLE AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
