@@ -179,15 +179,16 @@ class Bpe:
         return " ".join(self.token[i] for i in ids)
 
 
-def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: str, text_col: str = "text", remember: int = 200_000) -> DataFrame:
     """Adds ``ids`` (little-endian unsigned 32-bit token ids of the whole text) and ``decoded`` to each row.
 
     Null counts as empty, and an empty text has no ids. Very long texts and words are
     encoded whole; repeated rows stay repeated; an empty table gives none. The input's
     columns stay as they are, even where they are named ``ids`` or ``decoded``: then
-    the new ones replace them.
+    the new ones replace them. A worker remembers twice ``remember`` encoded words at
+    most (some 350 bytes each), which saves time and changes no result.
     """
-    model = spark.sparkContext.broadcast(Bpe(vocabulary))  # as large as the vocabulary file, whatever the input
+    model = spark.sparkContext.broadcast(Bpe(vocabulary, remember))  # as large as the vocabulary file, whatever the input
     rest = [c for c in docs.columns if c not in ("ids", "decoded")]
     at = rest.index(text_col)
 
