@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and a hash of what they decode to."""
     ship(spark)
-    out = encode_texts(spark, docs.select("doc_id", "source", "text"), word_vocabulary())
+    out = encode_texts(spark, docs.select("doc_id", "source", "text"), word_vocabulary(), remember=60_000)  # workers hold what earlier stages left, too
     return out.select("doc_id", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
