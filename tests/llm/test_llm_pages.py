@@ -93,7 +93,10 @@ def test_the_main_block_is_that_of_brute_force():
 def test_time_is_linear_in_depth(shape):
     took = []
     for n in (8_000, 32_000):
-        began = time.perf_counter()
-        H.main_text(shape(n), 7, lambda asked: [False] * len(asked))
-        took.append(time.perf_counter() - began)
+        each = []
+        for _ in range(3):  # the best of three, as other work may slow any of them
+            began = time.perf_counter()
+            H.main_text(shape(n), 7, lambda asked: [False] * len(asked))
+            each.append(time.perf_counter() - began)
+        took.append(min(each))
     assert took[1] < 10 * max(took[0], 0.02) and took[1] < 5
