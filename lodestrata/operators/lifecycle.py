@@ -153,11 +153,38 @@ def refresh_snapshots(snapshots: DataFrame, frozen: DataFrame, current: DataFram
     return out.withColumn("invalid_reason", F.when(live, reason)).withColumn("status", F.when(live & reason.isNotNull(), "invalidated").otherwise(F.col("status"))).drop("moved", "policy_now")
 
 
+#: Vaults of one root that a cell of the pairs holds on either side.
+CELL = 4_096
+
+
 def overlapping_roots(vaults: DataFrame) -> DataFrame:
-    """Pairs of vaults with equal or nested roots; each root is joined to its ancestors."""
-    parts = F.split(F.lower("root_path"), "/")
-    above = vaults.select(F.col("vault_id").alias("inner_id"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("root"))
-    return above.join(vaults.select(F.col("vault_id").alias("outer_id"), F.lower("root_path").alias("root")), "root").where("inner_id <> outer_id").select("outer_id", "inner_id").distinct()
+    """Pairs of vaults with equal or nested roots; each root is joined to its ancestors.
+
+    Vaults of one root are all pairs, so the result grows with their square. A root's
+    pairs are dealt to tasks in cells of about ``CELL`` vaults by ``CELL``, and leave them
+    one by one: no pair is shuffled or held, but for outer vaults with several roots.
+    """
+    parts = F.split("root", "/")
+    rows = vaults.select("vault_id", F.lower("root_path").alias("root")).where("vault_id IS NOT NULL AND root IS NOT NULL").distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    inner = rows.select(F.col("vault_id").alias("inner_id"), F.explode(above).alias("root")).distinct()
+    outer = rows.join(rows.groupBy("vault_id").agg(F.count("*").alias("roots")), "vault_id").withColumnRenamed("vault_id", "outer_id")
+    # an outer vault with one root meets an inner one once
+    return _in_cells(inner, outer.where("roots = 1")).unionByName(_in_cells(inner, outer.where("roots > 1")).distinct())
+
+
+def _in_cells(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """outer_id, inner_id of each two different vaults that meet at a root."""
+    cells = lambda df, name: df.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias(name))
+    size = cells(inner, "across").join(cells(outer, "down"), "root")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = inner.join(size, "root").select("root", "inner_id", deal("inner_id", "across").alias("x"), each("down").alias("y"))
+    b = outer.join(size, "root").groupBy("root", "across", deal("outer_id", "down").alias("y")).agg(F.collect_list("outer_id").alias("outers")).select("root", each("across").alias("x"), "y", "outers")
+    # few bytes make many pairs, so the number of tasks is given
+    n, key = max(200, int(inner.sparkSession.conf.get("spark.sql.shuffle.partitions"))), ["root", "x", "y"]
+    pairs = a.repartition(n, *key).join(b.repartition(n, *key), key).select(F.explode("outers").alias("outer_id"), "inner_id")
+    return pairs.where("inner_id <> outer_id")
 
 
 def cite(answers: DataFrame, evidence: DataFrame) -> DataFrame:
