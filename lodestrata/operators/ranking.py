@@ -316,7 +316,15 @@ def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
 
 
 def version_candidates(new: DataFrame, known: DataFrame) -> DataFrame:
-    """For each new source the earliest known one of the same label and another content."""
-    k = known.select(F.lower("label").alias("key"), F.col("content_sha256").alias("other"), F.struct("created_at", "source_id").alias("s"))
-    best = new.withColumn("key", F.lower("label")).join(k, "key").where("other <> content_sha256").groupBy("source_id").agg(F.min("s").alias("s"))
+    """For each new source the earliest known one of the same label and another content.
+
+    Of a label's contents, the one that is known first and the next one are enough: a new
+    source takes the next only where the first is its own content.
+    """
+    each = known.groupBy(F.lower("label").alias("key"), F.col("content_sha256").alias("other")).agg(F.min(F.struct("created_at", "source_id")).alias("s")).where("other IS NOT NULL")
+    first = each.groupBy("key").agg(F.min(F.struct("s", "other")).alias("a"))
+    after = each.join(first, "key").where("other <> a.other").groupBy("key").agg(F.min("s").alias("b"))
+    two = first.join(after, "key", "left").select("key", F.col("a.s").alias("a"), F.col("a.other").alias("other"), "b")
+    fits = F.when(F.col("content_sha256") == F.col("other"), F.col("b")).when(F.col("content_sha256").isNotNull(), F.col("a"))
+    best = new.withColumn("key", F.lower("label")).join(two, "key").groupBy("source_id").agg(F.min(fits).alias("s"))
     return new.join(best.select("source_id", F.col("s.source_id").alias("version_of")), "source_id", "left")
