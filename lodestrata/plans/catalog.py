@@ -24,3 +24,8 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of few bytes with much work each, dealt to as many tasks as a shuffle has: a small file is one task else."""
+    return rows.repartition(max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
