@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -254,29 +257,42 @@ def note_stem(title: Column) -> Column:
 def unique_names(titles, key: str, order: str, title: str, taken: Column | None = None):
     """(key, order, name): a name for each title, in order; a name that is taken, case aside, gets the next free number.
 
-    A fold over one document's titles: a number may be taken by a title that holds it.
+    A fold over one document's titles: a number may be taken by a title that holds it. Names
+    that are equal but for case and numbers at their end are folded by themselves, as they
+    stream by; only the next number of each is remembered.
     """
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf(T.ArrayType(T.StringType()))
-    def number(stems, used):
-        import pandas as pd
-
-        def one(stems: list[str], used) -> list[str]:
-            gone, out = {u.casefold() for u in (used if used is not None else [])}, []
-            for stem in stems:
-                name, n = stem, 2
-                while name.casefold() in gone:
-                    name, n = f"{stem} ({n})", n + 1
-                gone.add(name.casefold())
-                out.append(name)
-            return out
-
-        return pd.Series([one(s, u) for s, u in zip(stems, used)])
+    numbers, last = re.compile(r"(?: \([0-9]+\))+\Z"), re.compile(r"(.*) \(([1-9][0-9]*)\)", re.S)
+
+    @F.arrow_udf(T.StringType())
+    def bare(stems: pa.Array) -> pa.Array:
+        return pa.array([numbers.sub("", s.casefold()) for s in stems.to_pylist()], pa.string())
+
+    def number(batches):
+        at, after = None, {}  # the next number of each name that is taken
+        for batch in batches:
+            of, _, base, stems, used = batch.columns
+            names = []
+            for group, stem, gone in zip(zip(of.to_pylist(), base.to_pylist()), stems.to_pylist(), used.to_pylist()):
+                if group != at:
+                    at, after = group, {u.casefold(): 2 for u in gone or []}
+                name = stem.casefold()
+                m = last.fullmatch(name)
+                if name not in after and not (m and 2 <= int(m[2]) < after.get(m[1], 0)):
+                    after[name] = 2
+                    names.append(stem)
+                    continue
+                n = after.get(name, 2)
+                while f"{name} ({n})" in after:
+                    n += 1
+                after[name] = n + 1
+                names.append(f"{stem} ({n})")
+            yield pa.RecordBatch.from_arrays([of, batch.column(1), pa.array(names, pa.string())], names=[key, order, "name"])
 
-    rows = titles.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), note_stem(F.col(title)).alias("s")))).alias("t"))
     used = taken if taken is not None else F.array().cast("array<string>")
-    return rows.select(key, F.explode(F.arrays_zip(F.col("t.o").alias("o"), number(F.col("t.s"), used).alias("name"))).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.name").alias("name"))
+    rows = titles.select(F.col(key), F.col(order), note_stem(F.col(title)).alias("__stem"), used.alias("__used"))
+    rows = rows.select(F.col(key), F.col(order), bare("__stem").alias("__base"), "__stem", "__used")
+    kinds = T.StructType([titles.schema[key], titles.schema[order], T.StructField("name", T.StringType())])
+    return rows.repartition(key, "__base").sortWithinPartitions(key, "__base", order, "__stem").mapInArrow(number, kinds)
 
 
 def column_letters(index: Column) -> Column:
