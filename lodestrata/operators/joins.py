@@ -87,11 +87,14 @@ def same_position(blocks: DataFrame, tolerance: float = 0.05, keys: list[str] =
     Rows: keys, block_id, page, text, x1, y1, x2, y2 and the page's width and height. Boxes
     are compared as shares of the page. Each is put into a cell of the tolerance's size and
     into its neighbours, so the join is on equal text and cell, with the exact distances after.
+    Blocks of one page with one text and box are one place: places meet, not blocks.
     """
     from lodestrata.functions.text import compare_key
 
     rel = {"rx": F.col("x1") / F.col("page_width"), "ry": F.col("y1") / F.col("page_height"), "sx": F.col("x2") / F.col("page_width"), "sy": F.col("y2") / F.col("page_height")}
-    rows = blocks.select(*keys, "block_id", "page", compare_key(F.col("text")).alias("key"), *[v.alias(k) for k, v in rel.items()])
+    place = [*keys, "key", "page", *rel]
+    blocks = blocks.select(*keys, "block_id", "page", compare_key(F.col("text")).alias("key"), *[v.alias(k) for k, v in rel.items()])
+    rows = blocks.select(*place).distinct()
     cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
     mine = rows.withColumns({"cx": cell("rx"), "cy": cell("ry")})
     around = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.col(c) + d)).alias(c)
@@ -100,7 +103,13 @@ def same_position(blocks: DataFrame, tolerance: float = 0.05, keys: list[str] =
     near = F.lit(True)
     for c in rel:
         near = near & (F.abs(F.col(c) - F.col(f"{c}2")) <= tolerance)
-    return mine.join(theirs, [*keys, "key", "cx", "cy"]).where((F.col("page") != F.col("page2")) & near).groupBy(*keys, "block_id").agg(F.count_distinct("page2").alias("pages"))
+    met = mine.join(theirs, [*keys, "key", "cx", "cy"]).where((F.col("page") != F.col("page2")) & near).select(*place, "page2").distinct()
+    # a block stands at one place; an id that stands at several has the pages of all
+    spots = blocks.groupBy(*keys, "block_id").agg(F.collect_set(F.struct(*place[len(keys) :])).alias("at"))
+    each = spots.select(*keys, "block_id", F.size("at").alias("spots"), F.explode("at").alias("at")).select(*keys, "block_id", "spots", "at.*")
+    one = each.where("spots = 1").join(met.groupBy(*place).agg(F.count("*").alias("pages")), place).select(*keys, "block_id", "pages")
+    several = each.where("spots > 1").join(met, place).groupBy(*keys, "block_id").agg(F.count_distinct("page2").alias("pages"))
+    return one.unionByName(several)
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -141,7 +141,7 @@ def test_equal_requests_are_read_once(spark):
 def test_places_meet_in_place_of_blocks(spark):
     from lodestrata.operators import joins as J
 
-    df = spark.range(3000).selectExpr("'g' AS graph_id", "id AS block_id", "id % 5 AS page", "'Head' AS text", "1.0 AS x1", "1.0 AS y1", "2.0 AS x2", "2.0 AS y2", "100.0 AS page_width", "100.0 AS page_height")
+    df = spark.range(3000).selectExpr("'g' AS graph_id", "id AS block_id", "id % 5 AS page", "'Head' AS text", "1D AS x1", "1D AS y1", "2D AS x2", "2D AS y2", "100D AS page_width", "100D AS page_height")
     more = spark.createDataFrame([("g", 1, 9, "head", 1.0, 1.0, 2.0, 2.0, 100.0, 100.0)], df.schema)  # an id that stands at two places
     out = J.same_position(df.unionByName(more))
     assert {r.block_id: r.pages for r in out.collect()} == {k: 6 if k == 1 else 5 for k in range(3000)}
@@ -174,7 +174,7 @@ def test_long_texts_are_not_all_python_strings_at_once():
     from lodestrata.functions import images as I
     from lodestrata.operators import provider as P
 
-    text = pa.array([f"{k} ![[a.png]] " + "word \n\n" * 1500 for k in range(5000)])  # 50 MB
+    text = pa.array([f"{k} ![[a.png]] " + "word words" * 1000 for k in range(5000)])  # 50 MB
     found = []
     assert _peak(lambda: found.append(I.image_references.func(text, pa.array(["n.md"] * 5000)))) < 25_000_000
     assert [r["source"].as_py() for r in found[0][7]["images"]] == ["a.png"] and len(found[0]) == 5000
