@@ -11,9 +11,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,9 @@ SENTENCE = re.compile(r"(?<=[.!?。！？])(?:[ \t]+|(?=\n))")
 TOKEN = re.compile(r"[㐀-鿿豈-﫿]|[A-Za-z0-9_]+|[^\s]")
 # End of fixed values.
 
+#: Letters of the texts that a task gives back at a time.
+LETTERS = 4_000_000
+
 BLANK, BACKTICKS, TILDES, TABLE, LIST, QUOTED, INDENTED, ROW, TITLE = (1 << k for k in range(9))
 
 
@@ -186,8 +192,18 @@ def provider_chunks(docs: DataFrame, key: str, text: str, least: int = LEAST, ta
 SPACE = r"[\s\x1c-\x1f\x85  　 ]"
 
 
+#: The characters of SPACE.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^(?U){SPACE}+|(?U){SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def _over(text: Column, most: int) -> Column:
+    """Whether the tokens of a text are more than ``most``; a token is one to three signs, so most texts need no count."""
+    signs = F.length(reduce(lambda t, c: F.replace(t, F.lit(c)), "\t\n\x0b\f\r ", text))
+    return F.when(F.length(text) <= most, F.lit(False)).when(signs > 3 * most, F.lit(True)).otherwise(X.provider_token_estimate(text) > most)
 
 
 def answer_state(answer: Column, units: Column) -> Column:
@@ -195,19 +211,24 @@ def answer_state(answer: Column, units: Column) -> Column:
 
     ``units`` are the texts of the chunk's units; at least one must come back, white space aside.
     """
-    text, flat = _stripped(answer), lambda c: F.regexp_replace(c, rf"(?U){SPACE}+", " ")
-    kept = F.exists(units, lambda u: (_stripped(u) != "") & F.contains(flat(text), flat(_stripped(u))))
-    shape = F.schema_of_variant(F.try_parse_json(text))
-    return (
-        F.when(answer.isNull(), "not-text")
-        .when(text == "", "empty")
-        .when(X.provider_token_estimate(text) > MOST_ANSWER, "too-long")
-        .when(F.coalesce(shape.rlike("^(?:OBJECT|ARRAY)"), F.lit(False)), "json")
-        .when(text.rlike(r"(?i)<!--\s*source[- ]unit\b"), "source-markers")
-        .when(F.coalesce(F.size(units), F.lit(0)) == 0, "no-source")
-        .when(~kept, "not-preserved")
-        .otherwise("ok")
-    )
+    let = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # evaluates x once
+    flat = lambda c: F.regexp_replace(c, rf"(?U){SPACE}+", " ")
+
+    def state(answer: Column, text: Column) -> Column:
+        kept = let(flat(text), lambda body: F.exists(units, lambda u: (_stripped(u) != "") & F.contains(body, flat(_stripped(u)))))
+        shape = F.schema_of_variant(F.try_parse_json(text))
+        return (
+            F.when(answer.isNull(), "not-text")
+            .when(text == "", "empty")
+            .when(_over(text, MOST_ANSWER), "too-long")
+            .when(F.coalesce(shape.rlike("^(?:OBJECT|ARRAY)"), F.lit(False)), "json")
+            .when(text.rlike(r"(?i)<!--\s*source[- ]unit\b"), "source-markers")
+            .when(F.coalesce(F.size(units), F.lit(0)) == 0, "no-source")
+            .when(~kept, "not-preserved")
+            .otherwise("ok")
+        )
+
+    return let(answer, lambda a: let(_stripped(a), lambda text: state(a, text)))
 
 
 def aligned_blocks(blocks: list[str], answer: str) -> list[tuple[str, bool]]:
@@ -260,10 +281,24 @@ def body_parts(markdown: str, weights: list[int]) -> list[str]:
 
 
 def note_bodies(answers: DataFrame, key: str, markdown: str = "markdown", weights: str = "weights") -> DataFrame:
-    """key, note (from 1), body: one Markdown text dealt to notes by the sizes of their sources."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def parts(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([body_parts(t or "", [*map(int, w)]) for t, w in zip(texts, sizes)])
-
-    return answers.select(key, F.posexplode(parts(markdown, weights)).alias("at", "body")).select(key, (F.col("at") + 1).alias("note"), "body")
+    """key, note (from 1), body: one Markdown text dealt to notes by the sizes of their sources. Texts are cut one by one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, note, body, letters = [], [], [], 0
+            for row in range(batch.num_rows):
+                parts = body_parts(batch.column(1)[row].as_py() or "", [*map(int, batch.column(2)[row].as_py())])
+                at += [row] * len(parts)
+                note += range(1, len(parts) + 1)
+                body += parts
+                letters += sum(map(len, parts))
+                if letters >= LETTERS:
+                    yield dealt(batch, at, note, body)
+                    at, note, body, letters = [], [], [], 0
+            yield dealt(batch, at, note, body)
+
+    def dealt(batch: pa.RecordBatch, at: list[int], note: list[int], body: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(note, pa.int32()), pa.array(body, pa.string())], names=[key, "note", "body"])
+
+    kinds = T.StructType([answers.schema[key], T.StructField("note", T.IntegerType()), T.StructField("body", T.StringType())])
+    return answers.select(key, markdown, weights).mapInArrow(cut, kinds)
