@@ -65,27 +65,39 @@ def find_images(text: str, path: str) -> list[dict]:
     return out
 
 
+#: Texts that a task turns into Python strings at a time.
+STEP = 500
+
+
+def _by_step(one, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``one`` of each row, a few rows at a time, so that a batch of long texts is not held as Python objects."""
+    parts = [pa.array([one(*row) for row in zip(*(c.slice(at, STEP).to_pylist() for c in columns))], kind) for at in range(0, len(columns[0]), STEP)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def _found(text: str | None, path: str | None) -> dict:
+    try:
+        return {"images": find_images(text or "", path or ""), "issue": None}
+    except Outside as e:
+        return {"images": [], "issue": str(e)}
+
+
 @F.arrow_udf(FOUND)
 def image_references(text: pa.Array, path: pa.Array) -> pa.Array:
     """Struct of the images of a text and an issue; a text with an unsafe image has no images and says why."""
-    out = []
-    for t, p in zip(text.to_pylist(), path.to_pylist()):
-        try:
-            out.append({"images": find_images(t or "", p or ""), "issue": None})
-        except Outside as e:
-            out.append({"images": [], "issue": str(e)})
     ref = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.string()), ("alt", pa.string()), ("syntax", pa.string())])
-    return pa.array(out, pa.struct([("images", pa.list_(ref)), ("issue", pa.string())]))
+    return _by_step(_found, pa.struct([("images", pa.list_(ref)), ("issue", pa.string())]), text, path)
 
 
 @F.arrow_udf(T.StringType())
 def _replaced(text: pa.Array, images: pa.Array) -> pa.Array:
-    def one(t: str, refs: list[dict]) -> str:
+    def one(t: str | None, refs: list[dict] | None) -> str:
+        t, refs = t or "", refs or []
         at = [0, *(r["end"] for r in refs)]
         embeds = ["![[" + "|".join(filter(None, (r["target"], r["alt"]))) + "]]" for r in refs] + [""]
         return "".join(t[a : r["start"] if r else len(t)] + e for a, r, e in zip(at, [*refs, None], embeds))
 
-    return pa.array([one(t or "", refs or []) for t, refs in zip(text.to_pylist(), images.to_pylist())], pa.string())
+    return _by_step(one, pa.string(), text, images)
 
 
 def rewrite_images(notes: DataFrame, targets: DataFrame, key: str, text: str = "text", path: str = "relative_path") -> DataFrame:
