@@ -36,8 +36,12 @@ def at_margin(margin: float = 0.1) -> Column:
 
 def furniture(blocks: DataFrame, margin: float = 0.1, most: int = 100) -> DataFrame:
     """Short margin paragraphs whose text stands on two pages or more: running heads and feet."""
-    near = blocks.where((F.col("kind") == "paragraph") & (F.length("text") <= most)).join(page_bounds(blocks), ["graph_id", "page"]).where(at_margin(margin)).withColumn("key", X.compare_key(F.col("text")))
-    often = near.groupBy("graph_id", "key").agg(F.count_distinct("page").alias("pages")).where("pages >= 2")
+    # the page's height comes by one sort of narrow rows, in place of a table of pages and a join
+    height = F.greatest(F.max("y2").over(W.partitionBy("graph_id", "page")), F.lit(1.0))
+    short = (F.col("kind") == "paragraph") & (F.length("text") <= most)
+    rows = blocks.where("graph_id IS NOT NULL AND page IS NOT NULL").select("graph_id", "page", "block_id", "y1", "y2", short.alias("short"), F.when(short, X.compare_key(F.col("text"))).alias("key"))
+    near = rows.withColumn("page_height", height).where("short").where(at_margin(margin)).select("graph_id", "page", "block_id", "key")
+    often = near.groupBy("graph_id", "key").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first <> last")
     return near.join(often, ["graph_id", "key"], "left_semi").select("graph_id", "block_id")
 
 
