@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,28 +126,61 @@ def stemmed(posts: DataFrame) -> DataFrame:
     return posts.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
-def _tag(field: str):
-    return lambda t: F.struct(F.lit(field).alias("field"), t.alias("term"))
-
-
-def stemmed_postings(rows: DataFrame, keys: list[str], fields: list[str], most_sent: int = 500_000) -> DataFrame:
+def _counted(batch: pa.RecordBatch, keys: list[str], fields: list[str]) -> pa.RecordBatch:
+    """A row per distinct term of a batch of blocks, in the order of terms: where it stands and how often."""
+    lists = [batch.column(f) for f in fields]
+    terms = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    row = np.concatenate([pc.list_parent_indices(x).to_numpy(zero_copy_only=False) for x in lists])
+    field = np.repeat(np.arange(len(fields)), [len(x.flatten()) for x in lists])
+    by_name = pc.sort_indices(terms.dictionary).to_numpy()
+    place = np.empty(len(by_name), np.int64)
+    place[by_name] = np.arange(len(by_name))
+    width = batch.num_rows * len(fields)
+    uses, tf = np.unique(place[terms.indices.to_numpy()] * width + row * len(fields) + field, return_counts=True)
+    first = np.searchsorted(uses, np.arange(len(by_name) + 1) * width)
+    row, field = uses % width // len(fields), uses % len(fields)
+    columns = [*(batch.column(k).take(pa.array(row)) for k in keys), pa.array(fields).take(pa.array(field)), pa.array(tf)]
+    at = pa.StructArray.from_arrays(columns, [*keys, "field", "tf"])
+    return pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(by_name)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), at)], ["term", "at"])
+
+
+def stemmed_postings(rows: DataFrame, keys: list[str], fields: list[str], most: int = 2_000_000) -> DataFrame:
     """(keys, field, term, tf) by stem, from columns of terms that are written already.
 
-    The distinct terms are stemmed first. Up to ``most_sent`` of them (some 30 MB) are
-    sent to all tasks, so that the terms of a block are counted by stem in one shuffle;
-    a larger vocabulary is joined to counted postings instead.
+    Nothing is shuffled for the counts: of some blocks with about ``most`` uses of terms
+    in all, each distinct term is counted and stemmed once. A block whose terms
+    share a stem has a row for each of them until the rows meet in ranges of the stem.
     """
-    from lodestrata.operators.lineage import cut
-
-    arrays = {f: F.col(f) for f in fields}
-    terms = rows.select(F.explode(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays.values()])).alias("term")).distinct()
-    stems = cut(terms.withColumn("stem", porter_stem(folded(F.col("term")))))
-    if stems.count() > most_sent:
-        posts = postings(rows, keys, arrays)
-        return posts.join(stems, "term").groupBy(*keys, "field", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    tagged = [F.transform(F.coalesce(a, F.array().cast("array<string>")), _tag(f)) for f, a in arrays.items()]
-    each = rows.select(*keys, F.explode(F.concat(*tagged)).alias("t")).select(*keys, "t.*")
-    return each.join(F.broadcast(stems), "term").groupBy(*keys, "field", F.col("stem").alias("term")).agg(F.count("*").alias("tf"))
+    terms = [F.coalesce(F.filter(f, lambda t: t.isNotNull()), F.array().cast("array<string>")).alias(f) for f in fields]
+    rows = rows.select(*keys, *terms)
+    inner = ", ".join(f"`{k}`: {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                held.append(batch.slice(start, 1000))
+                n += sum(len(held[-1].column(f).flatten()) for f in fields)
+                if n >= most:
+                    yield _counted(pa.concat_batches(held), keys, fields)
+                    held, n = [], 0
+        if held:
+            yield _counted(pa.concat_batches(held), keys, fields)
+
+    counted = rows.mapInArrow(count, f"term string, at array<struct<{inner}, field: string, tf: bigint>>")
+    # stems stand below the explosion, so that they are not made for each use of a term
+    posts = counted.withColumn("term", porter_stem(folded(F.col("term")))).select("term", F.explode("at").alias("p")).select(*[f"p.{k}" for k in keys], "p.field", "term", "p.tf")
+    return _merged(posts, keys)
+
+
+def _merged(posts: DataFrame, keys: list[str]) -> DataFrame:
+    """Equal postings become one, in ranges of the term and sorted by it. The ranges are found in rows that are written first."""
+    from lodestrata.operators.lineage import written
+
+    same = W.partitionBy("term", *keys, "field")
+    ranged = written(posts).repartitionByRange("term")
+    one = ranged.withColumn("n", F.row_number().over(same.orderBy("tf"))).withColumn("tf", F.sum("tf").over(same)).where("n = 1")
+    return one.select(*keys, "field", "term", "tf")
 
 
 def weighted_length(fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as X
 from lodestrata.operators import ranking as R
 from lodestrata.operators.chunking import chunk_markdown
-from lodestrata.operators.lineage import cut
+from lodestrata.operators.lineage import cut, written
 
 
 FIELDS = ["en", "cjk", "heading", "tag"]
@@ -21,17 +21,18 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dic
 
     blocks: document_id, sequence, text and the weighted length. terms: what blocks hold
     (document_id, sequence, field, stem, tf), in ranges of the stem, so that a question
-    reads the row groups of its own stems; they are made once before the ranges are found. vocabulary: CJK words of all headings.
+    reads the row groups of its own stems. vocabulary: CJK words of all headings.
     """
-    chunks = chunk_markdown(docs, key, text)
-    rows = chunks.withColumn("document_id", F.col(key)).withColumn("retrieval_text", F.concat_ws("\n", F.when(F.col("contextual_prefix") != "", F.col("contextual_prefix")), "text")).withColumn("tags", F.array().cast("array<string>"))
+    chunks = chunk_markdown(docs, key, text).select(F.col(key).alias("document_id"), "sequence", "text", "heading_path", "contextual_prefix")
+    retrieval_text = F.concat_ws("\n", F.when(F.col("contextual_prefix") != "", F.col("contextual_prefix")), "text")
+    tagged = lambda rows: rows.withColumn("retrieval_text", retrieval_text).withColumn("tags", F.array().cast("array<string>"))
     fields = R.index_fields()
-    rows = cut(rows.select("document_id", "sequence", "text", "heading_path", *[v.alias(k) for k, v in fields.items()]))
-    arrays = {f: F.col(f) for f in FIELDS}
-    blocks = rows.select("document_id", "sequence", "text", R.weighted_length(arrays).alias("length"))
-    posts = R.stemmed_postings(rows, ["document_id", "sequence"], FIELDS)
+    # terms are made twice, as to write them with the blocks takes more bytes than the texts
+    rows = written(tagged(chunks).withColumns(fields).withColumn("length", R.weighted_length({f: F.col(f) for f in FIELDS})).select(*chunks.columns, "length"))
+    blocks = rows.select("document_id", "sequence", "text", "length")
+    posts = R.stemmed_postings(tagged(rows).withColumns(fields), ["document_id", "sequence"], FIELDS)
     vocabulary = rows.where(F.size("heading_path") > 0).select(F.explode(X.cjk_vocabulary(F.col("heading_path"))).alias("word")).distinct()
-    return {"blocks": blocks, "terms": cut(posts).repartitionByRange("term").sortWithinPartitions("term"), "vocabulary": vocabulary}
+    return {"blocks": blocks, "terms": posts.sortWithinPartitions("term"), "vocabulary": vocabulary}
 
 
 def question_terms(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def ask(index: dict[str, DataFrame], questions: DataFrame, k: int = 8) -> DataFr
     posts = index["terms"].where(F.col("term").isin(stems))  # pushed down to the files
     scores = R.bm25(posts, blocks.select(*keys, "length"), asked, keys)
     best = R.top_k(scores, k, keys).withColumnRenamed("rank", "place")
-    return R.pack(best.join(blocks.select(*keys, "text"), keys), k)
+    return R.pack(blocks.select(*keys, "text").join(F.broadcast(best), keys), k)  # k blocks for each question
 
 
 def answer(docs: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
@@ -64,8 +65,10 @@ def answer(docs: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
 
     spark = docs.sparkSession
     tables = VersionedTables(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
-    tables.write(build_index(docs))
-    return ask({name: tables.read(name) for name in ("blocks", "terms", "vocabulary")}, questions, k)
+    index = build_index(docs)
+    lists = ("terms", "vocabulary")
+    tables.write({name: index[name] for name in lists})
+    return ask({"blocks": index["blocks"], **{name: tables.read(name) for name in lists}}, questions, k)  # the blocks stand in the folder already
 
 
 def questions_of(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:

@@ -140,3 +140,20 @@ def test_duplicate_clusters_of_page_headings(spark, tmp_path):
     assert {(0, 0), (1, 0), (3, 3), (4, 3), (139, 100)} <= want
     got = QUERIES["duplicate_clusters"](spark, str(tmp_path)).collect()
     assert {(r.ordinal, r.cluster) for r in got} == want
+
+
+def test_an_index_moves_texts_twice_and_its_postings_once(spark):
+    import re
+
+    from lodestrata.operators import ranking as R
+    from lodestrata.operators.chunking import chunk_markdown
+
+    plan = lambda df: re.findall(r"Exchange (\w+)", df._jdf.queryExecution().executedPlan().toString())
+    docs = spark.createDataFrame([(k, "# Head\n\nsome runs\n\n* running\n") for k in range(20)], "doc_id long, text string")
+    assert plan(chunk_markdown(docs)) == ["hashpartitioning"] * 2
+    rows = spark.range(2500).select(F.col("id").alias("k"), F.expr("array('runs', 'running', concat('w', id % 700), null)").alias("a"), F.expr("if(id % 3 = 0, array('Ran', 'ran'), null)").alias("b")).coalesce(1)
+    want = sorted(map(tuple, R.stemmed(R.postings(rows, ["k"], {"a": F.col("a"), "b": F.col("b")})).where("term IS NOT NULL").select("k", "field", "term", "tf").collect()))
+    for most in (1, 3000, 10**6):
+        posts = R.stemmed_postings(rows, ["k"], ["a", "b"], most)
+        assert plan(posts) == ["rangepartitioning"]
+        assert sorted(map(tuple, posts.select("k", "field", "term", "tf").collect())) == want
