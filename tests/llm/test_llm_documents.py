@@ -244,6 +244,24 @@ def test_recall_of_near_passages_against_all_pairs(spark):
     assert not [i for i in got if i >= 1000]
 
 
+def test_near_passages_of_small_groups_are_linked_pair_by_pair(spark):
+    """Of four near passages each pair at the threshold has a row, not only those with the first of a list."""
+    rng, docs = np.random.default_rng(31), {}
+    for g in range(20):
+        core = text(6000 + g, 100)
+        for m in range(4):
+            t = list(core)
+            for k in rng.choice(len(t), 2, replace=False):
+                t[k] = f"edit{g}x{m}"
+            docs[10 * g + m] = text(6100 + 10 * g + m, 40) + t + text(6400 + 10 * g + m, 40)
+    grams = {i: substring.shingle_hashes(substring.word_hashes(" ".join(t).encode()), 5) for i, t in docs.items()}
+    wanted = {(a, b) for a, b in combinations(sorted(docs), 2) if a // 10 == b // 10 and substring.passages_in_common(grams[a], grams[b], 46, 80)}
+    got = substring.shared_passages(spark, spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")).collect()
+    linked = {(min(r.id, r.partner), max(r.id, r.partner)) for r in got}
+    assert len(wanted) > 60 and len(linked & wanted) >= 0.95 * len(wanted), (len(linked & wanted), len(wanted))
+    assert all(a // 10 == b // 10 for a, b in linked) and all(r.similarity >= 0.8 for r in got)
+
+
 def test_compact_windows_cover_each_passage_once():
     h = np.random.default_rng(3).integers(0, 50, 60).astype(np.uint64)
     assert substring.repeats(h[:1]) is None and substring.repeats(h).tolist() == [(h == x).sum() > 1 for x in h]
