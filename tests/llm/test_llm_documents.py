@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import exact_dedup, mixing, ngram_join, sharding, substring
+from lodestrata.llm import exact_dedup, mixing, ngram_join, sharding, shingles, substring
 from lodestrata.llm.shingles import parity_bits, shingle_set
 
 WORDS = [f"w{k}" for k in range(4000)]
@@ -272,6 +272,43 @@ def test_compact_windows_cover_each_passage_once():
             assert len(holds) == 1 and h[holds[0][1]] == h[i : j + 1].min()
 
 
+def test_windows_of_many_documents_are_those_of_each():
+    rng = np.random.default_rng(5)
+    for distinct in (3, 30, 2**60):
+        docs = [rng.integers(0, distinct, n).astype(np.uint64) for n in (40, 0, 7, 8, 200, 1)]
+        ends = np.cumsum([len(d) for d in docs])
+        l, c, r, doc = substring.windows_of_all(np.concatenate(docs), ends, 8)
+        at = (ends - [len(d) for d in docs])[doc]
+        want = sorted((k, *w) for k, d in enumerate(docs) for w in substring.compact_windows(d, 8, substring.repeats(d)))
+        assert sorted(zip(doc.tolist(), (l - at).tolist(), (c - at).tolist(), (r - at).tolist())) == want
+
+
+def test_words_and_runs_are_hashed_in_few_passes(monkeypatch):
+    texts = [None, b"", b" \x0b", b"A a\tB\x1fb \x00a", " ".join(text(7, 300)).encode(), "é \u0085 é".encode()]
+    for piece in (1, 50, 1 << 16):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        hashes, many = shingles.word_hashes_of(texts)
+        words = [w for t in texts for w in (t or b"").lower().split()]
+        assert many.tolist() == [len((t or b"").split()) for t in texts] and len(set(zip(hashes.tolist(), words))) == len(set(words)) == len(set(hashes.tolist()))
+    for size in (1, 5, 23, 46, 400):
+        run = min(size, len(hashes))
+        plain = [sum(int(w) * pow(int(shingles.STEP), run - 1 - j, 2**64) for j, w in enumerate([int(hashes[s]) + run, *hashes[s + 1 : s + run].tolist()])) % 2**64 for s in range(len(hashes) - run + 1)]
+        x = np.array(plain, np.uint64)
+        x = (x ^ (x >> np.uint64(31))) * shingles.STEP
+        assert np.array_equal(shingles.shingle_hashes(hashes, size), x ^ (x >> np.uint64(29)))
+
+
+def test_regions_of_one_pair_are_joined_in_one_task(spark):
+    """Windows on one diagonal make one region; another diagonal, another place and a single hash function make none or their own."""
+    w = lambda i, k, l, r, hub, d: (i, l << 32 | r, (l + 3) << 8 | k, hub, l + d << 32 | r + d, (l + 3 + d) << 8 | k)
+    rows = [w(2, 0, 10, 70, 1, 5), w(2, 1, 12, 75, 1, 5), w(2, 0, 300, 360, 1, 5), w(2, 2, 301, 365, 1, 5), w(2, 0, 10, 70, 1, 900), w(3, 0, 10, 70, 1, 5), w(3, 0, 12, 70, 1, 5)]
+    met = spark.createDataFrame(rows, "id long, lr long, ck long, h_id long, h_lr long, h_ck long")
+    got = substring._regions(met, 46, 2, 80)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(2, 1, 12, 70, 0, 127), (2, 1, 301, 360, 256, 383)]
+    assert substring._regions(met.limit(0), 46, 2, 80).count() == 0
+
+
 def test_shards(spark, rows, table, empty):
     got = sharding.shards_by_bytes(spark, table, shards=4).collect()
     size = lambda t: len((t or "").encode()) + 1
