@@ -3,7 +3,8 @@
 A word's merges run on a segment tree over the ranks of its adjacent pairs: the
 root holds the lowest rank, and of equal ranks the leftmost pair. A merge changes
 three leaves, each in logarithmic time, until the root shows that no pair merges.
-Words recur, so each task remembers a bounded number of encoded words.
+Words recur, so each task remembers a bounded number of encoded words. New words of a
+few texts are merged side by side, each in a row of one table of such trees.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -40,12 +42,17 @@ LOWER = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0x
 
 
 @functools.cache
-def newer() -> tuple[re.Pattern, dict[int, int], regex.Pattern]:
-    """For texts with such letters: a pattern that finds them, a table that lower-cases them, and the split."""
+def newer() -> tuple[np.ndarray, dict[int, int], regex.Pattern]:
+    """For texts with such letters: which code points they are, a table that lower-cases them, and the split."""
     spans = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in SIGNS.split())
     lower = {x: x + d for a, b, d in LOWER for x in range(a, b + 1)}
     split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{spans}]]+|[\p{{N}}--[{spans}]]|(?:[^\s\p{{L}}\p{{N}}]|[{spans}])+", regex.V1)
-    return re.compile("[" + spans + "".join(map(chr, lower)) + "]"), lower, split
+    marked = np.zeros(0x110000, bool)
+    marked[list(lower)] = True
+    for r in SIGNS.split():
+        ends = [int(x, 16) for x in r.split("-")]
+        marked[ends[0] : ends[-1] + 1] = True
+    return marked, lower, split
 
 
 def byte_letters() -> list[str]:
@@ -87,6 +94,32 @@ class RankTree:
         return -1 if self.tree[1] == NONE else self.tree[1] % self.size
 
 
+class RankTrees:
+    """A ``RankTree`` of one size for each word, one a row."""
+
+    def __init__(self, ranks: np.ndarray):
+        words, size = ranks.shape
+        self.size, self.tree = size, np.full((words, 2 * size), NONE)
+        self.tree[:, size:] = np.where(ranks == NONE, NONE, ranks * size + np.arange(size))
+        while size > 1:
+            size >>= 1
+            self.tree[:, size : 2 * size] = np.minimum(self.tree[:, 2 * size : 4 * size : 2], self.tree[:, 2 * size + 1 : 4 * size : 2])
+
+    def set(self, rows: np.ndarray, i: np.ndarray, ranks: np.ndarray) -> None:
+        flat, at = self.tree.reshape(-1), rows * (2 * self.size)
+        node = self.size + i
+        flat[at + node] = np.where(ranks == NONE, NONE, ranks * self.size + i)
+        for _ in range(self.size.bit_length() - 1):
+            node >>= 1
+            below = at + 2 * node
+            flat[at + node] = np.minimum(flat[below], flat[below + 1])
+
+    def lowest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in which a pair merges, the leftmost pair of lowest rank, and that rank."""
+        rows = np.flatnonzero(self.tree[:, 1] != NONE)
+        return rows, self.tree[rows, 1] % self.size, self.tree[rows, 1] // self.size
+
+
 class Bpe:
     """Encoder and decoder for a vocabulary file with word-end marks; plain data, so it can be broadcast."""
 
@@ -103,6 +136,9 @@ class Bpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a] << 20 | vocab[b]] = rank
             self.made.append(vocab[a + b])
+        pairs = np.array(list(self.rank), np.int64)
+        self.order = pairs.argsort()
+        self.pairs, self.products = pairs[self.order], np.array(self.made, np.int64)
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.end] for c in letters]
@@ -135,6 +171,58 @@ class Bpe:
                 tree.set(h, rank(ids[h] << 20 | new, NONE))
         return [x for x in ids if x >= 0]
 
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NONE where the pair does not merge or an id is -1."""
+        keys = a << 20 | b
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.order[at], NONE)
+
+    def many_ids(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word with its ids, as ``word_ids`` gives them, in any order."""
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for w in words:
+            raw = w.encode()
+            by_size.setdefault(1 << max(len(raw) - 2, 0).bit_length(), []).append((w, raw))
+        inner, last = np.array(self.inner), np.array(self.last)
+        for size, group in by_size.items():
+            n = np.array([len(raw) for _, raw in group])
+            raw = np.frombuffer(b"".join(raw for _, raw in group), np.uint8)
+            ids = np.full((len(group), size + 2), -1)
+            ids[np.arange(size + 2) < n[:, None]] = inner[raw]
+            ids[np.arange(len(group)), n - 1] = last[raw[n.cumsum() - 1]]
+            after, before = (np.tile(np.arange(d, size + 2 + d), (len(group), 1)) for d in (1, -1))
+            trees = RankTrees(self.ranks(ids[:, :size], ids[:, 1 : size + 1]))
+            while True:
+                rows, i, rank = trees.lowest()
+                if not len(rows):
+                    break
+                new, j = self.products[rank], after[rows, i]
+                k = after[rows, j]
+                ids[rows, i], ids[rows, j], after[rows, i] = new, -1, k
+                inside = k < n[rows]
+                before[rows[inside], k[inside]] = i[inside]
+                trees.set(rows[inside], j[inside], np.full(int(inside.sum()), NONE))
+                trees.set(rows, i, self.ranks(new, ids[rows, k]))
+                h = before[rows, i]
+                left = h >= 0
+                trees.set(rows[left], h[left], self.ranks(ids[rows[left], h[left]], new[left]))
+            yield from zip((w for w, _ in group), ([x for x in row if x >= 0] for row in ids.tolist()))
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes the words that are not known yet; a few, or long ones, are left to be encoded one by one."""
+        new = [w for w in words.difference(self.young) if w not in self.old and len(w) <= 64]
+        if len(new) < 32:
+            return
+        for at in range(0, len(new), 4096):
+            for w, ids in self.many_ids(new[at : at + 4096]):
+                self.keep(w, (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)))
+
+    def keep(self, word: str, out: tuple[bytes, str]) -> None:
+        # two generations: words that recur move on, the rest is forgotten
+        if len(self.young) >= self.remember:
+            self.young, self.old = {}, self.young
+        self.young[word] = out
+
     def encoded(self, word: str) -> tuple[bytes, str]:
         """A word's ids as little-endian 32-bit integers, and its tokens as text."""
         if (out := self.young.get(word)) is None:
@@ -142,10 +230,7 @@ class Bpe:
                 ids = self.word_ids(word)
                 out = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
             if len(word) <= 64:
-                # two generations: words that recur move on, the rest is forgotten
-                if len(self.young) >= self.remember:
-                    self.young, self.old = {}, self.young
-                self.young[word] = out
+                self.keep(word, out)
         return out
 
     def words(self, text: str) -> list[str]:
@@ -154,26 +239,48 @@ class Bpe:
         text = unicodedata.normalize("NFC", text)
         # lower case letter by letter: str.lower would look at a sigma's neighbours
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        some, lower, split = newer()
-        return split.findall(text.translate(lower)) if some.search(text) else SPLIT.findall(text)
+        marked, lower, split = newer()
+        some = marked[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
+        return split.findall(text.translate(lower)) if some else SPLIT.findall(text)
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """The whole text's ids as little-endian 32-bit integers, and the decoded text. Marks of the vocabulary are split off first."""
+    def parts(self, text: str | None) -> list[str | list[str]]:
+        """Marks of the vocabulary, and between them lists of words."""
         text = text or ""
         parts = [text]
         if any(s in text for s in self.special):
             parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
+        return [p if p in self.special else self.words(p) for p in parts]
+
+    def joined(self, parts: list[str | list[str]]) -> tuple[bytes, str]:
         packed, tokens = [], []
+        known, encoded = self.young.get, self.encoded
         for part in parts:
-            if part in self.special:
+            if isinstance(part, str):
                 packed.append(struct.pack("<I", self.special[part])), tokens.append(part)
             else:
-                known, encoded = self.young.get, self.encoded
-                done = [known(w) or encoded(w) for w in self.words(part)]
+                done = [known(w) or encoded(w) for w in part]
                 packed += [d[0] for d in done]
                 tokens += [d[1] for d in done]
         return b"".join(packed), " ".join(tokens)
 
+    def encode(self, text: str | None) -> tuple[bytes, str]:
+        """The whole text's ids as little-endian 32-bit integers, and the decoded text. Marks of the vocabulary are split off first."""
+        return self.joined(self.parts(text))
+
+    def encode_all(self, texts: list[str | None], words: int = 50_000) -> Iterator[tuple[bytes, str]]:
+        """As ``encode`` for each text, but texts of about so many words learn their new words together."""
+        waiting, new, held = [], set(), 0
+        for k, text in enumerate(texts):
+            waiting.append(self.parts(text))
+            for part in waiting[-1]:
+                if not isinstance(part, str):
+                    new.update(part)
+                    held += len(part)
+            if held > words or k + 1 == len(texts):
+                self.learn(new)
+                yield from map(self.joined, waiting)
+                waiting, new, held = [], set(), 0
+
     def decode(self, ids: list[int]) -> str:
         """Tokens parted by spaces, as the vocabulary names no decoder of its own."""
         return " ".join(self.token[i] for i in ids)
@@ -195,7 +302,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model.value
         for batch in small(batches):
-            done = [bpe.encode(t) for t in batch.column(at).to_pylist()]
+            done = list(bpe.encode_all(batch.column(at).to_pylist()))
             columns = [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*rest, "ids", "decoded"])
 

@@ -58,6 +58,19 @@ def test_encoding_of_awkward_texts(spark, coder, reference, vocabulary):
     assert bpe.encode_texts(spark, df.limit(0), vocabulary).count() == 0
 
 
+def test_new_words_are_merged_side_by_side(vocabulary, monkeypatch):
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnoprstué漢ж")
+    texts = [" ".join("".join(rng.choice(letters, int(rng.integers(1, 30)))) for _ in range(60)) for _ in range(40)] + [None, "", "<|endoftext|>a", "x" * 200, "Ա Ɐ \u1c89 \U00010940a"]
+    want = [bpe.Bpe(vocabulary).encode(t) for t in texts]
+    for remember in (10, 200_000):
+        few, alone, calls = bpe.Bpe(vocabulary, remember), bpe.Bpe.word_ids, []
+        monkeypatch.setattr(bpe.Bpe, "word_ids", lambda self, w: calls.append(w) or alone(self, w))
+        assert list(few.encode_all(texts)) == want
+        monkeypatch.undo()
+    assert len(calls) < 20 and list(few.encode_all([])) == []
+
+
 def toxic_tables(spark, n=600):
     rng = np.random.default_rng(1)
     plain = [f"word{k}" for k in range(300)]
