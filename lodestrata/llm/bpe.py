@@ -3,8 +3,9 @@
 A word's merges run on a segment tree over the ranks of its adjacent pairs: the
 root holds the lowest rank, and of equal ranks the leftmost pair. A merge changes
 three leaves, each in logarithmic time, until the root shows that no pair merges.
-Words recur, so each task remembers a bounded number of encoded words. New words of a
-few texts are merged side by side, each in a row of one table of such trees.
+Words recur, so each task remembers a bounded number of encoded words, those that came
+before. New words of a few texts are merged side by side, each in a row of one table of
+such trees.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import read, small
 
 NONE = 1 << 62
+#: Marks of words that came before; a word whose mark another has set is only remembered sooner.
+MARKS = 1 << 20
 #: The word split of this vocabulary (fixed values), for any text and for pure ASCII.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z]+|[0-9]|[^ \t-\ra-zA-Z0-9]+")
@@ -145,6 +148,8 @@ class Bpe:
         self.remember = remember
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
+        self.fresh: dict[str, tuple[bytes, str]] = {}  # words of the texts in hand that came for the first time
+        self.came = bytearray()
 
     def word_ids(self, word: str) -> list[int]:
         raw = word.encode()
@@ -215,17 +220,27 @@ class Bpe:
             return
         for at in range(0, len(new), 4096):
             for w, ids in self.many_ids(new[at : at + 4096]):
-                self.keep(w, (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)))
-
-    def keep(self, word: str, out: tuple[bytes, str]) -> None:
+                out = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+                if not self.keep(w, out) and len(self.fresh) < self.remember:
+                    self.fresh[w] = out
+
+    def keep(self, word: str, out: tuple[bytes, str]) -> bool:
+        """Remembers a word that came before: most words of junk never come again."""
+        if not self.came:
+            self.came = bytearray(MARKS)
+        mark = hash(word) % MARKS
+        if not self.came[mark]:
+            self.came[mark] = 1
+            return False
         # two generations: words that recur move on, the rest is forgotten
         if len(self.young) >= self.remember:
-            self.young, self.old = {}, self.young
+            self.young, self.old, self.came = {}, self.young, bytearray()
         self.young[word] = out
+        return True
 
     def encoded(self, word: str) -> tuple[bytes, str]:
         """A word's ids as little-endian 32-bit integers, and its tokens as text."""
-        if (out := self.young.get(word)) is None:
+        if (out := self.young.get(word)) is None and (out := self.fresh.get(word)) is None:
             if (out := self.old.get(word)) is None:
                 ids = self.word_ids(word)
                 out = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
@@ -280,35 +295,39 @@ class Bpe:
                 self.learn(new)
                 yield from map(self.joined, waiting)
                 waiting, new, held = [], set(), 0
+                self.fresh.clear()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens parted by spaces, as the vocabulary names no decoder of its own."""
         return " ".join(self.token[i] for i in ids)
 
 
-def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: str, text_col: str = "text", remember: int = 200_000) -> DataFrame:
+def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: str, text_col: str = "text", remember: int = 200_000, keep_text: bool = True) -> DataFrame:
     """Adds ``ids`` (little-endian unsigned 32-bit token ids of the whole text) and ``decoded`` to each row.
 
     Null counts as empty, and an empty text has no ids. Very long texts and words are
     encoded whole; repeated rows stay repeated; an empty table gives none. The input's
     columns stay as they are, even where they are named ``ids`` or ``decoded``: then
-    the new ones replace them. A worker remembers twice ``remember`` encoded words at
-    most (some 350 bytes each), which saves time and changes no result.
+    the new ones replace them. Without ``keep_text`` the text itself is left out and
+    doesn't travel back from Python. A worker remembers twice ``remember`` encoded words
+    at most (some 350 bytes each), which saves time and changes no result.
     """
     model = spark.sparkContext.broadcast(Bpe(vocabulary, remember))  # as large as the vocabulary file, whatever the input
     rest = [c for c in docs.columns if c not in ("ids", "decoded")]
     at = rest.index(text_col)
+    stay = [k for k, c in enumerate(rest) if keep_text or c != text_col]
+    names = [*(rest[k] for k in stay), "ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model.value
         for batch in small(batches):
             done = list(bpe.encode_all(batch.column(at).to_pylist()))
             columns = [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*rest, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in stay), *columns], names=names)
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    schema = T.StructType([docs.schema[rest[k]] for k in stay] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
     return docs.select(*rest).mapInArrow(run, schema)
 
 
@@ -319,7 +338,7 @@ def word_vocabulary() -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode_texts(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary())
+    out = encode_texts(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary(), keep_text=False)
     return out.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -71,6 +71,16 @@ def test_new_words_are_merged_side_by_side(vocabulary, monkeypatch):
     assert len(calls) < 20 and list(few.encode_all([])) == []
 
 
+def test_words_that_came_once_are_not_held(spark, vocabulary):
+    rng = np.random.default_rng(10)
+    texts = ["".join(map(chr, rng.integers(97, 123, 40))) + " often" for _ in range(2000)]
+    coder, fresh = bpe.Bpe(vocabulary), bpe.Bpe(vocabulary)
+    assert list(fresh.encode_all(texts, words=200)) == [coder.encode(t) for t in texts]
+    assert "often" in fresh.young and len(fresh.young) + len(fresh.old) + len(fresh.fresh) < 100
+    out = bpe.encode_texts(spark, spark.createDataFrame([(1, "one text")], "doc_id long, text string"), vocabulary, keep_text=False)
+    assert out.columns == ["doc_id", "ids", "decoded"] and bytes(out.first().ids) == coder.encode("one text")[0]
+
+
 def toxic_tables(spark, n=600):
     rng = np.random.default_rng(1)
     plain = [f"word{k}" for k in range(300)]

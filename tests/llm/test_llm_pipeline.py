@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,25 @@ def test_encoding_covers_the_mix(stages):
         assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_python_gets_few_rows_at_once(spark):
+    """Ten thousand texts at once, in the JVM and in Python, took an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    docs = spark.range(2500).selectExpr("id AS doc_id", "'one text' AS text", "'en' AS lang", "'s' AS source", "8 AS n_chars").coalesce(1)
+    try:
+        for given, most in (("10000", 1000), ("0", 1000), ("300", 300)):
+            spark.conf.set(key, given)
+            assert P.encode(spark, docs, DATA).count() == 2500
+            assert max(r.n for r in docs.mapInArrow(rows, "n long").collect()) == most
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_awkward_rows(spark, tmp_path):
     """Nulls in all columns, empty texts, repeated ids with other texts, clashing names; then no rows at all."""
     words = lambda k: " ".join(np.random.default_rng(k).choice([f"w{j}" for j in range(500)], 60))
