@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions import text as X
 from lodestrata.operators.filters import eligible
@@ -155,6 +159,11 @@ def refresh_snapshots(snapshots: DataFrame, frozen: DataFrame, current: DataFram
 
 #: Vaults of one root that a cell of the pairs holds on either side.
 CELL = 4_096
+#: Outer vaults that neighbouring rows go through for one inner vault after another. Parquet packs numbers by 8 and, between its
+#: marks, by 504; a divisor of both kinds repeats byte by byte in a file, and so takes next to no room.
+RUN = 168
+#: About so many pairs leave a cell at once.
+PAIRS = 1 << 16
 
 
 def overlapping_roots(vaults: DataFrame) -> DataFrame:
@@ -162,7 +171,8 @@ def overlapping_roots(vaults: DataFrame) -> DataFrame:
 
     Vaults of one root are all pairs, so the result grows with their square. A root's
     pairs are dealt to tasks in cells of about ``CELL`` vaults by ``CELL``, and leave them
-    one by one: no pair is shuffled or held, but for outer vaults with several roots.
+    in batches: no pair is shuffled or held, but for outer vaults with several roots. Rows come
+    in an order that takes little room where they are written.
     """
     parts = F.split("root", "/")
     rows = vaults.select("vault_id", F.lower("root_path").alias("root")).where("vault_id IS NOT NULL AND root IS NOT NULL").distinct()
@@ -179,12 +189,35 @@ def _in_cells(inner: DataFrame, outer: DataFrame) -> DataFrame:
     size = cells(inner, "across").join(cells(outer, "down"), "root")
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    a = inner.join(size, "root").select("root", "inner_id", deal("inner_id", "across").alias("x"), each("down").alias("y"))
-    b = outer.join(size, "root").groupBy("root", "across", deal("outer_id", "down").alias("y")).agg(F.collect_list("outer_id").alias("outers")).select("root", each("across").alias("x"), "y", "outers")
+    listed = lambda c: F.sort_array(F.collect_list(c)).alias(f"{c}s")
+    a = inner.join(size, "root").groupBy("root", "down", deal("inner_id", "across").alias("x")).agg(listed("inner_id")).select("root", "x", each("down").alias("y"), "inner_ids")
+    b = outer.join(size, "root").groupBy("root", "across", deal("outer_id", "down").alias("y")).agg(listed("outer_id")).select("root", each("across").alias("x"), "y", "outer_ids")
     # few bytes make many pairs, so the number of tasks is given
     n, key = max(200, int(inner.sparkSession.conf.get("spark.sql.shuffle.partitions"))), ["root", "x", "y"]
-    pairs = a.repartition(n, *key).join(b.repartition(n, *key), key).select(F.explode("outers").alias("outer_id"), "inner_id")
-    return pairs.where("inner_id <> outer_id")
+    both = a.repartition(n, *key).join(b.repartition(n, *key), key).select("outer_ids", "inner_ids")
+    kinds = [T.StructField("outer_id", outer.schema["outer_id"].dataType), T.StructField("inner_id", inner.schema["inner_id"].dataType)]
+    return both.mapInArrow(_pairs, T.StructType(kinds))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each two different ids of the two lists of a row: ``RUN`` of the first list for one of the second after another."""
+    count = lambda n: np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)  # noqa: E731  from 0 for each of n
+    for batch in batches:
+        (o, outers), (i, inners) = ((c.offsets.to_numpy().astype(np.int64), c.values) for c in batch.columns)
+        # tiles of a run of outer ids by so many inner ones
+        high = PAIRS // RUN
+        down, across = -(np.diff(o) // -RUN), -(np.diff(i) // -high)
+        cell, nth = np.repeat(np.arange(len(down)), down * across), count(down * across)
+        left, top = o[cell] + nth // across[cell] * RUN, i[cell] + nth % across[cell] * high
+        wide, rows = np.minimum(RUN, o[cell + 1] - left), np.minimum(high, i[cell + 1] - top)
+        batch_of = (wide * rows).cumsum() // PAIRS
+        for part in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(batch_of)) + 1):
+            k = rows[part]
+            run = np.repeat(wide[part], k)
+            x = outers.take(pa.array(np.repeat(np.repeat(left[part], k), run) + count(run)))
+            y = inners.take(pa.array(np.repeat(np.repeat(top[part], k) + count(k), run)))
+            out, keep = pa.RecordBatch.from_arrays([x, y], names=["outer_id", "inner_id"]), pc.not_equal(x, y)
+            yield out if pc.all(keep).as_py() else out.filter(keep)
 
 
 def cite(answers: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -57,6 +57,28 @@ def test_roots_in_several_cells_and_vaults_with_several_roots(spark, monkeypatch
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_of_one_root_take_little_room(spark, tmp_path):
+    """All pairs of a root are many rows; written, each takes a fraction of a byte."""
+    vaults = spark.range(1500).select(F.col("id").alias("vault_id"), F.lit("/a/B").alias("root_path"))
+    C.overlapping_roots(vaults).write.parquet(str(tmp_path / "pairs"))
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    assert back.count() == back.distinct().count() == back.where("outer_id BETWEEN 0 AND 1499 AND inner_id BETWEEN 0 AND 1499 AND outer_id <> inner_id").count() == 1500 * 1499
+    assert 4 * sum(p.stat().st_size for p in (tmp_path / "pairs").rglob("*.parquet")) < 1500 * 1499
+
+
+def test_pairs_leave_a_cell_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(C, "RUN", 4)
+    monkeypatch.setattr(C, "PAIRS", 20)
+    rng = random.Random(3)
+    cells = [([rng.randrange(40) for _ in range(rng.randrange(1, 30))], [rng.randrange(40) for _ in range(rng.randrange(1, 30))]) for _ in range(60)]
+    for kind in (pa.int64(), pa.string()):
+        lists = [pa.array([[x if kind == pa.int64() else str(x) for x in c[k]] for c in cells], pa.list_(kind)) for k in (0, 1)]
+        batch = pa.RecordBatch.from_arrays(lists, names=["outer_ids", "inner_ids"])
+        got = [list(zip(*(c.to_pylist() for c in b.columns))) for b in C._pairs(iter([batch.slice(5), batch.slice(0, 5), batch.slice(0, 0)]))]
+        assert sorted(x for b in got for x in b) == sorted((x, y) for o, i in zip(*(c.to_pylist() for c in batch.columns)) for x in o for y in i if x != y)
+        assert max(map(len, got)) <= 40
+
+
 def test_version_candidates_do_not_meet_all_of_a_label(spark):
     known = spark.range(300).selectExpr("id AS source_id", "'h' || id % 7 AS content_sha256", "'L' AS label", "300 - id AS created_at")
     new = spark.range(400).selectExpr("id AS source_id", "'h' || id % 9 AS content_sha256", "'l' AS label")
