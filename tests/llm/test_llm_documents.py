@@ -262,6 +262,43 @@ def test_near_passages_of_small_groups_are_linked_pair_by_pair(spark):
     assert all(a // 10 == b // 10 for a, b in linked) and all(r.similarity >= 0.8 for r in got)
 
 
+def test_near_passages_around_a_frequent_line_all_meet(spark):
+    """Pairs that no hub of a long list covers: near passages, each in two documents, around a line that is in many."""
+    line = text(7000, 36)
+    docs = {i: text(7100 + i, 60) + line + text(7200 + i, 60) for i in range(60)}
+    for k in range(30):
+        core, at = text(7300 + k, 10) + line + text(7400 + k, 10), 6 if k % 2 else 49  # at most 49 words in a row are equal
+        other = core[:at] + ["edit"] + core[at + 1 :]
+        docs |= {100 + k: text(7500 + k, 50) + core + text(7600 + k, 50), 200 + k: text(7700 + k, 50) + other + text(7800 + k, 50)}
+    got = substring.shared_passages(spark, spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")).collect()
+    linked = {(min(r.id, r.partner), max(r.id, r.partner)) for r in got}
+    assert linked == {(100 + k, 200 + k) for k in range(30)}
+    assert all(r.similarity >= 0.8 and r.last_word - r.first_word >= 49 for r in got)
+
+
+def test_surroundings_that_hold_a_match_are_alike():
+    """No pair with a match is left out, also where tokens repeat; most pairs that share a frequent line alone are."""
+    rng = np.random.default_rng(17)
+    line, rows = rng.integers(1, 2**32, 10), []
+    for k in range(160):
+        t = rng.integers(1, 2**32, 30) if k % 4 < 3 or not rows else rows[-1].copy()
+        t[rng.integers(0, len(t), 2)] = rng.integers(1, 2**32, 2)
+        if k % 4 < 3:
+            t[5 : 5 + len(line)] = line
+        if k % 8 == 2:
+            t = np.tile(t[: 3 + k % 5], 9)[:30]
+        if k % 8 == 6:
+            t = np.tile(line, 3)[k % 5 : 25 + k % 5]
+        rows.append(t)
+    opened, cell = rng.random(160) < 0.7, np.r_[np.zeros(120, np.int64), np.ones(40, np.int64)]
+    a, b, score = substring.alike(cell, opened, np.concatenate(rows), np.array([len(t) for t in rows]), 16, 80)
+    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    pairs = [(x, y) for x, y in combinations(range(160), 2) if cell[x] == cell[y] and (opened[x] or opened[y])]
+    wanted = {(x, y) for x, y in pairs if substring.passages_in_common(rows[x], rows[y], 16, 80)}
+    assert len(got) == len(a) and (score >= 0).all() and wanted <= got <= set(pairs)
+    assert len(wanted) > 25 and len(got) < len(pairs) / 10
+
+
 def test_compact_windows_cover_each_passage_once():
     h = np.random.default_rng(3).integers(0, 50, 60).astype(np.uint64)
     assert substring.repeats(h[:1]) is None and substring.repeats(h).tolist() == [(h == x).sum() > 1 for x in h]
